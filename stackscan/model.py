@@ -17,6 +17,9 @@ KINDS = {
     "js": (6, 80, "JS"),
     "cookie": (7, 70, "Cookie"),
 }
+# Signature kind -> field of a signature file.
+FIELDS = {"html": "html", "script": "scripts", "network": "network", "header": "headers",
+          "meta": "meta", "dom": "dom", "js": "js", "cookie": "cookies"}
 # Fixed value: HTML hits listed per technology and page.
 MAX_HTML_HITS = 11
 # Fixed value: API endpoints kept per page.
@@ -57,12 +60,13 @@ EVIDENCE_TYPES = {
 
 TECHNOLOGY_SCHEMA = (
     "tech string, tech_ord long, file string, file_ord int, description string, "
-    "categories array<string>, category_ids array<int>, higher_ed boolean, base_confidence int, "
+    "categories array<string>, category_ids array<int>, listed_categories array<string>, "
+    "higher_ed boolean, base_confidence int, "
     "website string, legacy_names array<string>, signal_polarity string, "
     "has_html boolean, has_scripts boolean, has_headers boolean, has_js boolean"
 )
 SIGNATURE_SCHEMA = (
-    "tech string, tech_ord long, file string, kind string, kind_ord int, ord int, "
+    "tech string, tech_ord long, file string, field string, kind string, kind_ord int, ord int, "
     "key string, pattern string, weight int, label string"
 )
 

@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from stackscan import fixed
 from stackscan.functions.columns import any_contains, union_all
 
-# Signature kind -> ledger field.
-LEDGER_FIELDS = {"html": "html", "script": "scripts", "header": "headers", "meta": "meta",
-                 "cookie": "cookies", "js": "js"}
-AUDIT_FIELDS = {"html": "html", "script": "scripts", "js": "js"}
-ISSUE = "struct<severity:string,message:string>"
+# Signature fields the ledger covers; kinds the audit covers.
+LEDGER_FIELDS = ("html", "scripts", "headers", "meta", "cookies", "js")
+AUDIT_KINDS = ("html", "script", "js")
 
 
-def _field(fields: dict[str, str]) -> Column:
-    col = F.lit(None).cast("string")
-    for kind, name in fields.items():
-        col = F.when(F.col("kind") == kind, name).otherwise(col)
-    return col
+def _audit_field() -> Column:
+    return F.when(F.col("kind") == "script", "scripts").otherwise(F.col("kind"))
 
 
 def _joined(values: str) -> Column:
@@ -50,16 +45,14 @@ def tier(field: Column, pattern: Column) -> Column:
 
 def ledger(technologies: DataFrame, signatures: DataFrame) -> DataFrame:
     """One validation row per html, scripts, headers, meta, cookies and js pattern (Q1, Q2)."""
-    field = _field(LEDGER_FIELDS)
     keyed = F.col("key").isNotNull()
-    text = F.when(keyed, F.concat_ws("=", "key", F.when(F.col("pattern") != "", F.col("pattern")))).otherwise(F.col("pattern"))
-    facts = technologies.select("tech", "category_ids", "categories", "higher_ed", "legacy_names")
-    rows = signatures.withColumn("field", field).filter("field is not null").join(facts, "tech", "left")
-    category = F.when(F.size("category_ids") > 0, F.array_join(F.col("category_ids").cast("array<string>"), ";")).otherwise(_joined("categories"))
+    key = F.regexp_extract("label", "^[A-Za-z]+: ([^=]*)", 1)
+    text = F.when(keyed, F.concat_ws("=", key, F.when(F.col("pattern") != "", F.col("pattern")))).otherwise(F.col("pattern"))
+    facts = technologies.select("tech", "file", "listed_categories", "higher_ed", "legacy_names")
+    rows = signatures.filter(F.col("field").isin(*LEDGER_FIELDS)).join(facts, ["tech", "file"], "left")
     return rows.select(
-        F.col("tech").alias("technology"), "file", category.alias("category"), "field",
-        text.alias("pattern"),
-        tier(F.col("field"), F.when(keyed, F.col("key")).otherwise(F.col("pattern"))).alias("tier"),
+        F.col("tech").alias("technology"), "file", _joined("listed_categories").alias("category"), "field",
+        text.alias("pattern"), tier(F.col("field"), F.when(keyed, key).otherwise(F.col("pattern"))).alias("tier"),
         F.coalesce("higher_ed", F.lit(False)).alias("higher_ed"), _joined("legacy_names").alias("legacy_names"),
         F.lit("").alias("source_evidence"), F.lit("").alias("status"), F.lit("").alias("notes"),
         "tech_ord", "kind_ord", "ord")
@@ -91,8 +84,8 @@ def audit_issues(signatures: DataFrame) -> DataFrame:
         issue((F.col("kind") == "js") & p.isin(*fixed.AUDIT_SHORT_GLOBALS), "ERROR",
               F.lit("Short/common JS object name: "), *quoted, F.lit(" - too likely to cause false positives")),
     )
-    return signatures.filter(F.col("kind").isin(*AUDIT_FIELDS)).select(
-        "tech", "file", _field(AUDIT_FIELDS).alias("field"), p.alias("pattern"),
+    return signatures.filter(F.col("kind").isin(*AUDIT_KINDS)).select(
+        "tech", "file", _audit_field().alias("field"), p.alias("pattern"),
         F.explode(F.array_compact(issues)).alias("i")).select(
         "i.severity", "tech", "file", "field", "pattern", "i.message")
 
@@ -102,8 +95,8 @@ def duplicate_issues(signatures: DataFrame) -> DataFrame:
     p = F.when(F.col("kind") == "js", F.col("key")).otherwise(F.col("pattern"))
     place = F.struct("tech_ord", "ord", F.concat("tech", F.lit(" ("), "file", F.lit(")")).alias("place"))
     return (
-        signatures.filter(F.col("kind").isin(*AUDIT_FIELDS))
-        .groupBy(_field(AUDIT_FIELDS).alias("field"), p.alias("pattern"))
+        signatures.filter(F.col("kind").isin(*AUDIT_KINDS))
+        .groupBy(_audit_field().alias("field"), p.alias("pattern"))
         .agg(F.count("*").alias("uses"), F.array_sort(F.collect_list(place)).alias("places"))
         .filter("uses > 1")
         .select(F.lit("INFO").alias("severity"), F.lit("Multiple").alias("tech"), F.lit("various").alias("file"),

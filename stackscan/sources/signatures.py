@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stackscan.functions.columns import union_all
 from stackscan.functions.regex import required_literals, strip_suffix, to_spark_regex
-from stackscan.model import (KINDS, MAX_SIGNATURES_PER_PASS, PATTERN_FILE_RECORD,
+from stackscan.model import (FIELDS, KINDS, MAX_SIGNATURES_PER_PASS, PATTERN_FILE_RECORD,
                              SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA)
 
 log = logging.getLogger(__name__)
@@ -31,12 +31,14 @@ def read_signature_files(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("file"),
             F.from_json("value", f"map<string,{PATTERN_FILE_RECORD}>").alias("techs")))
     if not frames:
-        empty = f"file_ord int, file string, pos int, tech string, record {PATTERN_FILE_RECORD}"
+        empty = f"file_ord int, file string, pos int, tech string, record {PATTERN_FILE_RECORD}, tech_ord long"
         return spark.createDataFrame([], empty)
     return union_all(frames).select(
         "file_ord", "file", F.posexplode(F.map_entries("techs")).alias("pos", "entry"),
     ).select("file_ord", "file", "pos", F.col("entry.key").alias("tech"),
-             F.col("entry.value").alias("record")).filter(~F.col("tech").startswith("_"))
+             F.col("entry.value").alias("record"),
+             (F.col("file_ord") * F.lit(1 << 32) + F.col("pos")).alias("tech_ord"),
+             ).filter(~F.col("tech").startswith("_"))
 
 
 def resolve_overrides(records: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def resolve_overrides(records: DataFrame) -> DataFrame:
     newest = by_tech.orderBy(F.desc("file_ord"), F.desc("pos"))
     return (
         records.withColumn("rn", F.row_number().over(newest))
-        .withColumn("tech_ord", F.min(F.col("file_ord") * F.lit(1 << 32) + F.col("pos")).over(by_tech))
+        .withColumn("tech_ord", F.min("tech_ord").over(by_tech))
         .filter("rn = 1").drop("rn")
     )
 
@@ -74,7 +76,7 @@ def technologies(records: DataFrame) -> DataFrame:
     ids = F.coalesce(_list_items(r["cats"]), _list_items(r["categories"]))
     return records.select(
         "tech", "tech_ord", "file", "file_ord", r["description"].alias("description"),
-        cats.alias("categories"),
+        cats.alias("categories"), ids.alias("listed_categories"),
         F.filter(F.transform(ids, lambda x: x.try_cast("int")), lambda x: x.isNotNull()).alias("category_ids"),
         F.coalesce(r["higher_ed"], F.lit(False)).alias("higher_ed"),
         r["confidence"].alias("base_confidence"), r["website"].alias("website"),
@@ -85,14 +87,14 @@ def technologies(records: DataFrame) -> DataFrame:
     )
 
 
-def _list_kind(kind: str, patterns: Column) -> Column:
+def _list_kind(kind: str, patterns: Column, field: Column) -> Column:
     label = KINDS[kind][2]
     return F.transform(F.coalesce(patterns, F.array().cast("array<string>")), lambda p, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("ord"), F.lit(None).cast("string").alias("key"),
+        field.alias("field"), F.lit(kind).alias("kind"), i.alias("ord"), F.lit(None).cast("string").alias("key"),
         p.alias("pattern"), F.concat(F.lit(f"{label}: "), p).alias("label")))
 
 
-def _map_kind(kind: str, patterns: Column, lower_key: bool, value_in_label: bool) -> Column:
+def _map_kind(kind: str, field: str, patterns: Column, lower_key: bool, value_in_label: bool) -> Column:
     label = KINDS[kind][2]
     entries = F.coalesce(F.map_entries(patterns), F.array().cast("array<struct<key:string,value:string>>"))
 
@@ -100,7 +102,7 @@ def _map_kind(kind: str, patterns: Column, lower_key: bool, value_in_label: bool
         value = F.coalesce(e["value"], F.lit(""))
         text = F.concat(F.lit(f"{label}: "), e["key"])
         return F.struct(
-            F.lit(kind).alias("kind"), i.alias("ord"),
+            F.lit(field).alias("field"), F.lit(kind).alias("kind"), i.alias("ord"),
             (F.lower(e["key"]) if lower_key else e["key"]).alias("key"), value.alias("pattern"),
             (F.concat(text, F.lit("="), value) if value_in_label else text).alias("label"))
     return F.transform(entries, row)
@@ -109,15 +111,16 @@ def _map_kind(kind: str, patterns: Column, lower_key: bool, value_in_label: bool
 def signatures(records: DataFrame) -> DataFrame:
     """One row per testable pattern."""
     r = F.col("record")
+    script_field = F.when(r["scripts"].isNotNull(), "scripts").otherwise("scriptSrc")
     parts = F.concat(
-        _list_kind("html", r["html"]),
-        _list_kind("script", F.coalesce(r["scripts"], r["scriptSrc"])),
-        _list_kind("network", r["network"]),
-        _map_kind("header", r["headers"], True, True),
-        _map_kind("meta", r["meta"], True, True),
-        _map_kind("dom", r["dom"], False, True),
-        _map_kind("js", r["js"], False, False),
-        _map_kind("cookie", r["cookies"], False, False),
+        _list_kind("html", r["html"], F.lit("html")),
+        _list_kind("script", F.coalesce(r["scripts"], r["scriptSrc"]), script_field),
+        _list_kind("network", r["network"], F.lit("network")),
+        _map_kind("header", "headers", r["headers"], True, True),
+        _map_kind("meta", "meta", r["meta"], True, True),
+        _map_kind("dom", "dom", r["dom"], False, True),
+        _map_kind("js", "js", r["js"], False, False),
+        _map_kind("cookie", "cookies", r["cookies"], False, False),
     )
     rows = records.select("tech", "tech_ord", "file", F.explode(parts).alias("s")).select(
         "tech", "tech_ord", "file", "s.*")
@@ -222,9 +225,9 @@ def signature_rows(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, D
         ordinal = counts.get((tech, kind), 0)
         counts[tech, kind] = ordinal + 1
         text = pattern if key is None else (f"{key}={pattern}" if kind in ("header", "meta", "dom") else key)
-        out.append((tech, techs[tech], "custom.json", kind, KINDS[kind][0], ordinal, key, pattern,
+        out.append((tech, techs[tech], "custom.json", FIELDS[kind], kind, KINDS[kind][0], ordinal, key, pattern,
                     KINDS[kind][1], f"{KINDS[kind][2]}: {text}"))
-    tech_rows = [(t, o, "custom.json", 0, "", None, None, False, None, None, None, None,
+    tech_rows = [(t, o, "custom.json", 0, "", None, None, None, False, None, None, None, None,
                   False, False, False, False) for t, o in techs.items()]
     return (spark.createDataFrame(tech_rows, TECHNOLOGY_SCHEMA),
             spark.createDataFrame(out, SIGNATURE_SCHEMA))
