@@ -90,19 +90,38 @@ def audit_issues(signatures: DataFrame) -> DataFrame:
         "i.severity", "tech", "file", "field", "pattern", "i.message")
 
 
-def duplicate_issues(signatures: DataFrame) -> DataFrame:
-    """Patterns that several technologies share (Q8)."""
+def _audited(signatures: DataFrame) -> DataFrame:
     p = F.when(F.col("kind") == "js", F.col("key")).otherwise(F.col("pattern"))
-    place = F.struct("tech_ord", "ord", F.concat("tech", F.lit(" ("), "file", F.lit(")")).alias("place"))
-    return (
-        signatures.filter(F.col("kind").isin(*AUDIT_KINDS))
-        .groupBy(_audit_field().alias("field"), p.alias("pattern"))
-        .agg(F.count("*").alias("uses"), F.array_sort(F.collect_list(place)).alias("places"))
-        .filter("uses > 1")
-        .select(F.lit("INFO").alias("severity"), F.lit("Multiple").alias("tech"), F.lit("various").alias("file"),
-                "field", "pattern",
-                F.concat(F.lit("Duplicate pattern found in: "),
-                         F.array_join(F.transform("places", lambda x: x["place"]), ", ")).alias("message")))
+    return signatures.filter(F.col("kind").isin(*AUDIT_KINDS)).select(
+        _audit_field().alias("field"), p.alias("pattern"), "tech_ord", "ord", "tech", "file")
+
+
+def duplicate_patterns(signatures: DataFrame) -> DataFrame:
+    """Patterns used more than once, with their number of uses (Q8)."""
+    return _audited(signatures).groupBy("field", "pattern").agg(F.count("*").alias("uses")).filter("uses > 1")
+
+
+def duplicate_places(signatures: DataFrame) -> DataFrame:
+    """Every use of a pattern that is used more than once, one row each (Q8)."""
+    return _audited(signatures).join(duplicate_patterns(signatures), ["field", "pattern"])
+
+
+def duplicate_issues(signatures: DataFrame, listed: int = 1000) -> DataFrame:
+    """Patterns that several technologies share, as audit issues (Q8).
+
+    The message names every place; for a pattern with more than ``listed`` uses it gives their
+    number instead, and ``duplicate_places`` has them as rows.
+    """
+    places = duplicate_places(signatures).filter(F.col("uses") <= listed)
+    name = F.concat("tech", F.lit(" ("), "file", F.lit(")"))
+    named = places.groupBy("field", "pattern").agg(
+        F.array_sort(F.collect_list(F.struct("tech_ord", "ord", name.alias("place")))).alias("places"),
+    ).select("field", "pattern", F.array_join(F.transform("places", lambda x: x["place"]), ", ").alias("text"))
+    counted = duplicate_patterns(signatures).filter(F.col("uses") > listed).select(
+        "field", "pattern", F.concat(F.col("uses").cast("string"), F.lit(" places")).alias("text"))
+    return named.unionByName(counted).select(
+        F.lit("INFO").alias("severity"), F.lit("Multiple").alias("tech"), F.lit("various").alias("file"),
+        "field", "pattern", F.concat(F.lit("Duplicate pattern found in: "), "text").alias("message"))
 
 
 def audit(signatures: DataFrame) -> DataFrame:

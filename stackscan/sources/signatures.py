@@ -6,7 +6,7 @@ import logging
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.functions.columns import union_all
@@ -17,28 +17,27 @@ from stackscan.model import (FIELDS, KINDS, MAX_SIGNATURES_PER_PASS, PATTERN_FIL
 log = logging.getLogger(__name__)
 
 
+def parse_signature_text(files: DataFrame) -> DataFrame:
+    """Technology records of signature files given as text: ``file_ord``, ``file``, ``value``."""
+    techs = F.from_json("value", f"map<string,{PATTERN_FILE_RECORD}>")
+    return files.select("file_ord", "file", F.posexplode(F.map_entries(techs)).alias("pos", "entry")).select(
+        "file_ord", "file", "pos", F.col("entry.key").alias("tech"), F.col("entry.value").alias("record"),
+        (F.col("file_ord") * F.lit(1 << 32) + F.col("pos")).alias("tech_ord"),
+    ).filter(~F.col("tech").startswith("_"))
+
+
 def read_signature_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per technology record and file, in file order; unreadable files are skipped."""
-    frames = []
+    frames = [spark.createDataFrame([], "file_ord int, file string, value string")]
     for file_ord, path in enumerate(paths):
         try:
             text = spark.read.text(path, wholetext=True)
         except AnalysisException as err:
             log.warning("signature file skipped: %s (%s)", path, err.getCondition())
             continue
-        frames.append(text.select(
-            F.lit(file_ord).alias("file_ord"),
-            F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("file"),
-            F.from_json("value", f"map<string,{PATTERN_FILE_RECORD}>").alias("techs")))
-    if not frames:
-        empty = f"file_ord int, file string, pos int, tech string, record {PATTERN_FILE_RECORD}, tech_ord long"
-        return spark.createDataFrame([], empty)
-    return union_all(frames).select(
-        "file_ord", "file", F.posexplode(F.map_entries("techs")).alias("pos", "entry"),
-    ).select("file_ord", "file", "pos", F.col("entry.key").alias("tech"),
-             F.col("entry.value").alias("record"),
-             (F.col("file_ord") * F.lit(1 << 32) + F.col("pos")).alias("tech_ord"),
-             ).filter(~F.col("tech").startswith("_"))
+        frames.append(text.select(F.lit(file_ord).alias("file_ord"),
+                                  F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("file"), "value"))
+    return parse_signature_text(union_all(frames))
 
 
 def resolve_overrides(records: DataFrame) -> DataFrame:
@@ -46,21 +45,19 @@ def resolve_overrides(records: DataFrame) -> DataFrame:
 
     A technology keeps the place of its first appearance, which decides ties later.
     """
-    by_tech = Window.partitionBy("tech")
-    newest = by_tech.orderBy(F.desc("file_ord"), F.desc("pos"))
-    return (
-        records.withColumn("rn", F.row_number().over(newest))
-        .withColumn("tech_ord", F.min("tech_ord").over(by_tech))
-        .filter("rn = 1").drop("rn")
-    )
+    kept = F.struct("file_ord", "file", "pos", "record")
+    return records.groupBy("tech").agg(
+        F.max_by(kept, F.struct("file_ord", "pos")).alias("kept"), F.min("tech_ord").alias("tech_ord"),
+    ).select("tech", "tech_ord", "kept.*")
 
 
 def merge_custom(upstream: DataFrame, custom: DataFrame) -> DataFrame:
     """Upstream records overlaid with custom ones; custom records win."""
     tagged = union_all([upstream.withColumn("priority", F.lit(0)),
                         custom.withColumn("priority", F.lit(1))])
-    newest = Window.partitionBy("tech").orderBy(F.desc("priority"), F.desc("file_ord"), F.desc("pos"))
-    return tagged.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn", "priority")
+    kept = F.struct("file_ord", "file", "pos", "record", "tech_ord")
+    return tagged.groupBy("tech").agg(
+        F.max_by(kept, F.struct("priority", "file_ord", "pos")).alias("kept")).select("tech", "kept.*")
 
 
 def _list_items(text: Column) -> Column:
@@ -225,7 +222,8 @@ def signature_rows(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, D
         ordinal = counts.get((tech, kind), 0)
         counts[tech, kind] = ordinal + 1
         text = pattern if key is None else (f"{key}={pattern}" if kind in ("header", "meta", "dom") else key)
-        out.append((tech, techs[tech], "custom.json", FIELDS[kind], kind, KINDS[kind][0], ordinal, key, pattern,
+        lookup = key.lower() if kind in ("header", "meta") else key
+        out.append((tech, techs[tech], "custom.json", FIELDS[kind], kind, KINDS[kind][0], ordinal, lookup, pattern,
                     KINDS[kind][1], f"{KINDS[kind][2]}: {text}"))
     tech_rows = [(t, o, "custom.json", 0, "", None, None, None, False, None, None, None, None,
                   False, False, False, False) for t, o in techs.items()]
