@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,12 @@ def bind(value: Column, body) -> Column:
 
 
 def none_if_empty(col: Column) -> Column:
-    return F.when(col != "", col)
+    return F.nullif(col, F.lit(""))
+
+
+def holds_any(text: Column, *literals: str) -> Column:
+    """Whether a text holds one of the literals: a cheap guard before an expensive regex."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in literals])
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:

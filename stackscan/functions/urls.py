@@ -38,18 +38,26 @@ def root_host(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
-def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of a link found on page ``base`` (dot segments are left as they are)."""
-    stem = F.regexp_extract(base, r"^([^?#]*)", 1)
+def base_parts(url: Column) -> Column:
+    """What links on a page are resolved against; taken apart once per page."""
+    stem = F.regexp_extract(url, r"^([^?#]*)", 1)
     folder = F.when(stem.rlike(r"^[^:/]+://[^/]*$"), F.concat(stem, F.lit("/"))).otherwise(
         F.regexp_replace(stem, r"[^/]*$", ""))
+    return F.struct(
+        F.concat(scheme(url), F.lit(":")).alias("scheme"), origin(url).alias("origin"), stem.alias("stem"),
+        folder.alias("folder"), F.regexp_extract(url, r"^([^#]*)", 1).alias("page"))
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """Absolute form of a link, given the page's ``base_parts``; dot segments stay as they are."""
+    start = F.substring(ref, 1, 1)
     return (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin(base), ref))
-        .when(ref.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), ref))
-        .when(ref.startswith("?"), F.concat(stem, ref))
-        .otherwise(F.concat(folder, ref))
+        F.when(F.startswith(ref, F.lit("//")), F.concat(base["scheme"], ref))
+        .when(start == "/", F.concat(base["origin"], ref))
+        .when(start == "#", F.concat(base["page"], ref))
+        .when(start == "?", F.concat(base["stem"], ref))
+        .when(F.contains(ref, F.lit(":")) & ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .otherwise(F.concat(base["folder"], ref))
     )
 
 

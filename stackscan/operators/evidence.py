@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stackscan.fixed import JS_GLOBALS
 from stackscan.functions import urls
-from stackscan.functions.columns import bind, first_group, last_per_key, none_if_empty, unquote
+from stackscan.functions.columns import bind, first_group, holds_any, last_per_key, unquote
 from stackscan.model import COOKIE, MAX_API_ENDPOINTS, ScanConfig
 
 _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -26,12 +26,12 @@ HTML_API_PATTERNS = (
     r"""(?i)href=['"](/wp-json/[^'"]*)['"]""",
     r"""(?i)action=['"](/api/[^'"]*)['"]""",
 )
-# Version facts read from the HTML text.
+# Version facts read from the HTML text after a file name.
 HTML_VERSION_PATTERNS = {
-    "wordpress": r"(?i)wp-includes/js/wp-embed\.min\.js\?ver=(\d+\.\d+(?:\.\d+)?)",
-    "drupal": r"(?i)drupal\.js\?(\d+\.\d+)",
-    "joomla": r"(?i)joomla\.js\?(\d+\.\d+)",
-    "moodle": r"(?i)moodle/lib/javascript\.js\?(\d+\.\d+)",
+    "wordpress": ("wp-includes/js/wp-embed.min.js?ver=", r"(\d+\.\d+(?:\.\d+)?)"),
+    "drupal": ("drupal.js?", r"(\d+\.\d+)"),
+    "joomla": ("joomla.js?", r"(\d+\.\d+)"),
+    "moodle": ("moodle/lib/javascript.js?", r"(\d+\.\d+)"),
 }
 PAGE_INPUTS = {
     "headers": "map<string,string>", "cookies": f"array<{COOKIE}>",
@@ -46,20 +46,22 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def _entities(text: Column) -> Column:
     """Decode the entities that occur in attribute values and link texts."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                       ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    def decode(value: Column) -> Column:
+        out = value
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                           ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.contains(value, F.lit("&")), out).otherwise(value)
+    return bind(text, decode)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one start tag; null when absent."""
-    raw = F.regexp_extract(tag, rf"(?i)[\s\"'/]{name}{_VALUE}", 1)
-    return F.when(raw != "", _entities(unquote(raw)))
+    """Value of an attribute of one start tag; empty when absent."""
+    return _entities(unquote(F.regexp_extract(tag, rf"(?i)[\s\"'/]{name}{_VALUE}", 1)))
 
 
 def without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    return F.when(holds_any(html, "<!--"), F.regexp_replace(html, r"(?s)<!--.*?-->", "")).otherwise(html)
 
 
 def markup(html: Column) -> Column:
@@ -71,51 +73,56 @@ def script_sources(dom: Column, url: Column) -> Column:
     """External scripts with the version in their query string."""
     sources = F.filter(F.transform(_all(dom, r"(?i)<script\b[^>]*>"), lambda t: attribute(t, "src")),
                        lambda s: s != "")
-    absolute = F.transform(sources, lambda s: urls.resolve(url, s))
+    absolute = bind(urls.base_parts(url), lambda base: F.transform(sources, lambda s: urls.resolve(base, s)))
     return F.transform(absolute, lambda s: F.struct(
         s.alias("src"), first_group(s, r"[?&]ver=([^&]+)").alias("version")))
 
 
 def meta_entries(dom: Column) -> Column:
     """(key, value) of every named meta tag in document order."""
-    tags = F.transform(_all(dom, r"(?i)<meta\b[^>]*>"), lambda t: F.struct(
-        F.lower(F.coalesce(none_if_empty(attribute(t, "name")), attribute(t, "property"))).alias("key"),
-        attribute(t, "content").alias("value")))
-    return F.filter(tags, lambda e: (e["key"] != "") & (e["value"] != ""))
 
+    def entry(tag: Column) -> Column:
+        parts = F.struct(attribute(tag, "name").alias("name"), attribute(tag, "property").alias("property"),
+                         attribute(tag, "content").alias("value"))
+        return bind(parts, lambda p: F.struct(
+            F.lower(F.when(p["name"] != "", p["name"]).otherwise(p["property"])).alias("key"), p["value"].alias("value")))
+    return F.filter(F.transform(_all(dom, r"(?i)<meta\b[^>]*>"), entry), lambda e: (e["key"] != "") & (e["value"] != ""))
 
-def dom_strings(dom: Column, html: Column, js_objects: Column, metas: Column) -> Column:
+
+def dom_strings(dom: Column, html: Column, low: Column, js_objects: Column, metas: Column) -> Column:
     """Title, body class and id, head content and element flags."""
     body = F.regexp_extract(dom, r"(?i)<body(?:\s[^>]*)?>", 0)
     title = F.regexp_extract(dom, r"(?is)<title[^>]*>(.*?)</title>", 1)
     return F.struct(
         F.trim(F.regexp_replace(_entities(title), r"\s+", " ")).alias("title"),
-        F.coalesce(attribute(body, "class"), F.lit("")).alias("body_classes"),
-        F.coalesce(attribute(body, "id"), F.lit("")).alias("body_id"),
+        attribute(body, "class").alias("body_classes"),
+        attribute(body, "id").alias("body_id"),
         F.regexp_extract(html, r"(?is)<head(?:\s[^>]*)?>(.*?)</head>", 1).alias("head_content"),
-        element_flags(dom, js_objects, metas).alias("has_elements"),
+        element_flags(dom, low, js_objects, metas).alias("has_elements"),
     )
 
 
-def element_flags(dom: Column, js_objects: Column, metas: Column) -> Column:
-    """Presence of eight element groups (E6); two of them are run-time globals."""
+def element_flags(dom: Column, low: Column, js_objects: Column, metas: Column) -> Column:
+    """Presence of eight element groups (E6); two of them are run-time globals. ``low`` is the
+    lower-cased HTML."""
 
     def class_holds(*words: str) -> Column:
         word = "(?:" + "|".join(words) + ")"
-        return dom.rlike(rf"""<[A-Za-z][^>]*\s(?i:class)\s*=\s*(?:"[^"]*{word}|'[^']*{word}|[^\s"'>]*{word})""")
+        return holds_any(dom, *words) & dom.rlike(rf"""<[A-Za-z][^>]*\s(?i:class)\s*=\s*(?:"[^"]*{word}|'[^']*{word}|[^\s"'>]*{word})""")
 
     def global_set(name: str) -> Column:
         return F.coalesce(F.try_element_at(js_objects, F.lit(name)), F.lit(False))
 
     flags = {
         "drupalSettings": global_set("Drupal.settings"),
-        "wpContent": class_holds("wp-") | dom.rlike(r"""<[A-Za-z][^>]*\s(?i:id)\s*=\s*["']?wp-content["'\s>]"""),
+        "wpContent": class_holds("wp-") | (holds_any(dom, "wp-content") & dom.rlike(
+            r"""<[A-Za-z][^>]*\s(?i:id)\s*=\s*["']?wp-content["'\s>]""")),
         "slateContainer": class_holds("slate"),
         "joomlaSystem": F.exists(metas, lambda e: (e["key"] == "generator") & F.contains(e["value"], F.lit("Joomla"))),
         "bootstrapClasses": class_holds("bootstrap", "btn-", "col-"),
         "jqueryPresent": global_set("jQuery"),
-        "reactRoot": dom.rlike(r"""<[A-Za-z][^>]*\s(?:(?i:id)\s*=\s*["']?root["'\s>]|(?i:data-reactroot|data-react-class)[\s=>/])"""),
-        "vueApp": dom.rlike(r"""<[A-Za-z][^>]*\s(?i:data-v-|v-cloak)[\s=>/]"""),
+        "reactRoot": holds_any(low, "root", "data-react-class") & dom.rlike(r"""<[A-Za-z][^>]*\s(?:(?i:id)\s*=\s*["']?root["'\s>]|(?i:data-reactroot|data-react-class)[\s=>/])"""),
+        "vueApp": holds_any(low, "data-v-", "v-cloak") & dom.rlike(r"""<[A-Za-z][^>]*\s(?i:data-v-|v-cloak)[\s=>/]"""),
     }
     return F.map_from_arrays(F.array(*map(F.lit, flags)), F.array(*flags.values()))
 
@@ -132,7 +139,7 @@ def request_hosts(request_urls: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(request_urls, urls.host)))
 
 
-def version_facts(html: Column, scripts: Column, metas: Column, js_objects: Column,
+def version_facts(html: Column, low: Column, scripts: Column, metas: Column, js_objects: Column,
                   hints: Column) -> Column:
     """Map of version facts (E9), completed from the HTML text where absent."""
 
@@ -155,7 +162,8 @@ def version_facts(html: Column, scripts: Column, metas: Column, js_objects: Colu
         "jquery": F.try_element_at(hints, F.lit("jquery")),
         "bootstrap": first_group(script("bootstrap"), r"(?i)bootstrap/(\d+\.\d+(?:\.\d+)?)"),
     }
-    text = {name: first_group(html, pattern) for name, pattern in HTML_VERSION_PATTERNS.items()}
+    text = {name: F.when(holds_any(low, file), first_group(html, f"(?i)\\Q{file}\\E{version}"))
+            for name, (file, version) in HTML_VERSION_PATTERNS.items()}
     found = [(name, value) for name, value in dom.items()]
     found += [(name, F.when(dom[name].isNull(), value) if name in dom else value)
               for name, value in text.items()]
@@ -163,7 +171,7 @@ def version_facts(html: Column, scripts: Column, metas: Column, js_objects: Colu
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def api_endpoints(html: Column, scripts: Column) -> Column:
+def api_endpoints(html: Column, low: Column, scripts: Column) -> Column:
     """Distinct API paths from inline scripts, script URLs and HTML attributes; first 20."""
     elements = F.filter(_all(without_comments(html), r"(?is)<script\b[^>]*>.*?</script>"),
                         lambda e: ~e.rlike(r"(?i)^<script\b[^>]*[\s\"'/]src\s*="))
@@ -176,8 +184,11 @@ def api_endpoints(html: Column, scripts: Column) -> Column:
     api_scripts = F.filter(scripts, lambda s: s["src"].rlike("/api/|/wp-json/|/rest/"))
     folders = F.transform(api_scripts, lambda s: F.regexp_replace(urls.path(s["src"]), "[^/]*$", ""))
     attributes = F.concat(*[_all(html, p, 1) for p in HTML_API_PATTERNS])
-    found = F.concat(F.flatten(F.transform(elements, quoted)), folders, attributes)
-    return F.slice(F.array_distinct(found), 1, MAX_API_ENDPOINTS)
+    in_text = F.when(holds_any(low, "/api/", "/wp-json/", "/rest/"), F.struct(
+        F.flatten(F.transform(elements, quoted)).alias("scripts"), attributes.alias("attributes")))
+    empty = F.array().cast("array<string>")
+    return bind(in_text, lambda t: F.slice(F.array_distinct(F.concat(
+        F.coalesce(t["scripts"], empty), folders, F.coalesce(t["attributes"], empty))), 1, MAX_API_ENDPOINTS))
 
 
 def anchors(dom: Column, url: Column) -> Column:
@@ -187,10 +198,11 @@ def anchors(dom: Column, url: Column) -> Column:
     def link(element: Column) -> Column:
         tag = F.regexp_extract(element, r"^<[^>]*>", 0)
         text = _entities(F.regexp_replace(element, r"<[^>]*>", ""))
-        return F.struct(
-            urls.resolve(url, attribute(tag, "href")).alias("href"),
-            F.lower(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")).alias("text"))
-    return F.filter(F.transform(elements, link), lambda x: x["href"] != "")
+        return F.struct(attribute(tag, "href").alias("ref"),
+                        F.lower(F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")).alias("text"))
+    found = F.filter(F.transform(elements, link), lambda x: x["ref"] != "")
+    return bind(urls.base_parts(url), lambda base: F.transform(found, lambda x: F.struct(
+        urls.resolve(base, x["ref"]).alias("href"), x["text"].alias("text"))))
 
 
 def with_page_inputs(pages: DataFrame) -> DataFrame:
@@ -204,22 +216,22 @@ def extract_evidence(pages: DataFrame, config: ScanConfig = ScanConfig()) -> Dat
 
     Columns nobody reads are pruned by Spark together with the work behind them.
     """
-    html, url, js = F.col("html"), F.col("url"), F.col("js_objects")
+    html, low, url, js = F.col("html"), F.col("_low"), F.col("url"), F.col("js_objects")
     none = F.array().cast("array<string>")
     return (
         with_page_inputs(pages)
-        .withColumn("_dom", markup(html))
+        .withColumns({"_dom": markup(html), "_low": F.lower(html)})
         .withColumns({"_metas": meta_entries(F.col("_dom")), "scripts": script_sources(F.col("_dom"), url)})
         .withColumns({
             "headers": F.transform_keys("headers", lambda k, v: F.lower(k)),
             "meta": last_per_key(F.col("_metas")),
-            "dom": dom_strings(F.col("_dom"), html, js, F.col("_metas")),
+            "dom": dom_strings(F.col("_dom"), html, low, js, F.col("_metas")),
             "network_hosts": request_hosts(F.col("request_urls")) if config.capture_network else none,
-            "version_info": version_facts(html, F.col("scripts"), F.col("_metas"), js, F.col("version_hints")),
-            "api_endpoints": api_endpoints(html, F.col("scripts")),
+            "version_info": version_facts(html, low, F.col("scripts"), F.col("_metas"), js, F.col("version_hints")),
+            "api_endpoints": api_endpoints(html, low, F.col("scripts")),
             "links": anchors(F.col("_dom"), url),
         })
-        .drop("_dom", "_metas", "version_hints", "request_urls")
+        .drop("_dom", "_low", "_metas", "version_hints", "request_urls")
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from stackscan.operators.candidates import candidate_column, key_trigger
 from stackscan.sources.signatures import Library, Signature
 
 _CANDIDATE = ("struct<ord:int,tech:string,kind:string,key:string,pattern:string,weight:int,"
-              "label:string>")
+              "label:string,exact:boolean>")
 _INLINE = _CANDIDATE[:-1] + ",needs:array<string>>"
 _TEXT_KINDS = ("html", "script", "network")
 # DOM fields a signature can test.
@@ -93,13 +94,21 @@ def _present_keys(kinds: set[str]) -> Column:
 
 def _inline_candidates(entries: list[Signature], kinds: set[str]) -> Column:
     """All signatures whose literal the page holds, tested inside the JVM; for few signatures."""
-    library = F.from_json(F.lit(json.dumps([asdict(e) for e in entries])), f"array<{_INLINE}>")
+    # Only the HTML is searched here; the other texts are short and go straight to the regex.
+    rows = [{**asdict(e), "exact": e.exact and e.kind == "html"} for e in entries]
+    library = F.from_json(F.lit(json.dumps(rows)), f"array<{_INLINE}>")
     if "html" not in kinds:
         return library
     return bind(F.lower("html"), lambda text: F.filter(library, lambda s: (s["kind"] != "html")
                 | (F.size(s["needs"]) == 0) | F.exists(s["needs"], lambda n: F.contains(text, n))))
 
 
+def _odd_case(text: Column) -> Column:
+    """Whether a text holds one of the two non-ASCII letters whose lower case is ASCII. Only then
+    can a literal of the lower-cased text be no match of the pattern itself."""
+    return F.coalesce(F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130")), F.lit(False))
+
+
 def _scanned_candidates(pages: DataFrame, entries: list[Signature], kinds: set[str]) -> Column:
     rows, triggers = [], []
     for entry in entries:
@@ -121,7 +130,8 @@ def _pass_matches(pages: DataFrame, entries: list[Signature], keep: list[str],
         inline = texts <= MAX_INLINE_SIGNATURES and len(entries) <= 4 * MAX_INLINE_SIGNATURES
         prefilter = "inline" if inline else "scan"
     if prefilter == "none":
-        candidates = F.from_json(F.lit(json.dumps([asdict(e) for e in entries])), f"array<{_INLINE}>")
+        rows = [{**asdict(e), "exact": False} for e in entries]
+        candidates = F.from_json(F.lit(json.dumps(rows)), f"array<{_INLINE}>")
     elif prefilter == "inline":
         candidates = _inline_candidates(entries, kinds)
     else:
@@ -129,7 +139,11 @@ def _pass_matches(pages: DataFrame, entries: list[Signature], keep: list[str],
         pages = pages.select(*keep, *needed,
                              _scanned_candidates(pages, entries, kinds).alias("_candidates"))
         candidates = F.col("_candidates")
-    matched = F.transform(F.filter(candidates, lambda s: _fires(s, kinds)), lambda s: F.struct(
+    searched = evidence_texts(kinds if prefilter == "scan" else kinds & {"html"}).values()
+    odd = reduce(Column.__or__, map(_odd_case, searched), F.lit(False))
+    fires = bind(odd, lambda is_odd: F.filter(candidates, lambda s: F.when(
+        s["exact"] & ~is_odd, F.lit(True)).otherwise(_fires(s, kinds))))
+    matched = F.transform(fires, lambda s: F.struct(
         s["ord"].alias("ord"), s["tech"].alias("tech"), s["kind"].alias("kind"),
         s["key"].alias("key"), s["weight"].alias("weight"), s["label"].alias("label")))
     return pages.select(*keep, matched.alias("matches"))

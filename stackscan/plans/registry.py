@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stackscan.plans import queries_detect
+from stackscan.plans import queries_detect, queries_evidence
 
-_MODULES = (queries_detect,)
+_MODULES = (queries_detect, queries_evidence)
 
 
 def queries() -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.functions.columns import union_all
-from stackscan.functions.regex import required_literals, strip_suffix, to_spark_regex
+from stackscan.functions.regex import literal_needs, strip_suffix, to_spark_regex
 from stackscan.model import (FIELDS, KINDS, MAX_SIGNATURES_PER_PASS, PATTERN_FILE_RECORD,
                              SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA)
 
@@ -143,7 +143,8 @@ def load_library(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
 
 @dataclass(frozen=True)
 class Signature:
-    """One compiled signature. ``needs`` are literals one of which a match must contain."""
+    """One compiled signature. ``needs`` are literals one of which a match must contain; with
+    ``exact`` such a literal already is a match."""
 
     ord: int
     tech: str
@@ -153,6 +154,7 @@ class Signature:
     weight: int
     label: str
     needs: tuple[str, ...] = ()
+    exact: bool = False
 
 
 @dataclass
@@ -199,9 +201,10 @@ def compile_library(technologies: DataFrame, signatures: DataFrame,
             if error:
                 rejects.append((row["tech"], row["file"], row["kind"], row["key"], row["pattern"], error))
                 continue
-            needs = tuple(required_literals(pattern)) if row["kind"] in ("html", "script", "network") else ()
+            text = row["kind"] in ("html", "script", "network")
+            needs, exact = literal_needs(pattern) if text else ([], False)
             compiled.append(Signature(len(compiled), row["tech"], row["kind"], row["key"], regex,
-                                      row["weight"], row["label"], needs))
+                                      row["weight"], row["label"], tuple(needs), exact))
             kinds.add(row["kind"])
         passes.append(compiled)
     rejected = spark.createDataFrame(
