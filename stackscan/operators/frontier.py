@@ -87,7 +87,8 @@ def not_scanned(candidates: DataFrame, scanned: DataFrame, on: str = "url") -> D
 
 
 def derived_candidates(sites: DataFrame, config: ScanConfig = ScanConfig(), url_col: str = "url") -> DataFrame:
-    """Subdomain and path candidates of every site, in probing order."""
+    """Subdomain and path candidates of every site, in probing order (F6). Other columns of
+    ``sites`` are passed on."""
     url = F.col(url_col)
     pairs = []
     for i, prefix in enumerate(config.derived_prefixes):
@@ -96,12 +97,12 @@ def derived_candidates(sites: DataFrame, config: ScanConfig = ScanConfig(), url_
         pairs += [F.struct(F.lit(i).alias("prefix_ord"), F.lit(prefix).alias("prefix"),
                            F.lit(k).alias("variant"), c.alias("candidate"))
                   for k, c in enumerate((subdomain, folder))]
-    rows = sites.filter(urls.host(url).isNotNull()).select(url_col, F.explode(F.array(*pairs)).alias("c"))
-    return rows.select(url_col, "c.*").filter(
+    rows = sites.filter(urls.host(url).isNotNull()).select("*", F.explode(F.array(*pairs)).alias("c"))
+    return rows.select(*sites.columns, "c.*").filter(
         (F.col("candidate") != url) & (F.col("candidate") != F.concat(url, F.lit("/"))))
 
 
-def reachable_derived(candidates: DataFrame, responses: DataFrame, url_col: str = "url") -> DataFrame:
+def reachable_derived(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """The first candidate per site and prefix that answered.
 
     ``responses(url, status)`` is the crawler's response log.
@@ -109,20 +110,20 @@ def reachable_derived(candidates: DataFrame, responses: DataFrame, url_col: str
     status = F.col("status")
     answered = responses.filter((status < 400) | status.isin(401, 403)).select(F.col("url").alias("candidate")).distinct()
     first = F.min(F.struct("variant", "candidate")).alias("first")
-    return candidates.join(answered, "candidate").groupBy(url_col, "prefix_ord", "prefix").agg(first).select(
-        url_col, "prefix_ord", "prefix", F.col("first.variant").alias("variant"), F.col("first.candidate").alias("candidate"))
+    keys = [c for c in candidates.columns if c not in ("variant", "candidate")]
+    return candidates.join(answered, "candidate").groupBy(*keys).agg(first).select(*keys, "first.*")
 
 
 def probe_targets(sites: DataFrame, config: ScanConfig = ScanConfig(), url_col: str = "url") -> DataFrame:
-    """Probe URLs of every site's origin."""
+    """Probe URLs of every site's origin (F7). Other columns of ``sites`` are passed on."""
     paths = F.array(*[F.struct(F.lit(i).alias("probe_ord"), F.lit(p).alias("path"))
                       for i, p in enumerate(config.probe_paths)])
     start = urls.origin(F.col(url_col))
-    return sites.filter(start.isNotNull()).select(url_col, start.alias("origin"), F.explode(paths).alias("p")).select(
-        url_col, "origin", "p.*", F.concat("origin", "p.path").alias("target"))
+    return sites.filter(start.isNotNull()).select("*", start.alias("origin"), F.explode(paths).alias("p")).select(
+        *sites.columns, "origin", "p.*", F.concat("origin", "p.path").alias("target"))
 
 
-def probe_pages(targets: DataFrame, responses: DataFrame, url_col: str = "url") -> DataFrame:
+def probe_pages(targets: DataFrame, responses: DataFrame) -> DataFrame:
     """Useful probe answers of a site pooled into one page of evidence.
 
     ``responses(url, fetched_at, status, headers, body)`` is the crawler's log; the latest answer
@@ -135,10 +136,11 @@ def probe_pages(targets: DataFrame, responses: DataFrame, url_col: str = "url")
     # Maps cannot be ordered, so an answer's headers travel as an array of entries.
     row = F.struct("probe_ord", "path", F.col("r.status").alias("status"), F.col("r.body").alias("body"),
                    F.map_entries("r.headers").alias("headers"))
-    pooled = useful.groupBy(url_col).agg(F.array_sort(F.collect_list(row)).alias("answers"))
+    keys = [c for c in targets.columns if c not in ("origin", "probe_ord", "path", "target")]
+    pooled = useful.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("answers"))
     headers = F.flatten(F.array_compact(F.transform("answers", lambda a: F.transform(a["headers"], lambda h: F.struct(
         F.lower(h["key"]).alias("key"), h["value"].alias("value"))))))
     return pooled.select(
-        url_col, F.array_join(F.transform("answers", lambda a: a["body"]), "\n").alias("html"),
+        *keys, F.array_join(F.transform("answers", lambda a: a["body"]), "\n").alias("html"),
         last_per_key(headers).alias("headers"),
         F.transform(F.filter("answers", lambda a: a["status"] == 200), lambda a: a["path"]).alias("api_endpoints"))

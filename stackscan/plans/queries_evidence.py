@@ -148,9 +148,9 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """A response log: two fetches per derived or probed address, by formula."""
     sites = demo.raw_pages(spark, sf).select(F.concat(urls.origin(F.col("url")), F.lit("/")).alias("url"), "page_id")
     first = sites.groupBy("url").agg(F.min("page_id").alias("n"))
-    derived = frontier.derived_candidates(first).join(first, "url").select(
+    derived = frontier.derived_candidates(first).select(
         F.col("candidate").alias("url"), "n", (F.col("prefix_ord") + F.col("variant")).alias("k"))
-    probes = frontier.probe_targets(first).join(first, "url").select(
+    probes = frontier.probe_targets(first).select(
         F.col("target").alias("url"), "n", F.col("probe_ord").alias("k"))
     asked = derived.unionByName(probes).groupBy("url").agg(F.min("n").alias("n"), F.min("k").alias("k"))
     m = F.col("n") + F.col("k")

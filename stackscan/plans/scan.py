@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackscan.functions import urls
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier, rollup
-from stackscan.operators.evidence import PAGE_INPUTS, extract_evidence, with_page_inputs
+from stackscan.operators.evidence import PAGE_INPUTS, anchors, extract_evidence, markup, with_page_inputs
 from stackscan.operators.match import detect
 from stackscan.sources.signatures import Library
 
@@ -55,28 +55,29 @@ def linked_scan(seeds: DataFrame, pages: DataFrame, responses: DataFrame, librar
                 config: ScanConfig = ScanConfig()) -> DataFrame:
     """Scan documents of seed URLs, choosing the further pages the way a live scan does.
 
-    ``seeds(site, url)``; ``pages`` is the page store by ``url``; ``responses`` the crawler's log
-    (``url``, ``fetched_at``, ``status``, ``headers``, ``body``). A site's pages are its main page,
-    pages linked from it, derived subdomains or paths that answered, and the pooled probes.
+    ``seeds(site, url)``; ``pages`` is the page store, one row per ``url``; ``responses`` the
+    crawler's log (``url``, ``fetched_at``, ``status``, ``headers``, ``body``). A site's pages are
+    its main page, pages linked from it, derived subdomains or paths that answered, and the pooled
+    probes. The store is joined with lists of wanted URLs; only wanted pages' HTML moves on.
     """
-    store = with_page_inputs(pages)
-    columns = ["html", *PAGE_INPUTS]
-    by_url = store.groupBy("url").agg(F.first(F.struct(*columns)).alias("page")).select("url", "page.*")
-    main = frontier.drop_excluded(seeds.join(by_url, "url"), config, "url").withColumn("page_ord", F.lit(0))
-    links = frontier.candidate_links(extract_evidence(main, config), ["site"], config)
-    slots = frontier.page_budget(links, "site", ["pos"], config)
-    fresh = slots.join(main.select("site", F.col("url").alias("href")), ["site", "href"], "left_anti")
-    extra = frontier.drop_excluded(
-        fresh.select("site", F.col("href").alias("url"), F.col("slot").alias("page_ord")).join(by_url, "url"), config, "url")
-    derived = frontier.reachable_derived(frontier.derived_candidates(main.select("url"), config), responses)
-    derived_pages = frontier.drop_excluded(
-        main.select("site", F.col("url").alias("seed"))
-        .join(derived.select(F.col("url").alias("seed"), F.col("candidate").alias("url"), F.col("prefix_ord").alias("page_ord")), "seed")
-        .drop("seed").join(by_url, "url"), config, "url")
-    pooled = frontier.probe_pages(frontier.probe_targets(main.select("url"), config), responses)
-    probe = main.select("site", "url").join(pooled, "url").withColumn("page_ord", F.lit(0))
-    found = rollup.union_sources(
-        main=detect_pages(main, library, IDS, config), additional=detect_pages(extra, library, IDS, config),
-        derived=detect_pages(derived_pages, library, IDS, config), probe=detect(probe, library, IDS, config))
-    scanned = page_scans(main).unionByName(page_scans(extra))
-    return rollup.scan_documents(scanned, rollup.merge_sites(found))
+    store = with_page_inputs(pages).select("url", "html", *PAGE_INPUTS)
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return frontier.drop_excluded(store.join(wanted, "url"), config, "url")
+
+    first = seeds.select("site", "url", F.lit(0).alias("source_ord"), F.lit(0).cast("long").alias("page_ord"))
+    main = fetch(first)
+    links = frontier.candidate_links(
+        main.select("site", "url", anchors(markup(F.col("html")), F.col("url")).alias("links")), ["site", "url"], config)
+    slots = frontier.page_budget(links, "site", ["pos"], config).filter(F.col("href") != F.col("url"))
+    linked = slots.select("site", F.col("href").alias("url"), F.lit(1).alias("source_ord"), F.col("slot").cast("long").alias("page_ord"))
+    roots = seeds.select("site", "url")
+    answered = frontier.reachable_derived(frontier.derived_candidates(roots, config), responses)
+    derived = answered.select(
+        "site", F.col("candidate").alias("url"), F.lit(2).alias("source_ord"), F.col("prefix_ord").cast("long").alias("page_ord"))
+    scanned = main.unionByName(fetch(linked.unionByName(derived)))
+    pooled = frontier.probe_pages(frontier.probe_targets(roots, config), responses)
+    probes = pooled.withColumns({"source_ord": F.lit(3), "page_ord": F.lit(0).cast("long")})
+    ids = [*IDS, "source_ord"]
+    found = detect_pages(scanned, library, ids, config).unionByName(detect(probes, library, ids, config))
+    return rollup.scan_documents(page_scans(scanned.filter("source_ord <= 1")), rollup.merge_sites(found))
