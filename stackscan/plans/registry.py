@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stackscan.plans import queries_detect, queries_evidence
+from stackscan.plans import queries_detect, queries_evidence, queries_quality
 
-_MODULES = (queries_detect, queries_evidence)
+_MODULES = (queries_detect, queries_evidence, queries_quality)
 
 
 def queries() -> dict:
