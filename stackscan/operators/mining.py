@@ -66,15 +66,20 @@ def institution_hits(members: DataFrame, scans: DataFrame, scan_pages: DataFrame
                      as_regex: bool = False, member_rows: int | None = POSITIVE_SAMPLE + NEGATIVE_SAMPLE) -> DataFrame:
     """Per institution of the universe: whether any page matches, one matching URL, pages.
 
-    The members' scans are found first, so pages of other institutions are dropped by scan id
-    before their HTML is tested; flags are combined map-side.
+    ``member_rows`` bounds the members of a sampled universe: their scans are found first and
+    pages of other institutions dropped by scan id before their HTML is tested. Without a bound
+    every page is tested where it lies and only the outcome moves. Flags are combined map-side.
     """
-    rows = member_rows if member_rows is not None else MAX_BROADCAST_ROWS + 1
-    chosen = lookup_join(scans.select(F.col("id").alias("scan_id"), F.col("institution_id").alias("id")), members,
-                         ["id"], ["scan_id"], rows)
+    keys = scans.select(F.col("id").alias("scan_id"), F.col("institution_id").alias("id"))
+    rows = MAX_BROADCAST_ROWS + 1 if member_rows is None else member_rows
+    chosen = lookup_join(keys, members, ["id"], ["scan_id"], rows)
     pages = scan_pages.filter("content.html is not null").select(
         "scan_id", F.col("content.url").alias("url"), F.col("content.html").alias("html"))
-    tested = pages.join(chosen, "scan_id").select("id", "is_pos", "url", matches(F.col("html"), signature, as_regex).alias("hit"))
+    hit = matches(F.col("html"), signature, as_regex).alias("hit")
+    if member_rows is None:
+        tested = pages.select("scan_id", "url", hit).join(chosen, "scan_id")
+    else:
+        tested = pages.join(chosen, "scan_id").select("id", "is_pos", "url", hit)
     return tested.groupBy("id", "is_pos").agg(
         F.max("hit").alias("hit"), F.min(F.when(F.col("hit"), F.col("url"))).alias("sample_hit_url"),
         F.count("*").alias("pages"))

@@ -6,6 +6,7 @@ then counted per pattern. Patterns and snapshots are never paired by a join.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from stackscan.functions.columns import union_all
 from stackscan.functions.regex import required_literals, strip_suffix, to_spark_regex
 from stackscan.model import MAX_SIGNATURES_PER_PASS
 from stackscan.operators.candidates import candidate_column, key_trigger
-from stackscan.sources.signatures import _regex_error
+from stackscan.sources.signatures import valid_regex
 
 # Statuses the validation may overwrite.
 AUTO_STATUSES = ("", "verified", "suspect", "false-positive", "needs-review", "no-evidence")
@@ -43,36 +44,43 @@ def _identifier(key: str) -> str:
     return r"(?i)\b" + "".join("\\" + c if c in ".*+?^${}()|[]\\" else c for c in key) + r"\b"
 
 
-def compile_ledger(rows: DataFrame, mode: str) -> tuple[list[dict], list[list[tuple[str, str]]]]:
-    """Test rows and their triggers for one bounded set of ledger rows."""
-    spark = rows.sparkSession
+def prepare_ledger(rows: DataFrame) -> DataFrame:
+    """Distinct ledger patterns taken apart: key, regexes for key and value, literals, validity."""
+
+    @F.pandas_udf("plain string, key string, key_regex string, value_regex string, needs array<string>")
+    def take_apart(fields: pd.Series, patterns: pd.Series) -> pd.DataFrame:
+        out = []
+        for field, pattern in zip(fields, patterns):
+            plain = strip_suffix(pattern or "").strip()
+            if field in ("html", "scripts"):
+                out.append((plain, None, to_spark_regex(plain), None, required_literals(plain)))
+                continue
+            key, _, value = plain.partition("=")
+            regex = _identifier(key) if field == "js" else to_spark_regex(key)
+            out.append((plain, key, regex, to_spark_regex(value) if value else None,
+                        required_literals(key) if field == "cookies" else []))
+        return pd.DataFrame(out, columns=["plain", "key", "key_regex", "value_regex", "needs"])
+
+    parts = rows.select(*ROW).distinct().withColumn("p", take_apart("field", "pattern")).select(*ROW, "p.*")
+    by_key = F.col("field").isin("headers", "meta")
+    return parts.filter("plain != ''").filter(
+        (by_key | valid_regex(F.col("key_regex"))) & (F.col("value_regex").isNull() | valid_regex(F.col("value_regex"))))
+
+
+def compile_ledger(prepared: DataFrame, mode: str) -> tuple[list[dict], list[list[tuple[str, str]]]]:
+    """Test rows and their triggers for one bounded set of prepared ledger rows."""
     tests, triggers = [], []
-    for row in rows.select(*ROW).distinct().orderBy(*ROW).toLocalIterator():
-        field, pattern = row["field"], strip_suffix(row["pattern"] or "").strip()
-        if not pattern:
-            continue
-        key, _, value = pattern.partition("=")
-        keyed = field not in ("html", "scripts")
-        main = pattern if not keyed else (_identifier(key) if field == "js" else key)
-        regex = main if field == "js" else to_spark_regex(main)
-        value_regex = to_spark_regex(value) if keyed and value else None
-        checked = [regex] if field in ("html", "scripts", "js", "cookies") else []
-        if any(_regex_error(spark, r) for r in checked + ([value_regex] if value_regex else [])):
-            continue
-        tests.append({**row.asDict(), "key": key if keyed else None, "key_regex": regex, "value_regex": value_regex})
-        if field == "html":
-            wanted = [("html", n) for n in required_literals(pattern)] or [("html", "")]
-        elif field == "scripts":
-            wanted = [("scripts", n) for n in required_literals(pattern)] or [("scripts", "")]
+    for row in prepared.orderBy(*ROW).toLocalIterator():
+        field, key, needs = row["field"], row["key"], row["needs"]
+        tests.append({c: row[c] for c in (*ROW, "key", "key_regex", "value_regex")})
+        if field in ("html", "scripts") or (field == "cookies" and mode == "validate"):
+            wanted = [(field, n) for n in needs] or [(field, "")]
         elif field == "js":
             wanted = [("key", key_trigger("js", key))]
             if mode == "validate":
                 wanted.append(("html", key.lower() if key.isascii() else ""))
-        elif field == "cookies":
-            wanted = ([("cookies", n) for n in required_literals(key)] or [("cookies", "")]) \
-                if mode == "validate" else [("key", key_trigger("cookies", key))]
         else:
-            wanted = [("key", key_trigger(field, key.lower()))]
+            wanted = [("key", key_trigger(field, key if field == "cookies" else key.lower()))]
         triggers.append(wanted)
     return tests, triggers
 
@@ -128,10 +136,11 @@ def snapshot_hits(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "val
                     tagged("js", F.map_keys("js_objects"), False), tagged("cookies", names, False))
     texts = {"html": F.col("html"), "scripts": F.concat_ws("\n", F.transform("scripts", lambda s: s["src"])),
              "cookies": F.concat_ws("\n", names)}
+    prepared = prepare_ledger(ledger_rows)
     n_passes = max(1, -(-ledger_rows.count() // per_pass))
     parts = []
     for number in range(n_passes):
-        share = ledger_rows if n_passes == 1 else ledger_rows.filter(
+        share = prepared if n_passes == 1 else prepared.filter(
             F.pmod(F.xxhash64(*ROW), F.lit(n_passes)) == number)
         tests, triggers = compile_ledger(share, mode)
         found = candidate_column(spark, tests, triggers, _CANDIDATE, texts, keys)

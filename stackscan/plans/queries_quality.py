@@ -49,7 +49,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("n") % 3 == 1, F.array(F.col("kind"))).alias("scriptSrc"),
         F.create_map(F.lit("X-Part"), F.col("p_brand")).alias("headers"), F.create_map(F.col("word"), F.lit("")).alias("js"),
         (F.col("n") % 2 == 0).alias("higher_ed"))
-    entry = F.struct(F.col("n"), F.concat(F.to_json(F.col("p_name")) if False else _cat('"', F.col("p_name"), '":'), F.to_json(record)).alias("text"))
+    entry = F.struct(F.col("n"), _cat('"', F.col("p_name"), '":', F.to_json(record)).alias("text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), ",")
     return rows.select((F.col("n") / 200).cast("int").alias("file_ord"), entry.alias("e")).groupBy("file_ord").agg(
         _cat('{"_metadata":{"description":"x"},', text, "}").alias("value")).select(
@@ -252,7 +252,7 @@ def rejected_signatures(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns no regex engine accepts, set aside at load: every fifth part's has a loose end."""
     broken = _signatures(spark, sf).filter("kind = 'html'").withColumn(
         "pattern", F.when(F.col("tech_ord") % 5 == 0, _cat(F.col("pattern"), "(")).otherwise(F.col("pattern")))
-    return library.compile_library(_technologies(spark, sf), broken).rejected.select("tech", "kind", "pattern")
+    return library.rejected_signatures(library.prepare_signatures(broken)).select("tech", "kind", "pattern")
 
 
 # ---- validation ----
@@ -391,11 +391,11 @@ texts AS (SELECT *, CASE n % 10 WHEN 0 THEN p_name WHEN 1 THEN '.*' || word || '
     WHEN 3 THEN '/' || word || '_path\\b' WHEN 4 THEN left(word, 3) WHEN 5 THEN kind || '-' || word
     WHEN 6 THEN ({_values(fixed.AUDIT_COMMON_WORDS)})[n % {len(fixed.AUDIT_COMMON_WORDS)} + 1] WHEN 7 THEN 'class=".*' || word
     WHEN 8 THEN '\\$\\(' || word ELSE word || p_size || '?x' END AS text,
-  ({_values([*fixed.AUDIT_SHORT_GLOBALS, *fixed.JS_GLOBALS])})[n % {len(fixed.AUDIT_SHORT_GLOBALS) + len(fixed.JS_GLOBALS)} + 1] AS glob FROM named),
+  ({_values([*fixed.AUDIT_SHORT_GLOBALS, *fixed.JS_GLOBALS])})[n % {len(fixed.AUDIT_SHORT_GLOBALS) + len(fixed.JS_GLOBALS)} + 1] AS js_name FROM named),
 sigs AS (
   SELECT tech, n, file, 'html' AS field, 'html' AS kind, text AS shown, text AS head FROM texts
   UNION ALL SELECT tech, n, file, 'scripts', 'script', kind || '/' || word || '\\.js', kind || '/' || word || '\\.js' FROM texts
-  UNION ALL SELECT tech, n, file, 'js', 'js', glob, glob FROM texts WHERE n % 4 = 0
+  UNION ALL SELECT tech, n, file, 'js', 'js', js_name, js_name FROM texts WHERE n % 4 = 0
   UNION ALL SELECT tech, n, file, 'headers', 'header', 'X-' || word || '=' || p_brand, 'X-' || word FROM texts WHERE n % 4 = 1
   UNION ALL SELECT tech, n, file, 'cookies', 'cookie', left(word, 3) || CASE WHEN n % 2 = 0 THEN '_session' ELSE '' END, left(word, 3) || CASE WHEN n % 2 = 0 THEN '_session' ELSE '' END FROM texts WHERE n % 4 = 2
   UNION ALL SELECT tech, n, file, 'meta', 'meta', CASE WHEN n % 2 = 0 THEN 'generator' ELSE word END || '=' || kind, CASE WHEN n % 2 = 0 THEN 'generator' ELSE word END FROM texts WHERE n % 4 = 3

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,48 +169,57 @@ class Library:
     kinds: set[str] = field(default_factory=set)
 
 
-def _regex_error(spark: SparkSession, pattern: str) -> str | None:
-    """Why Spark's regex engine refuses a pattern, or null. One bad pattern would fail a job."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-        return None
-    except Exception as err:  # the gateway wraps the engine's syntax error
-        return str(getattr(err, "java_exception", err)).splitlines()[0]
+def valid_regex(pattern: Column) -> Column:
+    """Whether Spark's regex engine accepts a pattern. A single bad one would fail a whole job."""
+    engine = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return engine.isNotNull()
+
+
+def prepare_signatures(signatures: DataFrame) -> DataFrame:
+    """Signatures with Spark's form of the pattern, its literals, and whether it is valid."""
+
+    @F.pandas_udf("regex string, needs array<string>, exact boolean")
+    def translate(patterns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for pattern in patterns:
+            plain = strip_suffix(pattern or "")
+            rows.append((to_spark_regex(plain), *literal_needs(plain)))
+        return pd.DataFrame(rows, columns=["regex", "needs", "exact"])
+
+    text = F.col("kind").isin("html", "script", "network")
+    prepared = signatures.withColumn("_t", translate("pattern")).select(
+        "*", F.col("_t.regex").alias("regex"),
+        F.when(text, F.col("_t.needs")).otherwise(F.array().cast("array<string>")).alias("needs"),
+        (text & F.col("_t.exact")).alias("exact")).drop("_t")
+    return prepared.withColumn("valid", (F.col("kind") == "js") | valid_regex(F.col("regex")))
+
+
+def rejected_signatures(prepared: DataFrame) -> DataFrame:
+    """Signatures set aside because their pattern is no regular expression."""
+    return prepared.filter(~F.col("valid")).select(
+        "tech", "file", "kind", "key", "pattern", F.lit("invalid regular expression").alias("reason"))
 
 
 def compile_library(technologies: DataFrame, signatures: DataFrame,
                     per_pass: int = MAX_SIGNATURES_PER_PASS) -> Library:
-    """Translate and check every pattern; invalid ones are set aside with the reason.
+    """Check every pattern and make the valid ones ready for matching.
 
     The library is configuration, but its size is still counted first: above ``per_pass``
     signatures it is split into passes, each of which ships at most about that many to the
     executors.
     """
-    spark = signatures.sparkSession
-    total = signatures.count()
-    n_passes = max(1, -(-total // per_pass))
-    rejects, passes, kinds = [], [], set()
-    ordered = ["tech_ord", "tech", "kind_ord", "ord"]
+    prepared = prepare_signatures(signatures)
+    n_passes = max(1, -(-signatures.count() // per_pass))
+    passes, kinds = [], set()
     for number in range(n_passes):
-        share = signatures if n_passes == 1 else signatures.filter(
+        share = prepared if n_passes == 1 else prepared.filter(
             F.pmod(F.xxhash64("tech", "kind", "ord"), F.lit(n_passes)) == number)
-        compiled = []
-        for row in share.orderBy(*ordered).toLocalIterator():
-            pattern = strip_suffix(row["pattern"] or "")
-            regex = to_spark_regex(pattern)
-            error = None if row["kind"] == "js" else _regex_error(spark, regex)
-            if error:
-                rejects.append((row["tech"], row["file"], row["kind"], row["key"], row["pattern"], error))
-                continue
-            text = row["kind"] in ("html", "script", "network")
-            needs, exact = literal_needs(pattern) if text else ([], False)
-            compiled.append(Signature(len(compiled), row["tech"], row["kind"], row["key"], regex,
-                                      row["weight"], row["label"], tuple(needs), exact))
-            kinds.add(row["kind"])
-        passes.append(compiled)
-    rejected = spark.createDataFrame(
-        rejects, "tech string, file string, kind string, key string, pattern string, reason string")
-    return Library(technologies, passes, rejected, technologies.count(), kinds)
+        rows = share.filter("valid").orderBy("tech_ord", "tech", "kind_ord", "ord").toLocalIterator()
+        passes.append([
+            Signature(i, r["tech"], r["kind"], r["key"], r["regex"], r["weight"], r["label"], tuple(r["needs"]), r["exact"])
+            for i, r in enumerate(rows)])
+        kinds.update(s.kind for s in passes[-1])
+    return Library(technologies, passes, rejected_signatures(prepared), technologies.count(), kinds)
 
 
 def signature_rows(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, DataFrame]:
