@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stackscan.plans import queries_detect, queries_evidence, queries_quality
+from stackscan.plans import queries_detect, queries_evidence, queries_history, queries_quality
 
-_MODULES = (queries_detect, queries_evidence, queries_quality)
+_MODULES = (queries_detect, queries_evidence, queries_quality, queries_history)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,38 @@ def daily_rollup(detections: DataFrame, delay: str = "1 day", site: str = "site"
         .select(F.col("day.start").alias("day"), site, "tech", "confidence", "pages"))
 
 
-def first_scans(scans: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """Scans without repeats of a URL inside the time to live."""
-    return scans.withWatermark("timestamp", ttl).dropDuplicatesWithinWatermark(["url"])
+def _accept(ttl_seconds: int):
+    """State function: which of one URL's scans keep the distance to the last accepted one."""
+
+    def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.sort(np.concatenate([b["timestamp"].to_numpy("datetime64[us]") for b in batches])).astype("int64")
+        step, accepted = ttl_seconds * 1_000_000, []
+        due = state.get[0] + step if state.exists else times[0]
+        position = np.searchsorted(times, due)
+        while position < len(times):
+            accepted.append(times[position])
+            position = np.searchsorted(times, times[position] + step)
+        if accepted:
+            state.update((int(accepted[-1]),))
+            yield pd.DataFrame({"url": key[0], "timestamp": pd.to_datetime(accepted, unit="us")})
+        state.setTimeoutDuration(2 * ttl_seconds * 1000)
+
+    return accept
+
+
+def first_scans(scans: DataFrame, ttl_seconds: int = 24 * 3600) -> DataFrame:
+    """Scans of a URL that come at least the time to live after its last accepted scan.
+
+    The state of a URL is one time stamp and expires when the URL stays away. (The built-in
+    de-duplication inside a watermark would also drop repeats that come after the time to live
+    but in the same micro-batch.)
+    """
+    return scans.select("url", "timestamp").groupBy("url").applyInPandasWithState(
+        _accept(ttl_seconds), "url string, timestamp timestamp", "last long", "append",
+        GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -77,7 +107,8 @@ def change_stream(scans: DataFrame) -> DataFrame:
     """Change events of every URL against its last seen technologies (T4).
 
     The state of a URL is its last set of names and expires after 30 days without a scan.
-    ``scans`` holds ``scan_id``, ``url``, ``timestamp``, ``technologies``.
+    ``scans`` holds ``scan_id``, ``url``, ``timestamp``, ``technologies``; the freshness gate
+    (``first_scans``, ``due_urls``) keeps the scans of a URL in one micro-batch few.
     """
     return scans.groupBy("url").applyInPandasWithState(
         _changes, CHANGE, "technologies array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
