@@ -49,6 +49,11 @@ def daily_rollup(detections: DataFrame, delay: str = "1 day", site: str = "site"
         .select(F.col("day.start").alias("day"), site, "tech", "confidence", "pages"))
 
 
+def _expire(state: GroupState, last_us: int, keep_seconds: int) -> None:
+    """Let a URL's state go when event time has passed its last scan by ``keep_seconds``."""
+    state.setTimeoutTimestamp(max(last_us // 1000 + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+
 def _accept(ttl_seconds: int):
     """State function: which of one URL's scans keep the distance to the last accepted one."""
 
@@ -61,57 +66,64 @@ def _accept(ttl_seconds: int):
         due = state.get[0] + step if state.exists else times[0]
         position = np.searchsorted(times, due)
         while position < len(times):
-            accepted.append(times[position])
+            accepted.append(int(times[position]))
             position = np.searchsorted(times, times[position] + step)
         if accepted:
-            state.update((int(accepted[-1]),))
-            yield pd.DataFrame({"url": key[0], "timestamp": pd.to_datetime(accepted, unit="us")})
-        state.setTimeoutDuration(2 * ttl_seconds * 1000)
+            state.update((accepted[-1],))
+            _expire(state, accepted[-1], ttl_seconds)
+            yield pd.DataFrame({"url": key[0], "timestamp": np.array(accepted, dtype="datetime64[us]")})
+        elif state.exists:
+            _expire(state, state.get[0], ttl_seconds)
 
     return accept
 
 
-def first_scans(scans: DataFrame, ttl_seconds: int = 24 * 3600) -> DataFrame:
+def first_scans(scans: DataFrame, ttl_seconds: int = 24 * 3600, delay: str = "1 hour") -> DataFrame:
     """Scans of a URL that come at least the time to live after its last accepted scan.
 
-    The state of a URL is one time stamp and expires when the URL stays away. (The built-in
-    de-duplication inside a watermark would also drop repeats that come after the time to live
-    but in the same micro-batch.)
+    The state of a URL is one time stamp, dropped once the time to live has passed. Scans that
+    come later than ``delay`` are dropped. (The built-in de-duplication inside a watermark would
+    also drop repeats that come after the time to live but in the same micro-batch.)
     """
-    return scans.select("url", "timestamp").groupBy("url").applyInPandasWithState(
-        _accept(ttl_seconds), "url string, timestamp timestamp", "last long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Compare each scan of one URL with the set of names kept from the scan before."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    scans = pd.concat(list(batches)).sort_values(["timestamp", "scan_id"])
-    last = set(state.get[0]) if state.exists else None
-    rows = []
-    for when, names in zip(scans["timestamp"], scans["technologies"]):
-        now = set(names)
-        if last is not None:
-            rows += [(key[0], when, "added", t) for t in sorted(now - last)]
-            rows += [(key[0], when, "removed", t) for t in sorted(last - now)]
-        last = now
-    state.update((sorted(last or ()),))
-    state.setTimeoutDuration(30 * 24 * 3600 * 1000)
-    if rows:
-        yield pd.DataFrame(rows, columns=["url", "timestamp", "type", "technology"])
-
-
-def change_stream(scans: DataFrame) -> DataFrame:
+    return (
+        scans.select("url", "timestamp").withWatermark("timestamp", delay).groupBy("url").applyInPandasWithState(
+            _accept(ttl_seconds), "url string, timestamp timestamp", "last long", "append",
+            GroupStateTimeout.EventTimeTimeout))
+
+
+def _compare(keep_seconds: int):
+    """State function: compare each scan of one URL with the names kept from the scan before."""
+
+    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        scans = pd.concat(list(batches)).sort_values(["timestamp", "scan_id"])
+        last = set(state.get[0]) if state.exists else None
+        rows = []
+        for when, names in zip(scans["timestamp"], scans["technologies"]):
+            now = set(names)
+            if last is not None:
+                rows += [(key[0], when, "added", t) for t in sorted(now - last)]
+                rows += [(key[0], when, "removed", t) for t in sorted(last - now)]
+            last = now
+        state.update((sorted(last),))
+        _expire(state, int(scans["timestamp"].iloc[-1].value) // 1000, keep_seconds)
+        if rows:
+            yield pd.DataFrame(rows, columns=["url", "timestamp", "type", "technology"])
+
+    return compare
+
+
+def change_stream(scans: DataFrame, keep_seconds: int = 30 * 24 * 3600, delay: str = "1 hour") -> DataFrame:
     """Change events of every URL against its last seen technologies (T4).
 
-    The state of a URL is its last set of names and expires after 30 days without a scan.
-    ``scans`` holds ``scan_id``, ``url``, ``timestamp``, ``technologies``; the freshness gate
-    (``first_scans``, ``due_urls``) keeps the scans of a URL in one micro-batch few.
+    The state of a URL is its last set of names; it goes when the URL has had no scan for
+    ``keep_seconds``. ``scans`` holds ``scan_id``, ``url``, ``timestamp``, ``technologies``; the
+    freshness gate (``first_scans``, ``due_urls``) keeps a URL's scans in one micro-batch few.
     """
-    return scans.groupBy("url").applyInPandasWithState(
-        _changes, CHANGE, "technologies array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return scans.withWatermark("timestamp", delay).groupBy("url").applyInPandasWithState(
+        _compare(keep_seconds), CHANGE, "technologies array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def maintain_stats(detected: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
