@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stackscan.functions import urls
 from stackscan.model import KINDS, ScanConfig, TECHNOLOGY_SCHEMA
+from stackscan.operators.evidence import extract_evidence
 from stackscan.sources.pages import spread
 from stackscan.sources.signatures import Library, compile_library, signature_rows
 
@@ -149,6 +150,12 @@ def demo_pages(spark: SparkSession, sf: str) -> DataFrame:
     return decorate(raw_pages(spark, sf))
 
 
+@cache
+def demo_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of the demo pages; the plan is built once per session."""
+    return extract_evidence(demo_pages(spark, sf), CONFIG)
+
+
 # ---- the same in SQL ----
 
 def _quote(value: str | None) -> str:

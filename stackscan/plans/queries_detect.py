@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.model import ScanConfig
 from stackscan.operators import match, rollup
-from stackscan.operators.evidence import extract_evidence
 from stackscan.plans import demo, scan
 from stackscan.sources import sinks
 
@@ -15,18 +16,20 @@ IDS = ["page_id"]
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_evidence(demo.demo_pages(spark, sf), demo.CONFIG)
+    return demo.demo_evidence(spark, sf)
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     return match.signature_matches(_evidence(spark, sf), demo.library(spark), IDS)
 
 
+@cache
 def _detections(spark: SparkSession, sf: str, config: ScanConfig = demo.CONFIG) -> DataFrame:
     ids = ["page_id", "site", "url", "page_ord"]
     return match.detect(_evidence(spark, sf), demo.library(spark), ids, config)
 
 
+@cache
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.merge_sites(_detections(spark, sf))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier
-from stackscan.operators.evidence import extract_evidence, long_evidence
+from stackscan.operators.evidence import long_evidence
 from stackscan.plans import demo, scan
 from stackscan.sources import snapshots
 
@@ -18,7 +20,7 @@ LINKS = ScanConfig(strategic_paths=("/student", "/the", "log in", "/library"), f
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_evidence(demo.demo_pages(spark, sf), demo.CONFIG)
+    return demo.demo_evidence(spark, sf)
 
 
 def _list(column):
@@ -144,6 +146,7 @@ def unscanned_links(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.not_scanned(links, scanned, "href").select("page_id", "href", "source")
 
 
+@cache
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """A response log: two fetches per derived or probed address, by formula."""
     sites = demo.raw_pages(spark, sf).select(F.concat(urls.origin(F.col("url")), F.lit("/")).alias("url"), "page_id")

@@ -6,13 +6,14 @@ signature file, with patterns put together from its name, brand and type.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackscan import fixed
 from stackscan.functions.categories import category_names
 from stackscan.operators import mining, quality, validate
-from stackscan.operators.evidence import extract_evidence
 from stackscan.operators.match import detect
 from stackscan.operators.rollup import merge_sites
 from stackscan.plans import demo
@@ -230,7 +231,7 @@ def regression_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 def _regression(spark: SparkSession, sf: str) -> DataFrame:
     """Expectations for every site against its merged technologies."""
     pages = demo.demo_pages(spark, sf)
-    found = detect(extract_evidence(pages, demo.CONFIG), demo.library(spark), ["page_id", "site", "url", "page_ord"], demo.CONFIG)
+    found = detect(demo.demo_evidence(spark, sf), demo.library(spark), ["page_id", "site", "url", "page_ord"], demo.CONFIG)
     sites = pages.select("site").distinct()
     bits = F.length("site")
     expectations = sites.select(
@@ -257,9 +258,10 @@ def rejected_signatures(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- validation ----
 
+@cache
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Every page as a labelled snapshot; the label follows from the page number."""
-    evidence = extract_evidence(demo.demo_pages(spark, sf), demo.CONFIG)
+    evidence = demo.demo_evidence(spark, sf)
     n = F.col("page_id")
     label = (F.when(n % 4 == 0, "wordpress ").when(n % 4 == 1, "Drupal").when(n % 4 == 2, "JOOMLA").otherwise("PHP"))
     return evidence.select(
@@ -310,6 +312,7 @@ def needs_attention(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- mining ----
 
+@cache
 def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as captured pages: a source is an institution, a label puts a vendor in its profile."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

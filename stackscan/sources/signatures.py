@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -210,15 +210,20 @@ def compile_library(technologies: DataFrame, signatures: DataFrame,
     """
     prepared = prepare_signatures(signatures)
     n_passes = max(1, -(-signatures.count() // per_pass))
-    passes, kinds = [], set()
+    passes, kinds, places = [], set(), []
     for number in range(n_passes):
         share = prepared if n_passes == 1 else prepared.filter(
             F.pmod(F.xxhash64("tech", "kind", "ord"), F.lit(n_passes)) == number)
         rows = share.filter("valid").orderBy("tech_ord", "tech", "kind_ord", "ord").toLocalIterator()
-        passes.append([
-            Signature(i, r["tech"], r["kind"], r["key"], r["regex"], r["weight"], r["label"], tuple(r["needs"]), r["exact"])
-            for i, r in enumerate(rows)])
-        kinds.update(s.kind for s in passes[-1])
+        passes.append([])
+        for r in rows:
+            places.append((r["tech_ord"], r["tech"], r["kind_ord"], r["ord"], number, len(passes[-1])))
+            passes[-1].append(Signature(0, r["tech"], r["kind"], r["key"], r["regex"], r["weight"], r["label"],
+                                        tuple(r["needs"]), r["exact"]))
+            kinds.add(r["kind"])
+    # One numbering over all passes, so their matches can be put back in library order.
+    for position, (*_, number, i) in enumerate(sorted(places)):
+        passes[number][i] = replace(passes[number][i], ord=position)
     return Library(technologies, passes, rejected_signatures(prepared), technologies.count(), kinds)
 
 
