@@ -45,6 +45,13 @@ def last_per_key(entries: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
 
 
+def unnest(frame: DataFrame, keep: list[str], items: str | Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array item. For a plain ``explode`` Spark first filters by the array's size and
+    so computes the array several times; the outer form computes it once."""
+    rows = F.posexplode_outer(items).alias(pos, name) if pos else F.explode_outer(items).alias(name)
+    return frame.select(*keep, rows).filter(F.col(name).isNotNull())
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
-from stackscan.functions.columns import any_contains, last_per_key
+from stackscan.functions.columns import any_contains, last_per_key, unnest
 from stackscan.model import ScanConfig
 
 
 def page_links(pages: DataFrame, ids: list[str]) -> DataFrame:
     """One row per link of a page: position, address, text."""
-    return pages.select(*ids, "url", F.posexplode_outer("links").alias("pos", "link")).filter(
-        "link is not null").select(*ids, "url", "pos", "link.href", "link.text")
+    return unnest(pages, [*ids, "url"], "links", "link", "pos").select(*ids, "url", "pos", "link.href", "link.text")
 
 
 def _distinct_links(links: Column) -> Column:
@@ -48,8 +47,7 @@ def candidate_links(pages: DataFrame, ids: list[str], config: ScanConfig = ScanC
     chosen = split.select(
         *ids, F.when(F.size("_strategic") > 0, "strategic").otherwise("fallback").alias("source"),
         _distinct_links(F.when(F.size("_strategic") > 0, F.col("_strategic")).otherwise(F.col("_fallback"))).alias("_chosen"))
-    return chosen.select(*ids, "source", F.posexplode_outer("_chosen").alias("pos", "link")).filter(
-        "link is not null").select(*ids, "source", "pos", "link.href", "link.text")
+    return unnest(chosen, [*ids, "source"], "_chosen", "link", "pos").select(*ids, "source", "pos", "link.href", "link.text")
 
 
 def strategic_links(pages: DataFrame, ids: list[str], config: ScanConfig = ScanConfig()) -> DataFrame:

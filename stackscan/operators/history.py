@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackscan.functions.columns import unnest
+
 
 def due_urls(worklist: DataFrame, scans: DataFrame, now: Column, ttl: str = "24 HOURS") -> DataFrame:
     """Worklist URLs without a scan inside the time to live (H1)."""
@@ -74,7 +76,7 @@ def scan_changes(scans: DataFrame, now: Column, days: int = 30, tie: str = "scan
     changes = F.concat(
         F.transform(F.array_except("latest", "previous"), lambda t: F.struct(F.lit("added").alias("type"), t.alias("technology"))),
         F.transform(F.array_except("previous", "latest"), lambda t: F.struct(F.lit("removed").alias("type"), t.alias("technology"))))
-    return pairs.select("url", "timestamp", F.explode(changes).alias("c")).select("url", "c.*", "timestamp")
+    return unnest(pairs, ["url", "timestamp"], changes, "c").select("url", "c.*", "timestamp")
 
 
 def change_sets(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackscan import fixed
-from stackscan.functions.columns import any_contains, union_all
+from stackscan.functions.columns import any_contains, union_all, unnest
 
 # Signature fields the ledger covers; kinds the audit covers.
 LEDGER_FIELDS = ("html", "scripts", "headers", "meta", "cookies", "js")
@@ -84,9 +84,9 @@ def audit_issues(signatures: DataFrame) -> DataFrame:
         issue((F.col("kind") == "js") & p.isin(*fixed.AUDIT_SHORT_GLOBALS), "ERROR",
               F.lit("Short/common JS object name: "), *quoted, F.lit(" - too likely to cause false positives")),
     )
-    return signatures.filter(F.col("kind").isin(*AUDIT_KINDS)).select(
-        "tech", "file", _audit_field().alias("field"), p.alias("pattern"),
-        F.explode(F.array_compact(issues)).alias("i")).select(
+    audited = signatures.filter(F.col("kind").isin(*AUDIT_KINDS)).withColumn("_issues", F.array_compact(issues)).select(
+        "tech", "file", _audit_field().alias("field"), p.alias("pattern"), "_issues")
+    return unnest(audited, ["tech", "file", "field", "pattern"], "_issues", "i").select(
         "i.severity", "tech", "file", "field", "pattern", "i.message")
 
 
@@ -182,7 +182,7 @@ def segment_coverage(candidates: DataFrame, segments: dict[str, tuple[str, ...]]
     wanted = [(s, i, name) for s, names in segments.items() for i, name in enumerate(names)]
     expected = spark.createDataFrame(wanted, "segment string, pos int, system string")
     systems = F.array(*[F.lit(name) for _, _, name in wanted])
-    named = candidates.select("tech", "tech_ord", F.explode(F.filter(systems, _names)).alias("system"))
+    named = unnest(candidates, ["tech", "tech_ord"], F.filter(systems, _names), "system")
     first = named.groupBy("system").agg(F.min_by("tech", "tech_ord").alias("found"))
     return expected.join(F.broadcast(first), "system", "left").select("segment", "pos", "system", "found")
 
@@ -201,7 +201,7 @@ def import_rollup(technologies: DataFrame, popular: tuple[str, ...] = fixed.POPU
     groups = F.array_compact(F.array(
         F.lit("total"), group, F.when(higher, "higher_ed").otherwise("general"),
         F.when((group == "cms") & F.col("tech").isin(*popular), "popular_cms")))
-    return technologies.select(F.explode(groups).alias("category")).groupBy("category").agg(
+    return unnest(technologies, [], groups, "category").groupBy("category").agg(
         F.count("*").alias("technologies"))
 
 

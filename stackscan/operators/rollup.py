@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackscan.functions.columns import union_all
+from stackscan.functions.columns import bind, union_all, unnest
 
 # Page sources of a site in merge order.
 SOURCES = ("main", "additional", "derived", "probe")
@@ -136,7 +136,7 @@ def scan_documents(scans: DataFrame, merged: DataFrame, site: str = "site") -> D
 def category_counts(detections: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Technologies per category."""
     keys = [*(by or []), "category"]
-    return detections.select(*(by or []), F.explode("categories").alias("category")).groupBy(*keys).agg(
+    return unnest(detections, by or [], "categories", "category").groupBy(*keys).agg(
         F.count("*").alias("technologies"))
 
 
@@ -193,8 +193,9 @@ def versioned_technologies(merged: DataFrame, site: str = "site") -> DataFrame:
 def channel_counts(detections: DataFrame) -> DataFrame:
     """Detections, technologies and sole-channel detections per evidence channel."""
     channels = F.array_distinct(F.transform("evidence", lambda e: F.regexp_extract(e, "^([A-Za-z]+):", 1)))
-    rows = detections.select("tech", channels.alias("channels")).select(
-        "tech", (F.size("channels") == 1).alias("sole"), F.explode("channels").alias("channel"))
+    per_channel = F.transform(channels, lambda c: F.struct(c.alias("channel"), F.lit(False).alias("sole")))
+    marked = bind(per_channel, lambda cs: F.transform(cs, lambda c: c.withField("sole", F.size(cs) == 1)))
+    rows = unnest(detections, ["tech"], marked, "c").select("tech", "c.*")
     return rows.groupBy("channel").agg(
         F.count("*").alias("detections"), F.count_distinct("tech").alias("technologies"),
         F.count_if("sole").alias("sole_detections"))

@@ -94,6 +94,7 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+@cache
 def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf}/pages.parquet"))
 

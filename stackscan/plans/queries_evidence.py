@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
+from stackscan.functions.columns import unnest
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier
 from stackscan.operators.evidence import long_evidence
@@ -40,20 +41,20 @@ def page_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def script_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _evidence(spark, sf).select("page_id", F.posexplode("scripts").alias("pos", "s"))
+    rows = unnest(_evidence(spark, sf), ["page_id"], "scripts", "s", "pos")
     return rows.select("page_id", (F.col("pos") + 1).alias("pos"), "s.src", "s.version")
 
 
 def meta_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark, sf).select("page_id", F.explode("meta").alias("key", "value"))
+    return unnest(_evidence(spark, sf), ["page_id"], F.map_entries("meta"), "e").select("page_id", "e.key", "e.value")
 
 
 def header_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark, sf).select("page_id", F.explode("headers").alias("key", "value"))
+    return unnest(_evidence(spark, sf), ["page_id"], F.map_entries("headers"), "e").select("page_id", "e.key", "e.value")
 
 
 def cookie_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark, sf).select("page_id", F.inline("cookies")).select("page_id", "name", "value", "domain")
+    return unnest(_evidence(spark, sf), ["page_id"], "cookies", "c").select("page_id", "c.name", "c.value", "c.domain")
 
 
 def dom_strings(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +78,8 @@ def network_hosts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def version_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark, sf).select("page_id", F.explode("version_info").alias("product", "version"))
+    rows = unnest(_evidence(spark, sf), ["page_id"], F.map_entries("version_info"), "e")
+    return rows.select("page_id", F.col("e.key").alias("product"), F.col("e.value").alias("version"))
 
 
 def api_endpoints(spark: SparkSession, sf: str) -> DataFrame:

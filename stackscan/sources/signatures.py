@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackscan.functions.columns import union_all
+from stackscan.functions.columns import union_all, unnest
 from stackscan.functions.regex import literal_needs, strip_suffix, to_spark_regex
 from stackscan.model import (FIELDS, KINDS, MAX_SIGNATURES_PER_PASS, PATTERN_FILE_RECORD,
                              SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA)
@@ -21,7 +21,7 @@ log = logging.getLogger(__name__)
 def parse_signature_text(files: DataFrame) -> DataFrame:
     """Technology records of signature files given as text: ``file_ord``, ``file``, ``value``."""
     techs = F.from_json("value", f"map<string,{PATTERN_FILE_RECORD}>")
-    return files.select("file_ord", "file", F.posexplode(F.map_entries(techs)).alias("pos", "entry")).select(
+    return unnest(files, ["file_ord", "file"], F.map_entries(techs), "entry", "pos").select(
         "file_ord", "file", "pos", F.col("entry.key").alias("tech"), F.col("entry.value").alias("record"),
         (F.col("file_ord") * F.lit(1 << 32) + F.col("pos")).alias("tech_ord"),
     ).filter(~F.col("tech").startswith("_"))
@@ -120,9 +120,8 @@ def signatures(records: DataFrame) -> DataFrame:
         _map_kind("js", "js", r["js"], False, False),
         _map_kind("cookie", "cookies", r["cookies"], False, False),
     )
-    rows = records.select("tech", "tech_ord", "file", F.explode(parts).alias("s")).select(
-        "tech", "tech_ord", "file", "s.*")
-    return with_weights(rows)
+    rows = unnest(records, ["tech", "tech_ord", "file"], parts, "s")
+    return with_weights(rows.select("tech", "tech_ord", "file", "s.*"))
 
 
 def with_weights(rows: DataFrame) -> DataFrame:
