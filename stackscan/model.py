@@ -40,8 +40,7 @@ COOKIE = (
     "expires:double,secure:boolean,http_only:boolean>"
 )
 DOM = (
-    "struct<title:string,body_classes:string,body_id:string,head_content:string,"
-    "has_elements:map<string,boolean>>"
+    "struct<title:string,body_classes:string,body_id:string,head_content:string>"
 )
 
 # Evidence columns of one page. A column missing from the input gives no matches of its kind.
@@ -52,6 +51,7 @@ EVIDENCE_TYPES = {
     "headers": "map<string,string>",
     "meta": "map<string,string>",
     "dom": DOM,
+    "has_elements": "map<string,boolean>",
     "js_objects": "map<string,boolean>",
     "cookies": f"array<{COOKIE}>",
     "api_endpoints": "array<string>",

@@ -69,16 +69,32 @@ def markup(html: Column) -> Column:
     return F.regexp_replace(without_comments(html), r"(?is)(<script\b[^>]*>).*?</script>", "$1</script>")
 
 
-def script_sources(dom: Column, url: Column) -> Column:
+def head_tokens(html: Column) -> Column:
+    """Scripts with their bodies, meta, title and body tags in document order, in one read of
+    the HTML. Comments and script bodies are taken as a whole, so tags inside them do not count."""
+    pattern = (r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script>|\z)|meta\b[^>]*>|title\b[^>]*>.*?</title>"
+               r"|body(?:\s[^>]*)?>)")
+    return F.filter(_all(html, pattern), lambda t: ~F.startswith(t, F.lit("<!")))
+
+
+def _tokens(tokens: Column, tag: str) -> Column:
+    return F.filter(tokens, lambda t: F.startswith(F.lower(F.substring(t, 1, len(tag) + 1)), F.lit(f"<{tag}")))
+
+
+def _start_tag(token: Column) -> Column:
+    return F.regexp_extract(token, r"^<[^>]*>", 0)
+
+
+def script_sources(tokens: Column, url: Column) -> Column:
     """External scripts with the version in their query string."""
-    sources = F.filter(F.transform(_all(dom, r"(?i)<script\b[^>]*>"), lambda t: attribute(t, "src")),
+    sources = F.filter(F.transform(_tokens(tokens, "script"), lambda t: attribute(_start_tag(t), "src")),
                        lambda s: s != "")
     absolute = bind(urls.base_parts(url), lambda base: F.transform(sources, lambda s: urls.resolve(base, s)))
     return F.transform(absolute, lambda s: F.struct(
         s.alias("src"), first_group(s, r"[?&]ver=([^&]+)").alias("version")))
 
 
-def meta_entries(dom: Column) -> Column:
+def meta_entries(tokens: Column) -> Column:
     """(key, value) of every named meta tag in document order."""
 
     def entry(tag: Column) -> Column:
@@ -86,45 +102,50 @@ def meta_entries(dom: Column) -> Column:
                          attribute(tag, "content").alias("value"))
         return bind(parts, lambda p: F.struct(
             F.lower(F.when(p["name"] != "", p["name"]).otherwise(p["property"])).alias("key"), p["value"].alias("value")))
-    return F.filter(F.transform(_all(dom, r"(?i)<meta\b[^>]*>"), entry), lambda e: (e["key"] != "") & (e["value"] != ""))
+    return F.filter(F.transform(_tokens(tokens, "meta"), entry), lambda e: (e["key"] != "") & (e["value"] != ""))
 
 
-def dom_strings(dom: Column, html: Column, low: Column, js_objects: Column, metas: Column) -> Column:
-    """Title, body class and id, head content and element flags."""
-    body = F.regexp_extract(dom, r"(?i)<body(?:\s[^>]*)?>", 0)
-    title = F.regexp_extract(dom, r"(?is)<title[^>]*>(.*?)</title>", 1)
+def dom_strings(tokens: Column, html: Column) -> Column:
+    """Title, body class and id, head content (E5)."""
+    body = F.coalesce(F.get(_tokens(tokens, "body"), F.lit(0)), F.lit(""))
+    title = F.coalesce(F.get(_tokens(tokens, "title"), F.lit(0)), F.lit(""))
+    text = F.regexp_replace(title, r"(?is)^<title[^>]*>|</title>$", "")
     return F.struct(
-        F.trim(F.regexp_replace(_entities(title), r"\s+", " ")).alias("title"),
+        F.trim(F.regexp_replace(_entities(text), r"\s+", " ")).alias("title"),
         attribute(body, "class").alias("body_classes"),
         attribute(body, "id").alias("body_id"),
         F.regexp_extract(html, r"(?is)<head(?:\s[^>]*)?>(.*?)</head>", 1).alias("head_content"),
-        element_flags(dom, low, js_objects, metas).alias("has_elements"),
     )
 
 
-def element_flags(dom: Column, low: Column, js_objects: Column, metas: Column) -> Column:
+def element_flags(html: Column, low: Column, js_objects: Column, metas: Column) -> Column:
     """Presence of eight element groups (E6); two of them are run-time globals. ``low`` is the
-    lower-cased HTML."""
-
-    def class_holds(*words: str) -> Column:
+    lower-cased HTML. The tags are searched only where the word occurs at all."""
+    def class_holds(dom: Column, *words: str) -> Column:
         word = "(?:" + "|".join(words) + ")"
-        return holds_any(dom, *words) & dom.rlike(rf"""<[A-Za-z][^>]*\s(?i:class)\s*=\s*(?:"[^"]*{word}|'[^']*{word}|[^\s"'>]*{word})""")
+        return holds_any(html, *words) & dom.rlike(
+            rf"""<[A-Za-z][^>]*\s(?i:class)\s*=\s*(?:"[^"]*{word}|'[^']*{word}|[^\s"'>]*{word})""")
 
     def global_set(name: str) -> Column:
         return F.coalesce(F.try_element_at(js_objects, F.lit(name)), F.lit(False))
 
-    flags = {
-        "drupalSettings": global_set("Drupal.settings"),
-        "wpContent": class_holds("wp-") | (holds_any(dom, "wp-content") & dom.rlike(
-            r"""<[A-Za-z][^>]*\s(?i:id)\s*=\s*["']?wp-content["'\s>]""")),
-        "slateContainer": class_holds("slate"),
-        "joomlaSystem": F.exists(metas, lambda e: (e["key"] == "generator") & F.contains(e["value"], F.lit("Joomla"))),
-        "bootstrapClasses": class_holds("bootstrap", "btn-", "col-"),
-        "jqueryPresent": global_set("jQuery"),
-        "reactRoot": holds_any(low, "root", "data-react-class") & dom.rlike(r"""<[A-Za-z][^>]*\s(?:(?i:id)\s*=\s*["']?root["'\s>]|(?i:data-reactroot|data-react-class)[\s=>/])"""),
-        "vueApp": holds_any(low, "data-v-", "v-cloak") & dom.rlike(r"""<[A-Za-z][^>]*\s(?i:data-v-|v-cloak)[\s=>/]"""),
-    }
-    return F.map_from_arrays(F.array(*map(F.lit, flags)), F.array(*flags.values()))
+    def flags(dom: Column) -> Column:
+        found = {
+            "drupalSettings": global_set("Drupal.settings"),
+            "wpContent": class_holds(dom, "wp-") | (holds_any(html, "wp-content") & dom.rlike(
+                r"""<[A-Za-z][^>]*\s(?i:id)\s*=\s*["']?wp-content["'\s>]""")),
+            "slateContainer": class_holds(dom, "slate"),
+            "joomlaSystem": F.exists(metas, lambda e: (e["key"] == "generator") & F.contains(e["value"], F.lit("Joomla"))),
+            "bootstrapClasses": class_holds(dom, "bootstrap", "btn-", "col-"),
+            "jqueryPresent": global_set("jQuery"),
+            "reactRoot": holds_any(low, "root", "data-react-class") & dom.rlike(
+                r"""<[A-Za-z][^>]*\s(?:(?i:id)\s*=\s*["']?root["'\s>]|(?i:data-reactroot|data-react-class)[\s=>/])"""),
+            "vueApp": holds_any(low, "data-v-", "v-cloak") & dom.rlike(r"""<[A-Za-z][^>]*\s(?i:data-v-|v-cloak)[\s=>/]"""),
+        }
+        return F.map_from_arrays(F.array(*map(F.lit, found)), F.array(*found.values()))
+
+    words = ("wp-", "slate", "bootstrap", "btn-", "col-", "root", "data-react-class", "data-v-", "v-cloak")
+    return bind(F.when(holds_any(low, *words), markup(html)).otherwise(""), flags)
 
 
 def js_globals(js_objects: Column) -> Column:
@@ -171,10 +192,9 @@ def version_facts(html: Column, low: Column, scripts: Column, metas: Column, js_
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def api_endpoints(html: Column, low: Column, scripts: Column) -> Column:
+def api_endpoints(html: Column, low: Column, tokens: Column, scripts: Column) -> Column:
     """Distinct API paths from inline scripts, script URLs and HTML attributes; first 20."""
-    elements = F.filter(_all(without_comments(html), r"(?is)<script\b[^>]*>.*?</script>"),
-                        lambda e: ~e.rlike(r"(?i)^<script\b[^>]*[\s\"'/]src\s*="))
+    elements = F.filter(_tokens(tokens, "script"), lambda e: ~e.rlike(r"(?i)^<script\b[^>]*[\s\"'/]src\s*="))
 
     def quoted(script: Column) -> Column:
         parts = [F.transform(_all(script, p), lambda m: F.substr(m, F.lit(2), F.length(m) - 2))
@@ -216,22 +236,24 @@ def extract_evidence(pages: DataFrame, config: ScanConfig = ScanConfig()) -> Dat
 
     Columns nobody reads are pruned by Spark together with the work behind them.
     """
-    html, low, url, js = F.col("html"), F.col("_low"), F.col("url"), F.col("js_objects")
+    html, low, url, js = F.col("html"), F.col("html_lower"), F.col("url"), F.col("js_objects")
+    tokens, metas = F.col("_tokens"), F.col("_metas")
     none = F.array().cast("array<string>")
     return (
         with_page_inputs(pages)
-        .withColumns({"_dom": markup(html), "_low": F.lower(html)})
-        .withColumns({"_metas": meta_entries(F.col("_dom")), "scripts": script_sources(F.col("_dom"), url)})
+        .withColumns({"_tokens": head_tokens(html), "html_lower": F.lower(html)})
+        .withColumns({"_metas": meta_entries(tokens), "scripts": script_sources(tokens, url)})
         .withColumns({
             "headers": F.transform_keys("headers", lambda k, v: F.lower(k)),
-            "meta": last_per_key(F.col("_metas")),
-            "dom": dom_strings(F.col("_dom"), html, low, js, F.col("_metas")),
+            "meta": last_per_key(metas),
+            "dom": dom_strings(tokens, html),
+            "has_elements": element_flags(html, low, js, metas),
             "network_hosts": request_hosts(F.col("request_urls")) if config.capture_network else none,
-            "version_info": version_facts(html, low, F.col("scripts"), F.col("_metas"), js, F.col("version_hints")),
-            "api_endpoints": api_endpoints(html, low, F.col("scripts")),
-            "links": anchors(F.col("_dom"), url),
+            "version_info": version_facts(html, low, F.col("scripts"), metas, js, F.col("version_hints")),
+            "api_endpoints": api_endpoints(html, low, tokens, F.col("scripts")),
+            "links": anchors(markup(html), url),
         })
-        .drop("_dom", "_low", "_metas", "version_hints", "request_urls")
+        .drop("_tokens", "_metas", "version_hints", "request_urls")
     )
 
 

@@ -92,14 +92,15 @@ def _present_keys(kinds: set[str]) -> Column:
     return F.concat(empty, *(tagged(kind, keys) for kind, keys in names.items() if kind in kinds))
 
 
-def _inline_candidates(entries: list[Signature], kinds: set[str]) -> Column:
-    """All signatures whose literal the page holds, tested inside the JVM; for few signatures."""
+def _inline_candidates(entries: list[Signature], kinds: set[str], lower: Column) -> Column:
+    """All signatures whose literal the lower-cased HTML holds, tested inside the JVM; for few
+    signatures."""
     # Only the HTML is searched here; the other texts are short and go straight to the regex.
     rows = [{**asdict(e), "exact": e.exact and e.kind == "html"} for e in entries]
     library = F.from_json(F.lit(json.dumps(rows)), f"array<{_INLINE}>")
     if "html" not in kinds:
         return library
-    return bind(F.lower("html"), lambda text: F.filter(library, lambda s: (s["kind"] != "html")
+    return bind(lower, lambda text: F.filter(library, lambda s: (s["kind"] != "html")
                 | (F.size(s["needs"]) == 0) | F.exists(s["needs"], lambda n: F.contains(text, n))))
 
 
@@ -133,7 +134,8 @@ def _pass_matches(pages: DataFrame, entries: list[Signature], keep: list[str],
         rows = [{**asdict(e), "exact": False} for e in entries]
         candidates = F.from_json(F.lit(json.dumps(rows)), f"array<{_INLINE}>")
     elif prefilter == "inline":
-        candidates = _inline_candidates(entries, kinds)
+        lower = F.col("html_lower") if "html_lower" in pages.columns else F.lower("html")
+        candidates = _inline_candidates(entries, kinds, lower)
     else:
         needed = [c for c in EVIDENCE_TYPES if c not in keep]
         pages = pages.select(*keep, *needed,

@@ -63,7 +63,7 @@ def dom_strings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def element_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark, sf).select("page_id", _pairs("dom.has_elements").alias("flags"))
+    return _evidence(spark, sf).select("page_id", _pairs("has_elements").alias("flags"))
 
 
 def js_globals(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,7 +43,7 @@ def snapshot_rows(captures: DataFrame, min_confidence: int = 30) -> DataFrame:
                    & (m["confidence"] >= min_confidence))
     dom = F.struct(F.col("dom.title").alias("title"), F.col("dom.body_classes").alias("bodyClasses"),
                    F.col("dom.body_id").alias("bodyId"), F.col("dom.head_content").alias("headContent"),
-                   F.col("dom.has_elements").alias("hasElements"), F.col("js_objects").alias("jsObjects"))
+                   F.col("has_elements").alias("hasElements"), F.col("js_objects").alias("jsObjects"))
     cookies = F.transform("cookies", lambda c: F.struct(
         c["name"].alias("name"), F.substring(c["value"], 1, COOKIE_CHARS).alias("value"), c["domain"].alias("domain")))
     probes = F.transform_values("probe_results", lambda k, p: F.struct(

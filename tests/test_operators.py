@@ -32,7 +32,7 @@ def test_evidence_of_a_page(spark):
         ("https://h.org/wp-json/x/y.js", None)]
     assert row["meta"] == {"generator": "Joomla! 4.1", "og:title": "x"}
     assert (row["dom"]["title"], row["dom"]["body_classes"], row["dom"]["body_id"]) == ("A & B", "wp-x col-1", "main")
-    flags = {k for k, v in row["dom"]["has_elements"].items() if v}
+    flags = {k for k, v in row["has_elements"].items() if v}
     assert flags == {"wpContent", "reactRoot", "joomlaSystem", "bootstrapClasses"}
     assert row["version_info"] == {"wordpress": "6.2.1", "joomla": "4.1", "bootstrap": "4.5.1"}
     assert row["api_endpoints"] == ["/api/v1/users", "/rest/q", "/wp-json/x/", "/api/go"]
