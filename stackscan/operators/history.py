@@ -38,10 +38,15 @@ def technology_urls(detected: DataFrame) -> DataFrame:
         F.count("*").alias("detections"), F.max("timestamp").alias("last_seen"))
 
 
+def sum_technology_urls(parts: DataFrame) -> DataFrame:
+    """``technology_urls`` from several of them put together (H2)."""
+    return parts.groupBy("tech", "url").agg(
+        F.sum("detections").alias("detections"), F.max("last_seen").alias("last_seen"))
+
+
 def merge_technology_urls(old: DataFrame, new: DataFrame) -> DataFrame:
     """Running form of ``technology_urls`` plus that of newly arrived detections (H2)."""
-    return old.unionByName(new).groupBy("tech", "url").agg(
-        F.sum("detections").alias("detections"), F.max("last_seen").alias("last_seen"))
+    return sum_technology_urls(old.unionByName(new))
 
 
 def stats_from_urls(tech_urls: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def spread(pages: DataFrame) -> DataFrame:
     least as many splits as cores, as any large one has, is left alone and not shuffled.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    few = len(pages.inputFiles()) < cores and pages.rdd.getNumPartitions() < cores
+    few = pages.rdd.getNumPartitions() < cores
     return pages.repartition(2 * cores, "page_id") if few else pages
 
 

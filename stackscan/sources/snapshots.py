@@ -16,8 +16,8 @@ BODY_CHARS = 512
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """``<folder>/<technology>/*.json`` with the HTML of the companion files.
 
-    Files that do not parse are skipped; a missing companion gives empty HTML. Snapshots are
-    numbered by path, in reading order of the folder.
+    Files that do not parse are skipped; a missing companion gives empty HTML. ``ord`` is the
+    path, which orders the snapshots.
     """
     schema = f"{SNAPSHOT_SCHEMA}, _corrupt string"
     parsed = (
@@ -30,7 +30,7 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     joined = good.withColumn("stem", F.regexp_replace("path", r"\.json$", "")).join(html, "stem", "left")
     has_file = F.coalesce("html_file", F.lit("")) != ""
     return joined.withColumn("html", F.when(has_file, F.coalesce("html", F.lit(""))).otherwise("")).withColumn(
-        "ord", F.xxhash64("path")).drop("stem")
+        "ord", F.col("path")).drop("stem")
 
 
 def snapshot_rows(captures: DataFrame, min_confidence: int = 30) -> DataFrame:
@@ -63,12 +63,12 @@ def write_snapshots(rows: DataFrame, folder: str) -> None:
     """Evidence as JSON per technology, HTML in a table of its own beside it."""
     slug = urls.tech_slug(F.col("technology"))
     rows.drop("html").withColumn("tech_slug", slug).write.mode("append").partitionBy("tech_slug").json(f"{folder}/evidence")
-    rows.select("html_file", "html", slug.alias("tech_slug")).write.mode("append").partitionBy("tech_slug").parquet(f"{folder}/html")
+    rows.select("html_file", "captured_at", "html", slug.alias("tech_slug")).write.mode("append").partitionBy("tech_slug").parquet(f"{folder}/html")
 
 
 def read_snapshot_table(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshots written by ``write_snapshots``."""
     rows = spark.read.schema(SNAPSHOT_SCHEMA).json(f"{folder}/evidence")
-    html = spark.read.parquet(f"{folder}/html").select("html_file", "html")
-    return rows.join(html, "html_file", "left").withColumns({
-        "html": F.coalesce("html", F.lit("")), "ord": F.xxhash64("html_file", "captured_at")})
+    html = spark.read.parquet(f"{folder}/html").select("html_file", "captured_at", "html")
+    return rows.join(html, ["html_file", "captured_at"], "left").withColumns({
+        "html": F.coalesce("html", F.lit("")), "ord": F.concat_ws("#", "html_file", F.col("captured_at").cast("string"))})

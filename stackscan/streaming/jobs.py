@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stackscan.model import ScanConfig
 from stackscan.operators.evidence import extract_evidence
-from stackscan.operators.history import merge_technology_urls, technology_urls
+from stackscan.operators.history import sum_technology_urls, technology_urls
 from stackscan.operators.match import detect
 from stackscan.sources.signatures import Library
 
@@ -142,8 +142,7 @@ def maintain_stats(detected: DataFrame, store: str, checkpoint: str) -> Streamin
 
 def running_urls(spark: SparkSession, store: str) -> DataFrame:
     """Per-URL rows of all batches so far (T5, H2)."""
-    rows = spark.read.parquet(store).drop("batch")
-    return merge_technology_urls(rows, rows.limit(0))
+    return sum_technology_urls(spark.read.parquet(store).drop("batch"))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
+from stackscan.functions.columns import lookup_join
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier, history, quality, rollup, validate
 from stackscan.operators.evidence import extract_evidence
@@ -225,7 +226,7 @@ def test_page_tables_are_spread_only_when_small(spark, tmp_path):
     page(spark).write.parquet(path)
     assert pages.read_pages(spark, path).rdd.getNumPartitions() == 16
     many = str(tmp_path / "many")
-    spark.range(40).repartition(40).selectExpr("id as page_id", "'https://a.b/' as url", "'x' as html").write.parquet(many)
+    spark.range(800).repartition(80).selectExpr("id as page_id", "'https://a.b/' as url", "'x' as html").write.parquet(many)
     plan = pages.spread(spark.read.parquet(many))._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan
 
@@ -234,3 +235,12 @@ def test_change_sets_need_both_scans(spark):
     rows = lambda *r: spark.createDataFrame(r, "url string, tech string")
     got = history.change_sets(rows(("u", "a"), ("u", "b"), ("v", "a")), rows(("u", "b"), ("u", "c"), ("w", "x")))
     assert {tuple(r) for r in got.collect()} == {("u", "a", "removed"), ("u", "b", "unchanged"), ("u", "c", "added")}
+
+
+def test_a_large_lookup_is_joined_by_salted_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 7)) as k")
+    lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, v int")
+    small = lookup_join(rows, lookup, ["k"], ["id"], 4, "left")
+    large = lookup_join(rows, lookup, ["k"], ["id"], 10**9, "left")
+    assert "_salt" not in large.columns
+    assert sorted(map(tuple, small.select("id", "k", "v").collect()), key=str) == sorted(map(tuple, large.select("id", "k", "v").collect()), key=str)
