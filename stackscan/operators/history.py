@@ -93,9 +93,10 @@ def change_sets(previous: DataFrame, current: DataFrame) -> DataFrame:
     both = previous.select("url", "tech", F.lit(1).alias("side")).unionByName(
         current.select("url", "tech", F.lit(2).alias("side")))
     per_tech = both.groupBy("url", "tech").agg(F.bit_or("side").alias("sides"))
-    known = per_tech.groupBy("url").agg(F.bit_or("sides").alias("scans")).filter("scans = 3").select("url")
+    # A URL has at most one row per technology here, so its window is bounded by the library.
+    scanned = F.bit_or("sides").over(Window.partitionBy("url"))
     status = F.when(F.col("sides") == 3, "unchanged").when(F.col("sides") == 2, "added").otherwise("removed")
-    return per_tech.join(known, "url", "left_semi").select("url", "tech", status.alias("change"))
+    return per_tech.withColumn("scanned", scanned).filter("scanned = 3").select("url", "tech", status.alias("change"))
 
 
 def active_sites(websites: DataFrame) -> DataFrame:

@@ -49,10 +49,12 @@ def universe(institutions: DataFrame, scans: DataFrame, scan_pages: DataFrame, c
     """
     scanned_scans = scan_pages.select(F.col("scan_id").alias("id")).distinct()
     scanned = scans.join(scanned_scans, "id", "left_semi").select(F.col("institution_id").alias("id")).distinct()
-    labelled = positives(institutions, category, vendor, historical)
-    pos = sample_ids(scanned.join(labelled, "id", "left_semi"), n_positive, seed)
-    neg = sample_ids(scanned.join(labelled, "id", "left_anti"), n_negative, seed + 1)
-    return pos.withColumn("is_pos", F.lit(True)).unionByName(neg.withColumn("is_pos", F.lit(False)))
+    labelled = positives(institutions, category, vendor, historical).withColumn("is_pos", F.lit(True))
+    flagged = scanned.join(labelled, "id", "left").withColumn("is_pos", F.coalesce("is_pos", F.lit(False)))
+    if n_positive is None and n_negative is None:
+        return flagged
+    pos = sample_ids(flagged.filter("is_pos"), n_positive, seed)
+    return pos.unionByName(sample_ids(flagged.filter("not is_pos"), n_negative, seed + 1))
 
 
 def matches(html: Column, signature: str, as_regex: bool = False) -> Column:

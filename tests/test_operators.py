@@ -167,7 +167,10 @@ def test_validation_reads_the_snapshots_once_for_counts_and_notes(spark):
         "cast(null as map<string,string>) as headers", "cast(null as map<string,string>) as meta",
         "cast(null as array<struct<name:string,value:string>>) as cookies", "cast(null as map<string,boolean>) as js_objects")
     ledger = spark.createDataFrame([("t", "f", "html", "abc")], "technology string, file string, field string, pattern string")
-    assert validate.validation_results(ledger, shots).collect()[0].own_hits == 5
+    results = validate.validation_results(ledger, shots)
+    assert results.collect()[0].own_hits == 5
+    final = results._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ArrowEvalPython") == 1 and "ReusedExchange" in final
 
 
 def test_ledger_csv_round_trip(spark, tmp_path):
