@@ -100,6 +100,7 @@ def stack_inferences(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.stack_inferences(_stack(spark, sf)).select("site", _list("inferences").alias("inferences"))
 
 
+@cache
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return scan.budgeted_scan(demo.demo_pages(spark, sf), demo.library(spark), demo.CONFIG)
 
