@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, packing, quality_rules, sharding
+from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup
 from stackscan.llm.common import table
 
 MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf, "documents"), trusted).select(*MEASURES)
 
 
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
@@ -27,6 +31,12 @@ def op6_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned text of every document and the passages removed from it."""
+    found = substring_dedup.substring_dedup(table(spark, sf, "documents"))
+    return found.select("row.doc_id", "text", "removed", "n_removed")
+
+
 def op8_vector_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("loss_tokens")
 
@@ -40,7 +50,7 @@ def op10_arrow_ids(spark: SparkSession, sf: str) -> DataFrame:
     return arrow_ids.encode_to_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_exact_dedup, op6_stratified_shards, op8_vector_packing, op9_byte_bpe, op10_arrow_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids)}
 
 ORACLES = {
     "op5_exact_dedup": """
