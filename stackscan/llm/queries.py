@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup
+from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup
 from stackscan.llm.common import table
 
 MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
@@ -21,6 +21,13 @@ def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
 
+def op3_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    network = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs, network)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
@@ -50,7 +57,7 @@ def op10_arrow_ids(spark: SparkSession, sf: str) -> DataFrame:
     return arrow_ids.encode_to_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_byte_cnn, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids)}
 
 ORACLES = {
     "op5_exact_dedup": """
