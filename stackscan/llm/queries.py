@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup
+from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup
 from stackscan.llm.common import table
 
 MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
@@ -28,6 +28,11 @@ def op3_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_html_crf(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf, "pages"), html_extract.fit())
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
@@ -57,7 +62,7 @@ def op10_arrow_ids(spark: SparkSession, sf: str) -> DataFrame:
     return arrow_ids.encode_to_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_byte_cnn, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_byte_cnn, op4_html_crf, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids)}
 
 ORACLES = {
     "op5_exact_dedup": """
