@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stackscan.llm import exact_dedup, packing, quality_rules
+from stackscan.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup
 from stackscan.llm.common import fresh_folder, table
 
 
@@ -24,12 +25,25 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by near-equal texts, the one with the smallest doc_id."""
+    return ngram_join.without_near_duplicates(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier one holds already; n_chars follows the text."""
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    found = substring_dedup.substring_dedup(docs)
+    return found.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality), ("exact dedup", copies), ("packing", packed)]
+STAGES = [("quality rules", quality), ("exact dedup", copies), ("n-gram join", near_copies),
+          ("substring dedup", passages), ("packing", packed)]
 #: The stages hash n-grams and cut tokens, which SQL cannot express.
 ORACLE_SQL = None
 
