@@ -40,21 +40,29 @@ def pack(vectors: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.n
     order = np.argsort(kind, kind="stable")
     left = np.bincount(kind, minlength=len(kinds))
     following = np.cumsum(left) - left  # the next example of each kind, as a place in order
-    parts = kinds / np.asarray(limits, float)
+    full = np.asarray(limits)
+    parts, first = kinds / full, -kinds[:, 0]  # ascending, so that kinds too large for the room are left out by bisection
     sequence, place = np.zeros(len(vectors), np.int64), np.zeros(len(vectors), np.int64)
-    number, room, filled, placed = 0, np.asarray(limits).copy(), 0, 0
+    number, room, filled, placed = 0, full.copy(), 0, 0
     while placed < len(vectors):
-        fits = (left > 0) & (kinds <= room).all(axis=1)
-        if not fits.any():
-            number, room, filled = number + 1, np.asarray(limits).copy(), 0
+        at = int(np.searchsorted(first, -room[0]))
+        fits = left[at:] > 0
+        for d in range(1, len(full)):
+            fits &= kinds[at:, d] <= room[d]
+        gain = np.where(fits, parts[at:] @ (room / full), -1.0)
+        best = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or not fits[best]:
+            number, room, filled = number + 1, full.copy(), 0
             continue
-        best = int(np.argmax(np.where(fits, parts @ (room / np.asarray(limits)), -1.0)))
-        i = order[following[best]]
-        following[best] += 1
-        left[best] -= 1
-        sequence[i], place[i] = number, filled
+        best += at
+        # a kind that fills an empty sequence by itself is taken again and again, a sequence each
+        n = int(left[best]) if not filled and kinds[best, 0] == full[0] and kinds[:, 0].min() > 0 else 1
+        some = order[following[best]:following[best] + n]
+        sequence[some], place[some] = number + np.arange(n), filled
+        following[best] += n
+        left[best] -= n
         room = room - kinds[best]
-        filled, placed = filled + 1, placed + 1
+        number, filled, placed = number + n - 1, filled + 1, placed + n
     return sequence, place
 
 
