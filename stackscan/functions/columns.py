@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackscan.model import MAX_BROADCAST_ROWS
-
 
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``, also inside nested lambdas."""
@@ -39,10 +37,18 @@ def any_contains(text: Column, words) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
 
 
+def first_of_each(items: Column, key: str, last: bool = False) -> Column:
+    """The first item, or the last, of every value of the struct field ``key``, in array order."""
+    placed = F.sort_array(F.transform(items, lambda x, i: F.struct(
+        x[key].alias("k"), (-i if last else i).alias("i"), x.alias("x"))))
+    kept = bind(placed, lambda rows: F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"])))
+    back = F.sort_array(F.transform(kept, lambda r: F.struct(F.abs(r["i"]).alias("i"), r["x"].alias("x"))))
+    return F.transform(back, lambda r: r["x"])
+
+
 def last_per_key(entries: Column) -> Column:
     """Map from an array of (key, value) structs; the last entry of a key wins."""
-    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+    return F.map_from_entries(first_of_each(entries, "key", last=True))
 
 
 def unnest(frame: DataFrame, keep: list[str], items: str | Column, name: str, pos: str | None = None) -> DataFrame:
@@ -58,16 +64,3 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
 
-
-def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread_by: list[str],
-                lookup_rows: int, how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join ``rows`` with a lookup table whose row count is known.
-
-    A small lookup is broadcast. A larger one is joined by shuffle on ``on`` plus a salt taken
-    from ``spread_by``, so a key that holds a large part of ``rows`` is shared by many tasks.
-    """
-    if lookup_rows <= MAX_BROADCAST_ROWS:
-        return rows.join(F.broadcast(lookup), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackscan.functions.columns import none_if_empty
+from stackscan.functions.columns import bind, none_if_empty
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
 
@@ -38,6 +38,31 @@ def root_host(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
+def _without_dots(raw: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+
+    def step(done: Column, segment: Column) -> Column:
+        shorter = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(segment == ".", done).when(segment == "..", shorter).otherwise(F.concat(done, F.array(segment)))
+
+    segments = F.split(F.regexp_replace(raw, r"/\.{1,2}$", "$0/"), "/")
+    joined = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    return F.when(raw.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), joined).otherwise(raw)
+
+
+def normal(url: Column) -> Column:
+    """Canonical form of a web address: scheme and host in lower case, no default port, a path
+    without dot segments and never empty. Other addresses stay as they are."""
+    head = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1))
+    user = F.regexp_extract(url, r"^[^/]*//([^/?#@]*@)", 1)
+    name = F.lower(F.regexp_extract(url, _AUTHORITY + r"([^/?#]*)", 1))
+    port = F.regexp_replace(name, F.when(head == "https://", F.lit(r":(?:443)?$")).otherwise(F.lit(r":(?:80)?$")), F.lit(""))
+    raw = F.regexp_extract(url, r"^[^/]*//[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    clean = F.when(raw == "", F.lit("/")).otherwise(_without_dots(raw))
+    return F.when(url.rlike(r"(?i)^https?://[^/?#]"), F.concat(head, user, port, clean, rest)).otherwise(url)
+
+
 def base_parts(url: Column) -> Column:
     """What links on a page are resolved against; taken apart once per page."""
     stem = F.regexp_extract(url, r"^([^?#]*)", 1)
@@ -49,9 +74,9 @@ def base_parts(url: Column) -> Column:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of a link, given the page's ``base_parts``; dot segments stay as they are."""
+    """Absolute, canonical form of a link, given the page's ``base_parts``."""
     start = F.substring(ref, 1, 1)
-    return (
+    absolute = (
         F.when(F.startswith(ref, F.lit("//")), F.concat(base["scheme"], ref))
         .when(start == "/", F.concat(base["origin"], ref))
         .when(start == "#", F.concat(base["page"], ref))
@@ -59,6 +84,7 @@ def resolve(base: Column, ref: Column) -> Column:
         .when(F.contains(ref, F.lit(":")) & ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .otherwise(F.concat(base["folder"], ref))
     )
+    return bind(absolute, normal)
 
 
 def tech_slug(name: Column) -> Column:

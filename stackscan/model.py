@@ -25,15 +25,6 @@ MAX_HTML_HITS = 11
 # Fixed value: API endpoints kept per page.
 MAX_API_ENDPOINTS = 20
 
-# Signatures matched in one pass over the pages. A larger library is matched in several
-# passes, so what each pass ships to the executors stays bounded.
-MAX_SIGNATURES_PER_PASS = 50_000
-# Up to this many text signatures a pass tests each literal inside the JVM; beyond it one
-# automaton finds all literals of a page in a single read of its text.
-MAX_INLINE_SIGNATURES = 32
-# Rows up to which a lookup table is broadcast.
-MAX_BROADCAST_ROWS = 200_000
-
 SCRIPT = "struct<src:string,version:string>"
 COOKIE = (
     "struct<name:string,value:string,domain:string,path:string,"

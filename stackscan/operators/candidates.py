@@ -5,71 +5,106 @@ pattern states literals one of which a match must contain (or the header, meta,
 up). One automaton over all literals reads a page's text once and names the few patterns whose
 literal occurs; only those are then tested by the real regular expression. The step can only
 name too many candidates, never too few.
+
+Patterns are shipped in parts of bounded size, each a broadcast of its own, and named by their
+place; a page is read once, whatever the number of parts.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# Patterns in one part: it bounds a broadcast and a constant of the plan.
+PART = 20_000
+
 
 def key_trigger(kind: str, key: str) -> str:
     return f"{kind}\x01{key}"
 
 
-def candidate_column(spark: SparkSession, rows: list[dict], triggers: list[list[tuple[str, str]]],
-                     schema: str, texts: dict[str, Column], keys: Column) -> Column:
-    """Array column of the ``rows`` a page may match, in row order.
+class Triggers:
+    """What makes each of one part's patterns a candidate.
 
-    ``triggers[i]`` lists, for row i, (text name, literal) pairs, ("key", name) pairs, or
-    (text name, "") when the row must be tested whenever that text is present.
+    ``triggers[i]`` lists, for pattern ``first + i``, (text name, literal) pairs, ("key", name)
+    pairs, or (text name, "") when the pattern must be tested whenever that text is present.
     """
+
+    def __init__(self, first: int, triggers: list[list[tuple[str, str]]]):
+        self.first, self.triggers = first, triggers
+        self._ready: tuple | None = None
+
+    def _compiled(self) -> tuple[dict, dict, dict]:
+        """Made once per worker: a worker keeps a broadcast's value."""
+        if self._ready is None:
+            by_key: dict[str, list[int]] = {}
+            always: dict[str, list[int]] = {}
+            literals: dict[str, dict[str, list[int]]] = {}
+            for i, wanted in enumerate(self.triggers, self.first):
+                for where, what in wanted:
+                    if where == "key":
+                        by_key.setdefault(what, []).append(i)
+                    elif what == "":
+                        always.setdefault(where, []).append(i)
+                    else:
+                        literals.setdefault(where, {}).setdefault(what, []).append(i)
+            automata = {}
+            for name, words in literals.items():
+                automata[name] = ahocorasick.Automaton()
+                for word, hits in words.items():
+                    automata[name].add_word(word, tuple(hits))
+                automata[name].make_automaton()
+            self._ready = by_key, always, automata
+        return self._ready
+
+    def __getstate__(self):
+        return {"first": self.first, "triggers": self.triggers, "_ready": None}
+
+    def find(self, texts: dict[str, str], keys) -> set[int]:
+        """Patterns that may match, given lower-cased texts by name and the keys present."""
+        by_key, always, automata = self._compiled()
+        found: set[int] = set()
+        for name, text in texts.items():
+            found.update(always.get(name, ()))
+            if name in automata:
+                for hits in {h for _, h in automata[name].iter(text)}:
+                    found.update(hits)
+        for key in keys:
+            found.update(by_key.get(key, ()))
+        return found
+
+
+def candidate_places(spark: SparkSession, triggers: list[list[tuple[str, str]]], texts: dict[str, Column],
+                     keys: Column, part: int = PART) -> Column:
+    """Array column of the places, ascending, of the patterns a page may match."""
     names = list(texts)
-    shared = spark.sparkContext.broadcast((rows, triggers, names))
+    shared = [spark.sparkContext.broadcast(Triggers(i, triggers[i:i + part])) for i in range(0, len(triggers), part)]
 
     def candidates(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        rows, triggers, names = shared.value
-        by_key: dict[str, list[int]] = {}
-        unconditional: dict[str, list[int]] = {n: [] for n in names}
-        literals: dict[str, dict[str, list[int]]] = {n: {} for n in names}
-        for i, wanted in enumerate(triggers):
-            for where, what in wanted:
-                if where == "key":
-                    by_key.setdefault(what, []).append(i)
-                elif what == "":
-                    unconditional[where].append(i)
-                else:
-                    literals[where].setdefault(what, []).append(i)
-        finders = {}
-        for name, words in literals.items():
-            if not words:
-                finders[name] = lambda text: ()
-                continue
-            try:
-                import ahocorasick
-                automaton = ahocorasick.Automaton()
-                for word, hits in words.items():
-                    automaton.add_word(word, tuple(hits))
-                automaton.make_automaton()
-                finders[name] = lambda text, a=automaton: {h for _, h in a.iter(text)}
-            except ImportError:
-                finders[name] = lambda text, w=words: {tuple(h) for x, h in w.items() if x in text}
         for batch in batches:
             out = []
-            for values in zip(*batch):
-                found: set[int] = set()
-                for name, text in zip(names, values):
-                    if text:
-                        found.update(unconditional[name])
-                        for hits in finders[name](text.lower()):
-                            found.update(hits)
-                for key in values[-1] if values[-1] is not None else ():
-                    found.update(by_key.get(key, ()))
-                out.append([rows[i] for i in sorted(found)])
+            for values in zip(*(batch if names else (batch,))):
+                lower = {name: text.lower() for name, text in zip(names, values) if text}
+                present = values[-1] if values[-1] is not None else ()
+                out.append(sorted(set().union(*(s.value.find(lower, present) for s in shared))))
             yield pd.Series(out, dtype=object)
 
-    udf = F.pandas_udf(candidates, f"array<{schema}>")
-    return udf(*texts.values(), keys)
+    return F.pandas_udf(candidates, "array<int>")(*texts.values(), keys)
+
+
+def rows_at(places: Column, rows: list[dict], schema: str, part: int = PART) -> Column:
+    """The rows at ``places``: looked up in constants of the plan, so no row passes through Python."""
+    parts = [F.from_json(F.lit(json.dumps(rows[i:i + part])), f"array<{schema}>") for i in range(0, len(rows), part)]
+
+    def row(place: Column) -> Column:
+        found = F.get(parts[0], place) if parts else F.lit(None).cast(schema)
+        for k, constant in enumerate(parts[1:], 1):
+            found = F.when(place >= k * part, F.get(constant, place - k * part)).otherwise(found)
+        return found
+
+    return F.transform(places, row)

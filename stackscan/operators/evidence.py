@@ -15,6 +15,8 @@ from stackscan.functions import urls
 from stackscan.functions.columns import bind, first_group, holds_any, last_per_key, unquote
 from stackscan.model import COOKIE, MAX_API_ENDPOINTS, ScanConfig
 
+# Attributes of a start tag up to its end: a quoted value may hold ``>``; a stray quote is taken as it is.
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">]+|['"])*+"""
 _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 # Quoted API paths in inline scripts, API links and forms in the HTML.
@@ -44,17 +46,37 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+# Named character references that are decoded besides the numeric ones.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
+          "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
+          "agrave": "à", "aacute": "á", "auml": "ä", "ccedil": "ç", "egrave": "è", "eacute": "é", "iacute": "í", "ntilde": "ñ",
+          "oacute": "ó", "ouml": "ö", "uacute": "ú", "uuml": "ü", "szlig": "ß", "euro": "€"}
+
+
 def _entities(text: Column) -> Column:
-    """Decode the entities that occur in attribute values and link texts."""
+    """Decode character references: numeric ones, and the usual named ones. Each is decoded once."""
+
+    def numeric(out: Column, reference: Column) -> Column:
+        digits = F.regexp_replace(reference, "[&#;]", "")
+        hexadecimal = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.substring(digits, 2, 8)).otherwise(
+            F.conv(digits, 10, 16))
+        known = reference.rlike("(?i)^&#(?:x0*[1-9a-f][0-9a-f]{0,4}|0*[1-9][0-9]{0,5});$") & ~reference.rlike(_AMPERSAND)
+        letter = F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+        return F.when(known, F.replace(out, reference, letter)).otherwise(out)
+
     def decode(value: Column) -> Column:
-        out = value
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                           ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-            out = F.replace(out, F.lit(name), F.lit(char))
+        references = F.array_distinct(_all(value, "(?i)&#(?:x[0-9a-f]+|[0-9]+);"))
+        out = F.when(F.contains(value, F.lit("&#")), F.aggregate(references, value, numeric)).otherwise(value)
+        for name, char in _NAMED.items():
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        out = F.regexp_replace(out, _AMPERSAND, "&")
         return F.when(F.contains(value, F.lit("&")), out).otherwise(value)
     return bind(text, decode)
 
 
+_AMPERSAND = "&(?:amp|#0*38|#[xX]0*26);"
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one start tag; empty when absent."""
     return _entities(unquote(F.regexp_extract(tag, rf"(?i)[\s\"'/]{name}{_VALUE}", 1)))
@@ -66,14 +88,14 @@ def without_comments(html: Column) -> Column:
 
 def markup(html: Column) -> Column:
     """HTML without comments and script bodies: what a DOM query would see."""
-    return F.regexp_replace(without_comments(html), r"(?is)(<script\b[^>]*>).*?</script>", "$1</script>")
+    return F.regexp_replace(without_comments(html), rf"(?is)(<script\b{_ATTRS}>).*?</script>", "$1</script>")
 
 
 def head_tokens(html: Column) -> Column:
-    """Scripts with their bodies, meta, title and body tags in document order, in one read of
+    """Scripts with their bodies, meta, base, title and body tags in document order, in one read of
     the HTML. Comments and script bodies are taken as a whole, so tags inside them do not count."""
-    pattern = (r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script>|\z)|meta\b[^>]*>|title\b[^>]*>.*?</title>"
-               r"|body(?:\s[^>]*)?>)")
+    pattern = (rf"(?is)<(?:!--.*?(?:-->|\z)|script\b{_ATTRS}>.*?(?:</script>|\z)|(?:meta|base)\b{_ATTRS}>"
+               rf"|title\b{_ATTRS}>.*?</title>|body(?:\s{_ATTRS})?>)")
     return F.filter(_all(html, pattern), lambda t: ~F.startswith(t, F.lit("<!")))
 
 
@@ -82,11 +104,17 @@ def _tokens(tokens: Column, tag: str) -> Column:
 
 
 def _start_tag(token: Column) -> Column:
-    return F.regexp_extract(token, r"^<[^>]*>", 0)
+    return F.regexp_extract(token, rf"^<{_ATTRS}>", 0)
+
+
+def base_url(tokens: Column, url: Column) -> Column:
+    """What the page's links are relative to: its first ``<base href>``, else its own address."""
+    href = attribute(F.coalesce(F.get(_tokens(tokens, "base"), F.lit(0)), F.lit("")), "href")
+    return F.when(href != "", bind(urls.base_parts(url), lambda own: urls.resolve(own, href))).otherwise(url)
 
 
 def script_sources(tokens: Column, url: Column) -> Column:
-    """External scripts with the version in their query string."""
+    """External scripts with the version in their query string (E2); ``url`` is the base."""
     sources = F.filter(F.transform(_tokens(tokens, "script"), lambda t: attribute(_start_tag(t), "src")),
                        lambda s: s != "")
     absolute = bind(urls.base_parts(url), lambda base: F.transform(sources, lambda s: urls.resolve(base, s)))
@@ -212,15 +240,19 @@ def api_endpoints(html: Column, low: Column, tokens: Column, scripts: Column) ->
 
 
 def anchors(dom: Column, url: Column) -> Column:
-    """Links in document order: absolute address and trimmed lower-case text."""
-    elements = _all(dom, r"(?is)<a\s[^>]*>.*?</a>")
+    """Links in document order: absolute address and trimmed lower-case text.
+
+    Every ``<a href>`` start tag is a link. Its text ends at the next end tag, the next link or the
+    end of the page. ``url`` is the base.
+    """
+    parts = F.filter(F.split(dom, r"(?i)(?=<a\s)"), lambda p: p.rlike(r"(?i)^<a\s"))
 
-    def link(element: Column) -> Column:
-        tag = F.regexp_extract(element, r"^<[^>]*>", 0)
-        text = _entities(F.regexp_replace(element, r"<[^>]*>", ""))
-        return F.struct(attribute(tag, "href").alias("ref"),
+    def link(part: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(part, rf"^<{_ATTRS}>", ""), r"(?is)</a(?:\s[^>]*)?>.*$", "")
+        text = _entities(F.regexp_replace(body, rf"<[A-Za-z/!]{_ATTRS}>", ""))
+        return F.struct(attribute(_start_tag(part), "href").alias("ref"),
                         F.lower(F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")).alias("text"))
-    found = F.filter(F.transform(elements, link), lambda x: x["ref"] != "")
+    found = F.filter(F.transform(parts, link), lambda x: x["ref"] != "")
     return bind(urls.base_parts(url), lambda base: F.transform(found, lambda x: F.struct(
         urls.resolve(base, x["ref"]).alias("href"), x["text"].alias("text"))))
 
@@ -242,7 +274,8 @@ def extract_evidence(pages: DataFrame, config: ScanConfig = ScanConfig()) -> Dat
     return (
         with_page_inputs(pages)
         .withColumns({"_tokens": head_tokens(html), "html_lower": F.lower(html)})
-        .withColumns({"_metas": meta_entries(tokens), "scripts": script_sources(tokens, url)})
+        .withColumn("_base", base_url(tokens, url))
+        .withColumns({"_metas": meta_entries(tokens), "scripts": script_sources(tokens, F.col("_base"))})
         .withColumns({
             "headers": F.transform_keys("headers", lambda k, v: F.lower(k)),
             "meta": last_per_key(metas),
@@ -251,9 +284,9 @@ def extract_evidence(pages: DataFrame, config: ScanConfig = ScanConfig()) -> Dat
             "network_hosts": request_hosts(F.col("request_urls")) if config.capture_network else none,
             "version_info": version_facts(html, low, F.col("scripts"), metas, js, F.col("version_hints")),
             "api_endpoints": api_endpoints(html, low, tokens, F.col("scripts")),
-            "links": anchors(markup(html), url),
+            "links": anchors(markup(html), F.col("_base")),
         })
-        .drop("_tokens", "_metas", "version_hints", "request_urls")
+        .drop("_tokens", "_metas", "_base", "version_hints", "request_urls")
     )
 
 

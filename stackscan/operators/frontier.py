@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
-from stackscan.functions.columns import any_contains, last_per_key, unnest
+from stackscan.functions.columns import any_contains, first_of_each, last_per_key, unnest
 from stackscan.model import ScanConfig
 
 
@@ -15,12 +15,6 @@ def page_links(pages: DataFrame, ids: list[str]) -> DataFrame:
     return unnest(pages, [*ids, "url"], "links", "link", "pos").select(*ids, "url", "pos", "link.href", "link.text")
 
 
-def _distinct_links(links: Column) -> Column:
-    """Links without later repeats of an address, in document order."""
-    hrefs = F.transform(links, lambda x: x["href"])
-    return F.filter(links, lambda x, i: F.array_position(hrefs, x["href"]) == i + 1)
-
-
 def candidate_links(pages: DataFrame, ids: list[str], config: ScanConfig = ScanConfig()) -> DataFrame:
     """Links worth scanning on every page: strategic ones, else fallback ones (F1, F2).
 
@@ -44,10 +38,14 @@ def candidate_links(pages: DataFrame, ids: list[str], config: ScanConfig = ScanC
         *ids, F.filter("links", same_site).alias("_links"))
     split = known.select(*ids, F.filter("_links", strategic).alias("_strategic"),
                          F.filter("_links", fallback).alias("_fallback"))
-    chosen = split.select(
-        *ids, F.when(F.size("_strategic") > 0, "strategic").otherwise("fallback").alias("source"),
-        _distinct_links(F.when(F.size("_strategic") > 0, F.col("_strategic")).otherwise(F.col("_fallback"))).alias("_chosen"))
-    return unnest(chosen, [*ids, "source"], "_chosen", "link", "pos").select(*ids, "source", "pos", "link.href", "link.text")
+    # the rule's name travels with each link: as a column of the page, a filter by it would be pushed
+    # below and compute the links once more
+    any_strategic = F.size("_strategic") > 0
+    chosen = split.select(*ids, F.when(any_strategic, "strategic").otherwise("fallback").alias("_source"), first_of_each(
+        F.when(any_strategic, F.col("_strategic")).otherwise(F.col("_fallback")), "href").alias("_chosen"))
+    named = chosen.select(*ids, F.transform("_chosen", lambda x: F.struct(
+        F.col("_source").alias("source"), x["href"].alias("href"), x["text"].alias("text"))).alias("_chosen"))
+    return unnest(named, ids, "_chosen", "link", "pos").select(*ids, "link.source", "pos", "link.href", "link.text")
 
 
 def strategic_links(pages: DataFrame, ids: list[str], config: ScanConfig = ScanConfig()) -> DataFrame:
@@ -103,10 +101,11 @@ def derived_candidates(sites: DataFrame, config: ScanConfig = ScanConfig(), url_
 def reachable_derived(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """The first candidate per site and prefix that answered.
 
-    ``responses(url, status)`` is the crawler's response log.
+    ``responses(url, fetched_at, status)`` is the crawler's response log; a URL's latest answer counts.
     """
+    latest = responses.groupBy(F.col("url").alias("candidate")).agg(F.max_by("status", "fetched_at").alias("status"))
     status = F.col("status")
-    answered = responses.filter((status < 400) | status.isin(401, 403)).select(F.col("url").alias("candidate")).distinct()
+    answered = latest.filter((status < 400) | status.isin(401, 403)).select("candidate")
     first = F.min(F.struct("variant", "candidate")).alias("first")
     keys = [c for c in candidates.columns if c not in ("variant", "candidate")]
     return candidates.join(answered, "candidate").groupBy(*keys).agg(first).select(*keys, "first.*")

@@ -32,28 +32,31 @@ def technology_stats(detected: DataFrame, attributes: tuple[str, ...] = ()) -> D
         F.max("last").alias("last_seen"), *[F.max_by(a, "last").alias(a) for a in attributes])
 
 
-def technology_urls(detected: DataFrame) -> DataFrame:
-    """The URLs each technology was seen on, with detections and last sighting (H2)."""
+def technology_urls(detected: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """The URLs each technology was seen on, with detections, last sighting and the attributes of
+    the latest detection (H2)."""
     return detected.groupBy("tech", "url").agg(
-        F.count("*").alias("detections"), F.max("timestamp").alias("last_seen"))
+        F.count("*").alias("detections"), F.max("timestamp").alias("last_seen"),
+        *[F.max_by(a, "timestamp").alias(a) for a in attributes])
 
 
-def sum_technology_urls(parts: DataFrame) -> DataFrame:
+def sum_technology_urls(parts: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
     """``technology_urls`` from several of them put together (H2)."""
     return parts.groupBy("tech", "url").agg(
-        F.sum("detections").alias("detections"), F.max("last_seen").alias("last_seen"))
+        F.sum("detections").alias("detections"), F.max("last_seen").alias("last_seen"),
+        *[F.max_by(a, "last_seen").alias(a) for a in attributes])
 
 
-def merge_technology_urls(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_technology_urls(old: DataFrame, new: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Running form of ``technology_urls`` plus that of newly arrived detections (H2)."""
-    return sum_technology_urls(old.unionByName(new))
+    return sum_technology_urls(old.unionByName(new), attributes)
 
 
-def stats_from_urls(tech_urls: DataFrame) -> DataFrame:
-    """Technology statistics from the per-URL rows (H2)."""
+def stats_from_urls(tech_urls: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """Technology statistics from the per-URL rows, with the latest attributes (H2)."""
     return tech_urls.groupBy("tech").agg(
         F.sum("detections").alias("detection_count"), F.count("*").alias("url_count"),
-        F.max("last_seen").alias("last_seen"))
+        F.max("last_seen").alias("last_seen"), *[F.max_by(a, "last_seen").alias(a) for a in attributes])
 
 
 def last_scans(scans: DataFrame, limit: int = 10, tie: str = "scan_id") -> DataFrame:

@@ -7,7 +7,6 @@ detections there is no shuffle, and a hot site is spread over as many tasks as i
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict
 from functools import reduce
 
@@ -15,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackscan.functions.categories import category_names
-from stackscan.functions.columns import bind, lookup_join, none_if_empty, union_all
-from stackscan.model import (EVIDENCE_TYPES, KINDS, MAX_HTML_HITS, MAX_INLINE_SIGNATURES, ScanConfig)
-from stackscan.operators.candidates import candidate_column, key_trigger
-from stackscan.sources.signatures import Library, Signature
+from stackscan.functions.columns import bind, none_if_empty
+from stackscan.model import EVIDENCE_TYPES, KINDS, MAX_HTML_HITS, ScanConfig
+from stackscan.operators.candidates import PART, candidate_places, key_trigger, rows_at
+from stackscan.sources.signatures import Library
 
-_CANDIDATE = ("struct<ord:int,tech:string,kind:string,key:string,pattern:string,weight:int,"
+_FACT = "struct<categories:array<string>,is_higher_ed:boolean,description:string>"
+_CANDIDATE = ("struct<ord:int,fact:int,tech:string,kind:string,key:string,pattern:string,weight:int,"
               "label:string,exact:boolean>")
-_INLINE = _CANDIDATE[:-1] + ",needs:array<string>>"
 _TEXT_KINDS = ("html", "script", "network")
 # DOM fields a signature can test.
 _DOM_FIELDS = {"title": "title", "bodyClasses": "body_classes", "bodyId": "body_id",
@@ -92,88 +91,48 @@ def _present_keys(kinds: set[str]) -> Column:
     return F.concat(empty, *(tagged(kind, keys) for kind, keys in names.items() if kind in kinds))
 
 
-def _inline_candidates(entries: list[Signature], kinds: set[str], lower: Column) -> Column:
-    """All signatures whose literal the lower-cased HTML holds, tested inside the JVM; for few
-    signatures."""
-    # Only the HTML is searched here; the other texts are short and go straight to the regex.
-    rows = [{**asdict(e), "exact": e.exact and e.kind == "html"} for e in entries]
-    library = F.from_json(F.lit(json.dumps(rows)), f"array<{_INLINE}>")
-    if "html" not in kinds:
-        return library
-    return bind(lower, lambda text: F.filter(library, lambda s: (s["kind"] != "html")
-                | (F.size(s["needs"]) == 0) | F.exists(s["needs"], lambda n: F.contains(text, n))))
-
-
 def _odd_case(text: Column) -> Column:
     """Whether a text holds one of the two non-ASCII letters whose lower case is ASCII. Only then
     can a literal of the lower-cased text be no match of the pattern itself."""
     return F.coalesce(F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130")), F.lit(False))
 
 
-def _scanned_candidates(pages: DataFrame, entries: list[Signature], kinds: set[str]) -> Column:
-    rows, triggers = [], []
-    for entry in entries:
+def matched_signatures(pages: DataFrame, library: Library, keep: list[str], prefilter: bool = True,
+                       part: int = PART) -> DataFrame:
+    """``keep`` columns plus ``matches``, the signatures that match: one row per row of ``pages``.
+
+    Pages are read once, whatever the size of the library; ``part`` bounds what one broadcast
+    holds. Without ``prefilter`` every signature is tested on every page.
+    """
+    pages = with_evidence_columns(pages)
+    kinds, rows, triggers = library.kinds, [], []
+    for entry in library.entries:
         row = asdict(entry)
         needs = row.pop("needs")
-        rows.append(row)
+        rows.append(row if prefilter else {**row, "exact": False})
         triggers.append([(entry.kind, n) for n in needs] or [(entry.kind, "")]
                         if entry.kind in _TEXT_KINDS else [("key", key_trigger(entry.kind, entry.key))])
-    return candidate_column(pages.sparkSession, rows, triggers, _CANDIDATE,
-                            evidence_texts(kinds), _present_keys(kinds))
-
-
-def _pass_matches(pages: DataFrame, entries: list[Signature], keep: list[str],
-                  prefilter: str = "auto") -> DataFrame:
-    """``keep`` columns and the array of signatures of one pass that match the page."""
-    kinds = {e.kind for e in entries}
-    texts = sum(e.kind in _TEXT_KINDS for e in entries)
-    if prefilter == "auto":
-        inline = texts <= MAX_INLINE_SIGNATURES and len(entries) <= 4 * MAX_INLINE_SIGNATURES
-        prefilter = "inline" if inline else "scan"
-    if prefilter == "none":
-        rows = [{**asdict(e), "exact": False} for e in entries]
-        candidates = F.from_json(F.lit(json.dumps(rows)), f"array<{_INLINE}>")
-    elif prefilter == "inline":
-        lower = F.col("html_lower") if "html_lower" in pages.columns else F.lower("html")
-        candidates = _inline_candidates(entries, kinds, lower)
+    if prefilter:
+        places = candidate_places(pages.sparkSession, triggers, evidence_texts(kinds), _present_keys(kinds), part)
     else:
-        needed = [c for c in EVIDENCE_TYPES if c not in keep]
-        pages = pages.select(*keep, *needed,
-                             _scanned_candidates(pages, entries, kinds).alias("_candidates"))
-        candidates = F.col("_candidates")
-    searched = evidence_texts(kinds if prefilter == "scan" else kinds & {"html"}).values()
-    odd = reduce(Column.__or__, map(_odd_case, searched), F.lit(False))
+        places = F.sequence(F.lit(0), F.lit(len(rows) - 1)) if rows else F.array().cast("array<int>")
+    pages = pages.select(*keep, *[c for c in EVIDENCE_TYPES if c not in keep], places.alias("_places"))
+    candidates = rows_at(F.col("_places"), rows, _CANDIDATE, part)
+    odd = reduce(Column.__or__, map(_odd_case, evidence_texts(kinds).values()), F.lit(False))
     fires = bind(odd, lambda is_odd: F.filter(candidates, lambda s: F.when(
         s["exact"] & ~is_odd, F.lit(True)).otherwise(_fires(s, kinds))))
     matched = F.transform(fires, lambda s: F.struct(
-        s["ord"].alias("ord"), s["tech"].alias("tech"), s["kind"].alias("kind"),
+        s["ord"].alias("ord"), s["fact"].alias("fact"), s["tech"].alias("tech"), s["kind"].alias("kind"),
         s["key"].alias("key"), s["weight"].alias("weight"), s["label"].alias("label")))
     return pages.select(*keep, matched.alias("matches"))
 
 
-def matched_signatures(pages: DataFrame, library: Library, keep: list[str],
-                       prefilter: str = "auto") -> DataFrame:
-    """``keep`` columns plus ``matches``: one row per page, whatever the number of passes.
-
-    With several passes ``keep`` must identify a page; the passes are then put together by it.
-    """
-    pages = with_evidence_columns(pages)
-    parts = [_pass_matches(pages, entries, keep, prefilter) for entries in library.passes]
-    if len(parts) == 1:
-        return parts[0]
-    merged = union_all([p.filter(F.size("matches") > 0) for p in parts])
-    simple = [c for c in keep if not merged.schema[c].dataType.typeName() == "map"]
-    rest = [F.first(c).alias(c) for c in keep if c not in simple]
-    return merged.groupBy(*simple).agg(
-        F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"), *rest).select(*keep, "matches")
-
-
-def signature_matches(pages: DataFrame, library: Library, ids: list[str],
-                      prefilter: str = "auto") -> DataFrame:
+def signature_matches(pages: DataFrame, library: Library, ids: list[str], prefilter: bool = True,
+                      part: int = PART) -> DataFrame:
     """One row per page and matching signature (M1-M8)."""
-    rows = matched_signatures(pages, library, ids, prefilter)
+    rows = matched_signatures(pages, library, ids, prefilter, part)
     return rows.select(*ids, F.explode_outer("matches").alias("m")).filter("m is not null").select(
-        *ids, "m.*")
+        *ids, *[f"m.{c}" for c in ("ord", "tech", "kind", "key", "weight", "label")])
 
 
 def _detections(matches: Column, config: ScanConfig) -> Column:
@@ -185,7 +144,7 @@ def _detections(matches: Column, config: ScanConfig) -> Column:
                           F.filter(own, lambda m: m["kind"] != "html"))
         labels = (F.transform(listed, lambda m: m["label"]) if config.include_evidence
                   else F.array().cast("array<string>"))
-        return F.struct((-score).alias("neg"), own[0]["ord"].alias("lib_ord"), tech.alias("tech"),
+        return F.struct((-score).alias("neg"), own[0]["ord"].alias("lib_ord"), own[0]["fact"].alias("fact"), tech.alias("tech"),
                         score.alias("confidence"), labels.alias("evidence"))
 
     def per_tech(found: Column) -> Column:
@@ -207,7 +166,7 @@ def _version(config: ScanConfig) -> Column:
 
 
 def detect(pages: DataFrame, library: Library, ids: list[str], config: ScanConfig = ScanConfig(),
-           prefilter: str = "auto") -> DataFrame:
+           prefilter: bool = True, part: int = PART) -> DataFrame:
     """Technologies of every page at or above the confidence threshold, ranked per page.
 
     ``pages`` holds evidence columns (see ``extract_evidence``); ``ids`` name a page and are
@@ -217,14 +176,10 @@ def detect(pages: DataFrame, library: Library, ids: list[str], config: ScanConfi
     pages = with_evidence_columns(pages).withColumns(
         {"_facts": F.map_entries("version_info"), "_asset_version": F.get(versions, 0)})
     keep = [*ids, "_facts", "_asset_version"]
-    rows = matched_signatures(pages, library, keep, prefilter)
+    rows = matched_signatures(pages, library, keep, prefilter, part)
     ranked = rows.select(*keep, F.posexplode_outer(_detections(F.col("matches"), config)).alias("pos", "d"))
+    facts = rows_at(F.array("d.fact"), [{k: v for k, v in f.items() if k != "tech"} for f in library.facts], _FACT, part)
     found = ranked.filter("d is not null").select(
-        *keep, (F.col("pos") + 1).alias("rank"), "d.tech", "d.confidence", "d.evidence")
-    facts = library.technologies.select(
-        "tech", category_names(F.col("categories")).alias("categories"),
-        F.coalesce("higher_ed", F.lit(False)).alias("is_higher_ed"),
-        F.coalesce("description", F.lit("")).alias("description"))
-    named = lookup_join(found, facts, ["tech"], ids, library.technology_rows, "left")
-    return named.select(*ids, "rank", "tech", "confidence", "categories", "evidence",
-                        _version(config).alias("version"), "is_higher_ed", "description")
+        *keep, (F.col("pos") + 1).alias("rank"), "d.tech", "d.confidence", "d.evidence", F.get(facts, 0).alias("f"))
+    return found.select(*ids, "rank", "tech", "confidence", "f.categories", "evidence",
+                        _version(config).alias("version"), "f.is_higher_ed", "f.description")

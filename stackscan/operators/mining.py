@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackscan.functions.columns import lookup_join
 from stackscan.functions.regex import to_spark_regex
-from stackscan.model import MAX_BROADCAST_ROWS
 
 POSITIVE_SAMPLE = 250
 NEGATIVE_SAMPLE = 600
@@ -35,9 +33,11 @@ def positives(institutions: DataFrame, category: str, vendor: str, historical: b
 
 def sample_ids(ids: DataFrame, limit: int | None, seed: int) -> DataFrame:
     """Repeatable random sample: the ``limit`` smallest seeded hashes; all rows without a limit."""
-    if limit is None:
-        return ids
-    return ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(limit)
+    return ids if limit is None else ids.orderBy(_shuffled(seed), "id").limit(limit)
+
+
+def _shuffled(seed: int) -> Column:
+    return F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#{seed}")))
 
 
 def universe(institutions: DataFrame, scans: DataFrame, scan_pages: DataFrame, category: str, vendor: str,
@@ -65,26 +65,19 @@ def matches(html: Column, signature: str, as_regex: bool = False) -> Column:
 
 
 def institution_hits(members: DataFrame, scans: DataFrame, scan_pages: DataFrame, signature: str,
-                     as_regex: bool = False, member_rows: int | None = POSITIVE_SAMPLE + NEGATIVE_SAMPLE) -> DataFrame:
+                     as_regex: bool = False) -> DataFrame:
     """Per institution of the universe: whether any page matches, one matching URL, pages.
 
-    ``member_rows`` bounds the members of a sampled universe: their scans are found first and
-    pages of other institutions dropped by scan id before their HTML is tested. Without a bound
-    every page is tested where it lies and only the outcome moves. Flags are combined map-side.
+    Every page is tested where it lies and only the outcome moves, never its HTML, whether the
+    universe is sampled or not. Flags are combined map-side.
     """
     keys = scans.select(F.col("id").alias("scan_id"), F.col("institution_id").alias("id"))
-    rows = MAX_BROADCAST_ROWS + 1 if member_rows is None else member_rows
-    chosen = lookup_join(keys, members, ["id"], ["scan_id"], rows)
-    pages = scan_pages.filter("content.html is not null").select(
-        "scan_id", F.col("content.url").alias("url"), F.col("content.html").alias("html"))
-    hit = matches(F.col("html"), signature, as_regex).alias("hit")
-    if member_rows is None:
-        tested = pages.select("scan_id", "url", hit).join(chosen, "scan_id")
-    else:
-        tested = pages.join(chosen, "scan_id").select("id", "is_pos", "url", hit)
-    return tested.groupBy("id", "is_pos").agg(
-        F.max("hit").alias("hit"), F.min(F.when(F.col("hit"), F.col("url"))).alias("sample_hit_url"),
-        F.count("*").alias("pages"))
+    tested = scan_pages.filter("content.html is not null").select(
+        "scan_id", F.col("content.url").alias("url"), matches(F.col("content.html"), signature, as_regex).alias("hit"))
+    per_scan = tested.groupBy("scan_id").agg(
+        F.max("hit").alias("hit"), F.min(F.when(F.col("hit"), F.col("url"))).alias("url"), F.count("*").alias("pages"))
+    return per_scan.join(keys.join(members, "id"), "scan_id").groupBy("id", "is_pos").agg(
+        F.max("hit").alias("hit"), F.min("url").alias("sample_hit_url"), F.sum("pages").alias("pages"))
 
 
 def signature_metrics(hits: DataFrame, labelled: DataFrame, vendor: str, category: str, signature: str) -> DataFrame:
@@ -114,7 +107,7 @@ def signature_metrics(hits: DataFrame, labelled: DataFrame, vendor: str, categor
 def spotcheck(hits: DataFrame, institutions: DataFrame, limit: int = SPOTCHECK_ROWS, seed: int = 0) -> DataFrame:
     """Sampled negatives that match and positives that do not, with site details (Q21)."""
     kind = F.when(F.col("is_pos"), "pos_miss").otherwise("neg_hit")
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    order = Window.partitionBy("kind").orderBy(_shuffled(seed), "id")
     picked = (
         hits.filter(F.col("hit") != F.col("is_pos"))
         .select(kind.alias("kind"), "id", F.when(~F.col("is_pos"), F.col("sample_hit_url")).alias("sample_hit_url"))

@@ -21,6 +21,7 @@ def _joined(values: str) -> Column:
     return F.coalesce(F.array_join(values, ";"), F.lit(""))
 
 
+# The tier rules.
 def tier(field: Column, pattern: Column) -> Column:
     """Expected reliability of a pattern: A strong, B moderate, C suspect (Q2); first rule wins."""
     length = F.length(pattern)
@@ -50,9 +51,10 @@ def ledger(technologies: DataFrame, signatures: DataFrame) -> DataFrame:
     text = F.when(keyed, F.concat_ws("=", key, F.when(F.col("pattern") != "", F.col("pattern")))).otherwise(F.col("pattern"))
     facts = technologies.select("tech", "file", "listed_categories", "higher_ed", "legacy_names")
     rows = signatures.filter(F.col("field").isin(*LEDGER_FIELDS)).join(facts, ["tech", "file"], "left")
-    return rows.select(
+    judged = rows.withColumn("_judged", F.when(keyed, key).otherwise(F.col("pattern")))
+    return judged.select(
         F.col("tech").alias("technology"), "file", _joined("listed_categories").alias("category"), "field",
-        text.alias("pattern"), tier(F.col("field"), F.when(keyed, key).otherwise(F.col("pattern"))).alias("tier"),
+        text.alias("pattern"), tier(F.col("field"), F.col("_judged")).alias("tier"),
         F.coalesce("higher_ed", F.lit(False)).alias("higher_ed"), _joined("legacy_names").alias("legacy_names"),
         F.lit("").alias("source_evidence"), F.lit("").alias("status"), F.lit("").alias("notes"),
         "tech_ord", "kind_ord", "ord")
@@ -64,7 +66,8 @@ def tier_counts(ledger_rows: DataFrame) -> DataFrame:
 
 
 def audit_issues(signatures: DataFrame) -> DataFrame:
-    """Problems of single html, scripts and js patterns (Q4-Q7), one row each."""
+    """Problems of single html, scripts and js patterns (Q4-Q7), one row each. The message texts
+    are fixed values."""
     p = F.when(F.col("kind") == "js", F.col("key")).otherwise(F.col("pattern"))
     regex_like = p.rlike(r"[\\.*+?^${}()|\[\]]") & (F.length(p) > 6)
     raw = F.replace(F.replace(p, F.lit("\\\\"), F.lit("\\")), F.lit("\\."), F.lit("."))
@@ -106,22 +109,12 @@ def duplicate_places(signatures: DataFrame) -> DataFrame:
     return _audited(signatures).join(duplicate_patterns(signatures), ["field", "pattern"])
 
 
-def duplicate_issues(signatures: DataFrame, listed: int = 1000) -> DataFrame:
-    """Patterns that several technologies share, as audit issues (Q8).
-
-    The message names every place; for a pattern with more than ``listed`` uses it gives their
-    number instead, and ``duplicate_places`` has them as rows.
-    """
-    places = duplicate_places(signatures).filter(F.col("uses") <= listed)
-    name = F.concat("tech", F.lit(" ("), "file", F.lit(")"))
-    named = places.groupBy("field", "pattern").agg(
-        F.array_sort(F.collect_list(F.struct("tech_ord", "ord", name.alias("place")))).alias("places"),
-    ).select("field", "pattern", F.array_join(F.transform("places", lambda x: x["place"]), ", ").alias("text"))
-    counted = duplicate_patterns(signatures).filter(F.col("uses") > listed).select(
-        "field", "pattern", F.concat(F.col("uses").cast("string"), F.lit(" places")).alias("text"))
-    return named.unionByName(counted).select(
-        F.lit("INFO").alias("severity"), F.lit("Multiple").alias("tech"), F.lit("various").alias("file"),
-        "field", "pattern", F.concat(F.lit("Duplicate pattern found in: "), "text").alias("message"))
+def duplicate_issues(signatures: DataFrame) -> DataFrame:
+    """Patterns used more than once as audit issues (Q8): one row per pattern with its number of
+    uses. ``duplicate_places`` names the places, one row each, however many there are."""
+    return duplicate_patterns(signatures).select(
+        F.lit("INFO").alias("severity"), F.lit("Multiple").alias("tech"), F.lit("various").alias("file"), "field", "pattern",
+        F.concat(F.lit("Duplicate pattern found in "), F.col("uses").cast("string"), F.lit(" places")).alias("message"))
 
 
 def audit(signatures: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def stack_components(merged: DataFrame, site: str = "site", prefer: str = "last"
 
 
 def stack_inferences(stack: DataFrame) -> DataFrame:
-    """Add the conclusions drawn from combinations of slots."""
+    """Add the conclusions drawn from combinations of slots (R4). Their texts are fixed values."""
     rules = F.array(
         F.when((F.col("cms") == "WordPress") & F.array_contains("javascript", "React"),
                "WordPress with React frontend (likely headless WordPress)"),

@@ -10,17 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackscan.functions.columns import union_all
 from stackscan.functions.regex import required_literals, strip_suffix, to_spark_regex
-from stackscan.model import MAX_SIGNATURES_PER_PASS
-from stackscan.operators.candidates import candidate_column, key_trigger
+from stackscan.operators.candidates import PART, candidate_places, key_trigger, rows_at
 from stackscan.sources.signatures import valid_regex
 
 # Statuses the validation may overwrite.
 AUTO_STATUSES = ("", "verified", "suspect", "false-positive", "needs-review", "no-evidence")
 ROW = ["technology", "file", "field", "pattern"]
-_CANDIDATE = ("struct<technology:string,file:string,field:string,pattern:string,"
-              "key:string,key_regex:string,value_regex:string>")
+_TEST = "struct<place:int,own_tech:string,field:string,key:string,key_regex:string,value_regex:string>"
+_ROW = "struct<technology:string,file:string,field:string,pattern:string>"
 
 
 def snapshot_evidence(snapshots: DataFrame) -> DataFrame:
@@ -67,12 +65,14 @@ def prepare_ledger(rows: DataFrame) -> DataFrame:
         (by_key | valid_regex(F.col("key_regex"))) & (F.col("value_regex").isNull() | valid_regex(F.col("value_regex"))))
 
 
-def compile_ledger(prepared: DataFrame, mode: str) -> tuple[list[dict], list[list[tuple[str, str]]]]:
-    """Test rows and their triggers for one bounded set of prepared ledger rows."""
-    tests, triggers = [], []
-    for row in prepared.orderBy(*ROW).toLocalIterator():
+def compile_ledger(prepared: DataFrame, mode: str) -> tuple[list[dict], list[dict], list[list[tuple[str, str]]]]:
+    """Ledger rows by place, their tests, and what triggers each test."""
+    rows, tests, triggers = [], [], []
+    for place, row in enumerate(prepared.orderBy(*ROW).toLocalIterator()):
         field, key, needs = row["field"], row["key"], row["needs"]
-        tests.append({c: row[c] for c in (*ROW, "key", "key_regex", "value_regex")})
+        rows.append({c: row[c] for c in ROW})
+        tests.append({"place": place, "own_tech": (row["technology"] or "").strip(" ").lower(), "field": field,
+                      **{c: row[c] for c in ("key", "key_regex", "value_regex")}})
         if field in ("html", "scripts") or (field == "cookies" and mode == "validate"):
             wanted = [(field, n) for n in needs] or [(field, "")]
         elif field == "js":
@@ -82,7 +82,7 @@ def compile_ledger(prepared: DataFrame, mode: str) -> tuple[list[dict], list[lis
         else:
             wanted = [("key", key_trigger(field, key if field == "cookies" else key.lower()))]
         triggers.append(wanted)
-    return tests, triggers
+    return rows, tests, triggers
 
 
 def _holds(s: Column, mode: str) -> Column:
@@ -121,10 +121,9 @@ def _holds(s: Column, mode: str) -> Column:
         F.lit(False))
 
 
-def snapshot_hits(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "validate",
-                  per_pass: int = MAX_SIGNATURES_PER_PASS) -> DataFrame:
-    """One row per ledger pattern and snapshot it fires on (Q10)."""
-    spark = ledger_rows.sparkSession
+def _fired(ledger_rows: DataFrame, snapshots: DataFrame, mode: str, part: int) -> tuple[DataFrame, list[dict]]:
+    """(place, own, ord, url, snapshot_tech) of every ledger row and snapshot it fires on, and the
+    rows by place. ``own`` tells whether the snapshot is labelled with the row's technology."""
     empty = F.array().cast("array<string>")
 
     def tagged(field: str, keys: Column, lower: bool) -> Column:
@@ -136,52 +135,59 @@ def snapshot_hits(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "val
                     tagged("js", F.map_keys("js_objects"), False), tagged("cookies", names, False))
     texts = {"html": F.col("html"), "scripts": F.concat_ws("\n", F.transform("scripts", lambda s: s["src"])),
              "cookies": F.concat_ws("\n", names)}
-    prepared = prepare_ledger(ledger_rows)
-    n_passes = max(1, -(-ledger_rows.count() // per_pass))
-    parts = []
-    for number in range(n_passes):
-        share = prepared if n_passes == 1 else prepared.filter(
-            F.pmod(F.xxhash64(*ROW), F.lit(n_passes)) == number)
-        tests, triggers = compile_ledger(share, mode)
-        found = candidate_column(spark, tests, triggers, _CANDIDATE, texts, keys)
-        hits = F.filter("_candidates", lambda s: _holds(s, mode))
-        parts.append(snapshots.select("*", found.alias("_candidates")).select(
-            "ord", "url", F.col("technology").alias("snapshot_tech"), F.explode_outer(hits).alias("s"),
-        ).filter("s is not null").select(*[f"s.{c}" for c in ROW], "ord", "url", "snapshot_tech"))
-    return union_all(parts)
-
-
-def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "validate") -> DataFrame:
+    rows, tests, triggers = compile_ledger(prepare_ledger(ledger_rows), mode)
+    places = candidate_places(ledger_rows.sparkSession, triggers, texts, keys, part)
+    tested = snapshots.select("*", places.alias("_places")).select("*", rows_at(F.col("_places"), tests, _TEST, part).alias("_tests"))
+    hits = F.transform(F.filter("_tests", lambda s: _holds(s, mode)), lambda s: F.struct(
+        s["place"].alias("place"), (s["own_tech"] == normal_tech(F.col("technology"))).alias("own")))
+    return tested.select("ord", "url", F.col("technology").alias("snapshot_tech"), F.explode_outer(hits).alias("s")).filter(
+        "s is not null").select("s.place", "s.own", "ord", "url", "snapshot_tech"), rows
+
+
+def _row_at(place: Column, rows: list[dict], part: int) -> Column:
+    return F.get(rows_at(F.array(place), rows, _ROW, part), 0)
+
+
+def snapshot_hits(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "validate", part: int = PART) -> DataFrame:
+    """One row per ledger pattern and snapshot it fires on (Q10)."""
+    fired, rows = _fired(ledger_rows, snapshots, mode, part)
+    return fired.select(_row_at(F.col("place"), rows, part).alias("s"), "ord", "url", "snapshot_tech").select(
+        *[f"s.{c}" for c in ROW], "ord", "url", "snapshot_tech")
+
+
+def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "validate", part: int = PART) -> DataFrame:
     """Status of every ledger pattern with its citation and false-positive note (Q11).
 
     ``needs-review`` fires on its own and on other technologies, ``verified`` only on its own,
     ``false-positive`` only on others, ``suspect`` never; ``no-evidence`` has no own snapshot.
+    Hits travel without their patterns, dealt by pattern and snapshot: both uses below read this one
+    shuffle, and a pattern that fires everywhere is counted before its rows meet.
     """
-    # Hits are spread by pattern and snapshot: both uses below read this one shuffle, and a
-    # pattern that fires everywhere is counted before its rows meet.
-    hits = snapshot_hits(ledger_rows, snapshots, mode).repartition(*ROW, "ord")
-    hits = hits.withColumn("own", normal_tech(F.col("technology")) == normal_tech(F.col("snapshot_tech")))
-    counts = hits.groupBy(*ROW).agg(
+    fired, rows = _fired(ledger_rows, snapshots, mode, part)
+    fired = fired.repartition("place", "ord")
+    counts = fired.groupBy("place").agg(
         F.count_if("own").alias("own_hits"), F.count_if(~F.col("own")).alias("other_hits"),
         F.min(F.when(F.col("own"), F.struct("ord", "url"))).alias("first_own"))
-    place = Window.partitionBy(*ROW, "own").orderBy("ord", "url")
-    firsts = hits.withColumn("rn", F.row_number().over(place)).filter("rn <= 2").groupBy(*ROW).agg(
+    order = Window.partitionBy("place", "own").orderBy("ord", "url")
+    firsts = fired.withColumn("rn", F.row_number().over(order)).filter("rn <= 2").groupBy("place").agg(
         F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("ord", "url", "snapshot_tech")))).alias("firsts"))
+    found = counts.join(firsts, "place", "left").withColumn("s", _row_at(F.col("place"), rows, part)).select(
+        *[f"s.{c}" for c in ROW], "own_hits", "other_hits", "first_own", "firsts")
     own_techs = snapshots.select(normal_tech(F.col("technology")).alias("_tech")).distinct().withColumn("_known", F.lit(True))
     row = ledger_rows.withColumn("_tech", normal_tech(F.col("technology"))).join(own_techs, "_tech", "left").drop("_tech")
-    both = row.join(counts, ROW, "left").join(firsts, ROW, "left")
+    both = row.join(found, ROW, "left")
     n_other = F.coalesce("other_hits", F.lit(0))
     own, other = F.coalesce("own_hits", F.lit(0)) > 0, n_other > 0
     result = (F.when(F.col("_known").isNull(), "no-evidence").when(own & other, "needs-review")
               .when(own, "verified").when(other, "false-positive").otherwise("suspect"))
-    names = F.array_join(F.transform("firsts", lambda x: x["snapshot_tech"]), ", ")
+    shown = F.array_join(F.transform("firsts", lambda x: x["snapshot_tech"]), ", ")
     more = F.when(n_other > 2, F.concat(F.lit(" +"), (n_other - 2).cast("string"))).otherwise(F.lit(""))
-    note = F.when(other, F.concat(F.lit("FP on: "), names, more))
-    tested = F.col("_known").isNotNull()
+    note = F.when(other, F.concat(F.lit("FP on: "), shown, more))
+    known = F.col("_known").isNotNull()
     return both.select(
         *ledger_rows.columns, result.alias("result"), F.coalesce("own_hits", F.lit(0)).alias("own_hits"),
-        n_other.alias("other_hits"), F.when(tested, F.col("first_own.url")).alias("first_own_url"),
-        F.when(tested, note).alias("fp_note"))
+        n_other.alias("other_hits"), F.when(known, F.col("first_own.url")).alias("first_own_url"),
+        F.when(known, note).alias("fp_note"))
 
 
 def update_ledger(results: DataFrame, force: bool = False) -> DataFrame:

@@ -7,16 +7,14 @@ Every row of the table is used. The same formulas are stated once more in SQL fo
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
+from stackscan.functions.columns import union_all
 from stackscan.model import KINDS, ScanConfig, TECHNOLOGY_SCHEMA
 from stackscan.operators.evidence import extract_evidence
-from stackscan.sources.pages import spread
-from stackscan.sources.signatures import Library, compile_library, signature_rows
+from stackscan.sources.signatures import Library, compile_library, signature_rows, with_weights
 
 CONFIG = ScanConfig(capture_network=True)
 
@@ -85,7 +83,6 @@ def signature_frame(spark: SparkSession) -> DataFrame:
     return signature_rows(spark, SIGNATURES)[1]
 
 
-@cache
 def library(spark: SparkSession) -> Library:
     return compile_library(technology_frame(spark), signature_frame(spark))
 
@@ -94,9 +91,8 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-@cache
 def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/pages.parquet"))
+    return spark.read.parquet(f"{sf}/pages.parquet")
 
 
 def decorate(pages: DataFrame) -> DataFrame:
@@ -151,9 +147,8 @@ def demo_pages(spark: SparkSession, sf: str) -> DataFrame:
     return decorate(raw_pages(spark, sf))
 
 
-@cache
 def demo_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence of the demo pages; the plan is built once per session."""
+    """Evidence of the demo pages."""
     return extract_evidence(demo_pages(spark, sf), CONFIG)
 
 
@@ -320,13 +315,49 @@ facts AS (
 version_facts AS (SELECT * FROM facts WHERE value <> '')"""
 
 
+# A library of real size, two signatures per part: (condition, kind, key, pattern), written so that
+# Spark and the oracle read the same text. Some hit most pages, most hit none.
+LARGE = [
+    ("n % 8 = 0", "html", None, "'href=\"[^\"]*' || (n % 500) || '\"'"),
+    ("n % 8 = 1", "script", None, "'lib' || (n % 5) || '[.]js[?]ver=' || (n % 30)"),
+    ("n % 8 = 2", "network", None, "CASE WHEN n % 3 = 0 THEN 'swiftype' ELSE 'vendor' || n END"),
+    ("n % 8 = 3", "header", "'server'", "CASE WHEN n % 5 = 0 THEN 'nginx' ELSE 'srv' || n END"),
+    ("n % 8 = 4", "meta", "'generator'", "'WordPress 6[.]' || (n % 90)"),
+    ("n % 8 = 5", "dom", "'bodyClasses'", "'page-' || (n % 40) || '$'"),
+    ("n % 8 = 6", "js", "CASE WHEN n % 3 = 0 THEN 'React' ELSE 'g' || n END", "''"),
+    ("n % 8 = 7", "cookie", "'PHPSESSID'", "'^v' || (n % 100) || '$'"),
+    ("true", "html", None, "'track[(]' || n || '[)]'"),
+]
+
+
+def large_library(spark: SparkSession, sf: str) -> Library:
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("n"))
+    rows = []
+    for i, (condition, kind, key, pattern) in enumerate(LARGE):
+        rows.append(parts.filter(condition).selectExpr(
+            "'L' || (n % 97) AS tech", "n % 97 AS tech_ord", "'large.json' AS file", f"'{kind}' AS field", f"'{kind}' AS kind",
+            f"CAST(n * 10 + {i} AS INT) AS ord", f"{key or 'CAST(NULL AS STRING)'} AS key", f"{pattern} AS pattern",
+            f"'{KINDS[kind][2]}: ' || n || '/{i}' AS label"))
+    none = lambda kind: f"CAST(NULL AS {kind})"
+    techs = parts.selectExpr("'L' || (n % 97) AS tech").distinct().selectExpr(
+        "tech", f"{none('array<string>')} AS categories", "false AS higher_ed", "'' AS description")
+    return compile_library(techs, with_weights(union_all(rows)))
+
+
+def large_matches_sql() -> str:
+    """``matches``: matching signatures of the large library per page."""
+    rows = "\n  UNION ALL ".join(
+        f"SELECT 'L' || (n % 97) AS tech, n % 97 AS tech_ord, '{kind}' AS kind, {KINDS[kind][0]} AS kind_ord, n * 10 + {i} AS ord, "
+        f"{key or 'CAST(NULL AS VARCHAR)'} AS key, {pattern} AS pattern, {KINDS[kind][1]} AS weight, '{KINDS[kind][2]}: ' || n || '/{i}' AS label "
+        f"FROM (SELECT p_partkey AS n FROM part) WHERE {condition}" for i, (condition, kind, key, pattern) in enumerate(LARGE))
+    return f"lib AS ({rows}),{evidence_sql()},{_MATCHES_SQL}"
+
+
 def evidence_sql() -> str:
     return ",".join([PAGES_SQL, SCRIPTS_SQL, META_SQL, STRINGS_SQL, CRAWLER_SQL, EVIDENCE_SQL])
 
 
-def matches_sql() -> str:
-    """``matches``: matching signatures per page."""
-    return f"""{library_sql()},{evidence_sql()},
+_MATCHES_SQL = """
 matches AS (
   SELECT DISTINCT ev.page_id, lib.tech, lib.tech_ord, lib.kind, lib.kind_ord, lib.ord, lib.key, lib.weight, lib.label
   FROM lib JOIN ev ON ev.kind = lib.kind AND (lib.key IS NULL OR lib.key = ev.key)
@@ -334,6 +365,11 @@ matches AS (
 )"""
 
 
+def matches_sql() -> str:
+    """``matches``: matching signatures per page."""
+    return f"{library_sql()},{evidence_sql()},{_MATCHES_SQL}"
+
+
 def detections_sql() -> str:
     """``det``: scored detections per page with rank, evidence and version."""
     return f"""{matches_sql()},{technologies_sql()},{FACTS_SQL},

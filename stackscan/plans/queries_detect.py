@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +21,11 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
     return match.signature_matches(_evidence(spark, sf), demo.library(spark), IDS)
 
 
-@cache
 def _detections(spark: SparkSession, sf: str, config: ScanConfig = demo.CONFIG) -> DataFrame:
     ids = ["page_id", "site", "url", "page_ord"]
     return match.detect(_evidence(spark, sf), demo.library(spark), ids, config)
 
 
-@cache
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.merge_sites(_detections(spark, sf))
 
@@ -100,7 +96,6 @@ def stack_inferences(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.stack_inferences(_stack(spark, sf)).select("site", _list("inferences").alias("inferences"))
 
 
-@cache
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return scan.budgeted_scan(demo.demo_pages(spark, sf), demo.library(spark), demo.CONFIG)
 
@@ -112,9 +107,15 @@ def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.col("inferred_stack.components.cms").alias("cms"), _list("inferred_stack.inferences").alias("inferences"))
 
 
+def _whole_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of all pages, whatever their number."""
+    pages = demo.demo_pages(spark, sf)
+    return rollup.scan_documents(scan.page_scans(pages), _merged(spark, sf))
+
+
 def document_json(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as JSON and read back."""
-    text = sinks.document_json(_documents(spark, sf))
+    text = sinks.document_json(_whole_documents(spark, sf))
     schema = "struct<site:string,technologies:array<struct<name:string>>,scanned_pages:int>"
     parsed = text.select(F.from_json("document", schema).alias("d"))
     return parsed.select("d.site", F.size("d.technologies").alias("technologies"), "d.scanned_pages")
@@ -122,7 +123,7 @@ def document_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The store's row per scan and technology."""
-    return sinks.detected_rows(_documents(spark, sf)).select(
+    return sinks.detected_rows(_whole_documents(spark, sf)).select(
         "url", "tech", "confidence", _list("categories").alias("categories"), "version", "is_higher_ed")
 
 
@@ -177,7 +178,19 @@ def network_technologies(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.channel_technologies(_detections(spark, sf), "Network")
 
 
+def match_large_library(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of signatures of all kinds."""
+    found = match.signature_matches(_evidence(spark, sf), demo.large_library(spark, sf), IDS)
+    return found.select("page_id", "tech", "kind", "label", "weight")
+
+
+def detect_large_library(spark: SparkSession, sf: str) -> DataFrame:
+    found = match.detect(_evidence(spark, sf), demo.large_library(spark, sf), IDS, demo.CONFIG)
+    return found.select("page_id", "rank", "tech", "confidence", F.size("evidence").alias("evidence_items"))
+
+
 QUERIES = {
+    "match_large_library": match_large_library, "detect_large_library": detect_large_library,
     "detect_pages": detect_pages, "detect_all_kinds": detect_all_kinds,
     **{f"match_{k}": kind_matches(k) for k in ("html", "script", "network", "header", "meta", "dom", "js", "cookie")},
     "page_scores": page_scores, "strict_versions": strict_versions, "site_merge": site_merge, "source_union": source_union,
@@ -212,8 +225,9 @@ def _budget_sql() -> str:
     from stackscan.fixed import EXCLUDED_PATHS
     out = " OR ".join(f"contains(lower(path), '{p}')" for p in EXCLUDED_PATHS)
     chosen = f"""chosen AS (
-  SELECT * FROM (SELECT page_id, site, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
-    row_number() OVER (PARTITION BY site ORDER BY page_id) AS slot FROM dp) WHERE slot <= 5 AND NOT ({out})
+  SELECT * FROM (SELECT *, bool_or(slot = 1 AND excluded) OVER (PARTITION BY site) AS no_main FROM (SELECT *, {out} AS excluded FROM (
+    SELECT page_id, site, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+      row_number() OVER (PARTITION BY site ORDER BY page_id) AS slot FROM dp)) WHERE slot <= 5) WHERE NOT excluded AND NOT no_main
 )"""
     merged = demo.merged_sql()
     # the roll-up reads the chosen pages' detections
@@ -227,7 +241,13 @@ def oracles() -> dict[str, str]:
     matches = f"WITH {demo.matches_sql()}"
     budget = f"WITH {_budget_sql()}"
     shown = "list_contains(list_transform(categories, lambda x: lower(x)), 'cms')"
+    large = f"WITH {demo.large_matches_sql()}"
     out = {
+        "match_large_library": f"{large} SELECT page_id, tech, kind, label, weight FROM matches",
+        "detect_large_library": f"""{large}, hits AS (SELECT *, row_number() OVER (PARTITION BY page_id, tech, kind ORDER BY ord) AS hit FROM matches),
+scored AS (SELECT page_id, tech, tech_ord, CAST(least(sum(weight), 100) AS INTEGER) AS confidence, CAST(count(*) FILTER (WHERE kind <> 'html' OR hit <= 11) AS INTEGER) AS evidence_items
+  FROM hits GROUP BY page_id, tech, tech_ord HAVING sum(weight) >= 30)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, tech_ord) AS INTEGER) AS rank, tech, confidence, evidence_items FROM scored""",
         "detect_pages": f"""WITH {demo.library_sql()}
 SELECT page_id, tech, CAST(least(sum(weight), 100) AS INTEGER) AS confidence
 FROM pages JOIN lib ON lib.kind = 'html' AND regexp_matches(html, pattern, 'i') GROUP BY page_id, tech HAVING sum(weight) >= 30""",
@@ -254,10 +274,10 @@ heads AS (SELECT site, arg_min(url, page_id) AS url, CAST(count(*) AS INTEGER) A
 names AS (SELECT site, string_agg(tech || ':' || confidence, '|' ORDER BY rank) AS technologies FROM merged GROUP BY site)
 SELECT site, url, scanned_pages, scanned_urls, coalesce(technologies, '') AS technologies, cms, coalesce({_INFER}, '') AS inferences
 FROM heads LEFT JOIN names USING (site) LEFT JOIN stack USING (site)""",
-        "document_json": f"""{budget}, heads AS (SELECT site, CAST(count(*) AS INTEGER) AS scanned_pages FROM chosen GROUP BY site),
+        "document_json": f"""{m}, heads AS (SELECT site, CAST(count(*) AS INTEGER) AS scanned_pages FROM dp GROUP BY site),
 names AS (SELECT site, CAST(count(*) AS INTEGER) AS technologies FROM merged GROUP BY site)
 SELECT site, coalesce(technologies, 0) AS technologies, scanned_pages FROM heads LEFT JOIN names USING (site)""",
-        "store_rows": f"""{budget}, heads AS (SELECT site, arg_min(url, page_id) AS url FROM chosen GROUP BY site)
+        "store_rows": f"""{m}, heads AS (SELECT site, arg_min(url, page_id) AS url FROM dp GROUP BY site)
 SELECT url, tech, confidence, array_to_string(categories, '|') AS categories, version, is_higher_ed FROM heads JOIN merged USING (site)""",
         "category_counts": m + " SELECT category, count(*) AS technologies FROM (SELECT unnest(categories) AS category FROM merged) GROUP BY category",
         "higher_ed_subset": m + " SELECT site, tech, confidence FROM merged WHERE is_higher_ed",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,7 +146,6 @@ def unscanned_links(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.not_scanned(links, scanned, "href").select("page_id", "href", "source")
 
 
-@cache
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """A response log: two fetches per derived or probed address, by formula."""
     sites = demo.raw_pages(spark, sf).select(F.concat(urls.origin(F.col("url")), F.lit("/")).alias("url"), "page_id")

@@ -40,7 +40,8 @@ def _scans(spark: SparkSession, sf: str) -> DataFrame:
 def due_urls(spark: SparkSession, sf: str) -> DataFrame:
     worklist = spark.read.parquet(f"{sf}/customer.parquet").select(
         F.concat(F.lit("u"), (F.col("c_custkey") % 200).cast("string")).alias("url")).distinct()
-    return history.due_urls(worklist, _detected(spark, sf).filter(F.col("timestamp") < _now()), _now())
+    scans = _detected(spark, sf)
+    return history.due_urls(worklist, scans, F.lit(scans.agg(F.max("timestamp")).first()[0]))
 
 
 def technology_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,8 +56,9 @@ def technology_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of the first half of the events, brought up to date with the second."""
     rows = _detected(spark, sf)
     old, new = rows.filter("scan_id % 2 = 0"), rows.filter("scan_id % 2 = 1")
-    merged = history.merge_technology_urls(history.technology_urls(old), history.technology_urls(new))
-    return history.stats_from_urls(merged)
+    props = ("props",)
+    merged = history.merge_technology_urls(history.technology_urls(old, props), history.technology_urls(new, props), props)
+    return history.stats_from_urls(merged, props)
 
 
 def last_scans(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +107,9 @@ def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     found = _as_detected(_stream(spark, sf, "events")).withColumn("tech", F.split_part("tech", F.lit("-"), F.lit(1)))
-    rolled = _table(spark, jobs.daily_rollup(found, site="url"))
+    folder = jobs.shared_folder(spark)
+    jobs.run_updates(jobs.daily_rollup(found, site="url"), f"{folder}/days", f"{folder}/checkpoint").awaitTermination()
+    rolled = jobs.current_rows(spark, f"{folder}/days", ["day", "url", "tech"])
     return rolled.select(F.col("day").cast("date").alias("day"), "url", "tech", "confidence", "pages")
 
 
@@ -124,8 +128,8 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
     folder = jobs.shared_folder(spark)
-    jobs.maintain_stats(_as_detected(_stream(spark, sf, "events")), f"{folder}/stats", f"{folder}/checkpoint").awaitTermination()
-    return history.stats_from_urls(jobs.running_urls(spark, f"{folder}/stats"))
+    jobs.maintain_stats(_as_detected(_stream(spark, sf, "events")), f"{folder}/stats", f"{folder}/checkpoint", ("props",)).awaitTermination()
+    return history.stats_from_urls(jobs.running_urls(spark, f"{folder}/stats", ("props",)), ("props",))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -147,12 +151,13 @@ def oracles() -> dict[str, str]:
         f"SELECT url, {at}, 'added' AS type, unnest({diff.format(a='technologies', b='previous')}) AS technology FROM pairs "
         f"UNION ALL SELECT url, {at}, 'removed', unnest({diff.format(a='previous', b='technologies')}) FROM pairs")
     stats = f"{d} {_STATS} FROM detected GROUP BY tech"
+    latest = f"{d} {_STATS}, arg_max(props, timestamp) AS props FROM detected GROUP BY tech"
     return {
         "due_urls": f"""{d} SELECT DISTINCT 'u' || (c_custkey % 200) AS url FROM customer WHERE 'u' || (c_custkey % 200) NOT IN (
-  SELECT url FROM detected WHERE timestamp >= {_NOW} - INTERVAL 24 HOURS AND timestamp < {_NOW})""",
-        "technology_stats": f"{d} {_STATS}, arg_max(props, timestamp) AS props FROM detected GROUP BY tech",
+  SELECT url FROM detected WHERE timestamp >= (SELECT max(timestamp) FROM detected) - INTERVAL 24 HOURS)""",
+        "technology_stats": latest,
         "technology_urls": f"{d} SELECT tech, url, count(*) AS detections, max(timestamp) AS last_seen FROM detected GROUP BY tech, url",
-        "technology_upsert": stats, "stream_stats": stats,
+        "technology_upsert": latest, "stream_stats": latest,
         "last_scans": f"""{d} SELECT * FROM (SELECT url, scan_id, CAST(row_number() OVER (PARTITION BY url ORDER BY timestamp DESC, scan_id DESC) AS INTEGER) AS recency
   FROM detected) WHERE recency <= 10""",
         "top_technologies": f"{stats} ORDER BY detection_count DESC, tech LIMIT 50",
@@ -165,9 +170,8 @@ SELECT url, tech, CASE WHEN before AND after THEN 'unchanged' WHEN after THEN 'a
         "active_sites": "SELECT c_name AS url FROM customer WHERE c_acctbal > 0",
         "state_counts": "SELECT o_orderstatus AS state, count(*) AS jobs FROM orders GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM orders",
         "stream_detect": f"WITH {demo.detections_sql()} SELECT page_id, rank, tech, confidence, version FROM det",
-        "stream_daily": f"""{d}, last AS (SELECT max(timestamp) - INTERVAL 1 DAY AS mark FROM detected)
-SELECT CAST(timestamp AS DATE) AS day, url, kind AS tech, max(confidence) AS confidence, count(*) AS pages FROM detected, last
-WHERE CAST(timestamp AS DATE) + INTERVAL 1 DAY <= mark GROUP BY 1, 2, 3""",
+        "stream_daily": f"""{d} SELECT CAST(timestamp AS DATE) AS day, url, kind AS tech, max(confidence) AS confidence, count(*) AS pages
+FROM detected GROUP BY 1, 2, 3""",
         "stream_first_scans": f"""WITH RECURSIVE {DETECTED_SQL}, accepted AS (
   SELECT url, min(timestamp) AS at_ts FROM detected GROUP BY url
   UNION ALL

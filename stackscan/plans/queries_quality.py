@@ -6,7 +6,6 @@ signature file, with patterns put together from its name, brand and type.
 
 from __future__ import annotations
 
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,6 +154,10 @@ def duplicate_places(spark: SparkSession, sf: str) -> DataFrame:
     return quality.duplicate_places(_signatures(spark, sf)).select("field", "pattern", "tech", "file", "uses")
 
 
+def audit_issues_all(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.audit(_signatures(spark, sf))
+
+
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     return quality.audit_summary(quality.audit(_signatures(spark, sf)))
 
@@ -250,15 +253,14 @@ def kind_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rejected_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    """Patterns no regex engine accepts, set aside at load: every fifth part's has a loose end."""
-    broken = _signatures(spark, sf).filter("kind = 'html'").withColumn(
+    """Patterns no regex engine accepts, set aside at load: every fifth part's have a loose end."""
+    broken = _signatures(spark, sf).withColumn(
         "pattern", F.when(F.col("tech_ord") % 5 == 0, _cat(F.col("pattern"), "(")).otherwise(F.col("pattern")))
     return library.rejected_signatures(library.prepare_signatures(broken)).select("tech", "kind", "pattern")
 
 
 # ---- validation ----
 
-@cache
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Every page as a labelled snapshot; the label follows from the page number."""
     evidence = demo.demo_evidence(spark, sf)
@@ -312,30 +314,33 @@ def needs_attention(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- mining ----
 
-@cache
-def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents as captured pages: a source is an institution, a label puts a vendor in its profile."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+FINE = "source || '-' || (doc_id % 1000)"
+
+
+def _corpus(spark: SparkSession, sf: str, institution: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as captured pages: a source, or a part of one, is an institution; a label puts a vendor in its profile."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("inst", F.expr(institution))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    flags = docs.join(labels, "doc_id", "left").groupBy("source").agg(
+    flags = docs.join(labels, "doc_id", "left").groupBy("inst").agg(
         F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     tech = lambda name, raw, cond: F.when(cond, F.struct(F.lit(name).alias("name"), F.array(F.lit(raw)).alias("raw_names")))
     profile = F.struct(F.create_map(F.lit("Site Search"), F.struct(
         F.array_compact(F.array(tech("SearchOne", "searchone", F.col("toxic") == 1), tech("Other", "other", F.lit(True)))).alias("current"),
         F.array_compact(F.array(tech("Old", "SearchOne", F.col("quality") == 0))).alias("historical"))).alias("categories"))
     institutions = flags.select(
-        F.col("source").alias("id"), _cat("Inst ", F.col("source")).alias("name"),
-        _cat("https://", F.col("source"), ".example.edu").alias("website_url"), profile.alias("tech_profile"))
-    scans = docs.filter("doc_id % 10 != 9").select(F.col("doc_id").alias("id"), F.col("source").alias("institution_id"))
+        F.col("inst").alias("id"), _cat("Inst ", F.col("inst")).alias("name"),
+        _cat("https://", F.col("inst"), ".example.edu").alias("website_url"), profile.alias("tech_profile"))
+    scans = docs.select(F.col("doc_id").alias("id"), F.col("inst").alias("institution_id"))
     pages = docs.select(F.col("doc_id").alias("scan_id"), F.struct(
         _cat("https://", F.col("source"), "/", F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("html")).alias("content"))
     return institutions, scans, pages
 
 
-def _hits(spark: SparkSession, sf: str, signature: str, as_regex: bool = False, historical: bool = False) -> DataFrame:
-    institutions, scans, pages = _corpus(spark, sf)
+def _hits(spark: SparkSession, sf: str, signature: str, as_regex: bool = False, historical: bool = False,
+          institution: str = "source") -> DataFrame:
+    institutions, scans, pages = _corpus(spark, sf, institution)
     members = mining.universe(institutions, scans, pages, "Site Search", "SearchOne", historical, None, None)
-    return mining.institution_hits(members, scans, pages, signature, as_regex, None)
+    return mining.institution_hits(members, scans, pages, signature, as_regex)
 
 
 def mine_signature(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,20 +361,23 @@ def institution_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mine_signature_sampled(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics on the default random samples of positives and negatives."""
-    institutions, scans, pages = _corpus(spark, sf)
-    members = mining.universe(institutions, scans, pages, "Site Search", "SearchOne")
+    """Metrics on random samples of positives and negatives, smaller than their groups."""
+    institutions, scans, pages = _corpus(spark, sf, FINE)
+    members = mining.universe(institutions, scans, pages, "Site Search", "SearchOne", False, *SAMPLES)
     hits = mining.institution_hits(members, scans, pages, "er the")
     return mining.signature_metrics(hits, mining.positives(institutions, "Site Search", "SearchOne"), "SearchOne", "Site Search", "er the")
 
 
+SAMPLES = (10, 40)
+
+
 def spotcheck(spark: SparkSession, sf: str) -> DataFrame:
-    institutions = _corpus(spark, sf)[0]
-    return mining.spotcheck(_hits(spark, sf, "er the"), institutions)
+    institutions = _corpus(spark, sf, FINE)[0]
+    return mining.spotcheck(_hits(spark, sf, "er the", institution=FINE), institutions)
 
 
 QUERIES = {f.__name__: f for f in (
-    library_load, library_merge, ledger_tiers, ledger_csv, tier_counts, audit_issues, duplicate_signatures, duplicate_places,
+    library_load, library_merge, ledger_tiers, ledger_csv, tier_counts, audit_issues, audit_issues_all, duplicate_signatures, duplicate_places,
     audit_summary, incomplete_technologies, expected_coverage, library_categories, sis_candidates, segment_coverage,
     uncategorized_sis, import_rollup, reference_ledger, priority_counts, capture_worklist, capture_summary, regression_outcomes,
     regression_summary, kind_coverage, rejected_signatures, snapshot_hits, snapshot_hits_runtime, validation_status,
@@ -490,13 +498,13 @@ kept AS (
 
 _STATUS = """count(*) AS total, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'needs-review') AS review,
   count(*) FILTER (WHERE status = 'suspect') AS suspect, count(*) FILTER (WHERE status = 'false-positive') AS false_positive, count(*) FILTER (WHERE status = 'no-evidence') AS no_evidence"""
-CORPUS_SQL = """inst AS (SELECT source AS id, max(toxic) = 1 AS cur, min(quality) = 0 AS old FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source),
-scanned AS (SELECT doc_id, source AS id, text, 'https://' || source || '/' || doc_id AS url FROM documents WHERE doc_id % 10 <> 9)"""
-
-
-def _mine(test: str, positive: str) -> str:
-    return f"""{CORPUS_SQL}, flagged AS (SELECT s.id, {positive} AS is_pos, bool_or({test}) AS hit, min(url) FILTER (WHERE {test}) AS sample_hit_url, count(*) AS pages
-  FROM scanned s JOIN inst USING (id) GROUP BY s.id, is_pos)"""
+def _mine(test: str, positive: str, institution: str = "source") -> str:
+    return f"""docs AS (SELECT *, {institution} AS inst FROM documents),
+inst AS (SELECT inst AS id, max(toxic) = 1 AS cur, min(quality) = 0 AS old FROM docs LEFT JOIN labels USING (doc_id) GROUP BY inst),
+scanned AS (SELECT doc_id, inst AS id, text, 'https://' || source || '/' || doc_id AS url FROM docs),
+whole AS (SELECT s.id, coalesce({positive}, false) AS is_pos, bool_or({test}) AS hit, min(url) FILTER (WHERE {test}) AS sample_hit_url, count(*) AS pages
+  FROM scanned s JOIN inst USING (id) GROUP BY s.id, is_pos),
+flagged AS (SELECT * FROM whole)"""
 
 
 def _metrics(signature: str, positive: str) -> str:
@@ -540,6 +548,8 @@ FROM w LEFT JOIN cat ON cat.id = p_size""",
   'said "' || tier || '", then' || chr(10) || 'next' AS notes FROM led""",
         "tier_counts": f"{led} SELECT tier, count(*) AS patterns FROM led GROUP BY tier",
         "audit_issues": f"{aud} SELECT * FROM issues",
+        "audit_issues_all": f"""{aud} SELECT severity, tech, file, field, pattern, message FROM issues UNION ALL
+SELECT 'INFO', 'Multiple', 'various', field, pattern, 'Duplicate pattern found in ' || uses || ' places' FROM dups""",
         "duplicate_signatures": f"{aud} SELECT * FROM dups",
         "duplicate_places": f"{aud} SELECT a.field, a.shown AS pattern, a.tech, a.file, uses FROM audited a JOIN dups d ON d.field = a.field AND d.pattern = a.shown",
         "audit_summary": f"""{aud} SELECT count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings,
@@ -568,7 +578,8 @@ SELECT category, count(*) AS technologies FROM (SELECT 'total' AS category FROM
         "regression_outcomes": f"{reg} SELECT * FROM outc",
         "regression_summary": f"{reg} SELECT url, suite, bool_and(outcome IN ('pass', 'warning')) AS passed FROM outc GROUP BY url, suite",
         "kind_coverage": f"WITH {SIGNATURES_SQL} SELECT tech, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in kinds) + " FROM sigs GROUP BY tech",
-        "rejected_signatures": f"WITH {SIGNATURES_SQL} SELECT tech, kind, shown || '(' AS pattern FROM sigs WHERE kind = 'html' AND n % 5 = 0",
+        "rejected_signatures": f"""WITH {SIGNATURES_SQL} SELECT s.tech, s.kind, CASE s.kind WHEN 'header' THEN p_brand WHEN 'meta' THEN p.kind WHEN 'cookie' THEN '' ELSE shown END || '(' AS pattern
+FROM sigs s JOIN parts p ON p.n = s.n WHERE s.kind <> 'js' AND s.n % 5 = 0""",
         "snapshot_hits": f"{val} SELECT technology, field, pattern, count(*) AS hits, min(ord) AS first_ord, CAST(sum(ord) AS BIGINT) AS ord_sum FROM hits GROUP BY 1, 2, 3",
         "snapshot_hits_runtime": f"""{val}, m AS (SELECT DISTINCT tech, kind, ord, page_id FROM matches)
 SELECT technology, field, pattern, count(*) AS hits, CAST(sum(page_id) AS BIGINT) AS ord_sum FROM led l JOIN m ON m.tech = l.technology AND m.kind = l.kind AND m.ord = l.ord GROUP BY 1, 2, 3""",
@@ -580,5 +591,11 @@ SELECT technology, field, pattern, count(*) AS hits, CAST(sum(page_id) AS BIGINT
         "needs_attention": f"{val} SELECT technology, field, pattern, status, notes FROM kept WHERE status IN ('suspect', 'false-positive', 'needs-review')",
         "mine_signature": f"WITH {_mine('contains(lower(text), ' + chr(39) + 'er the' + chr(39) + ')', 'cur')} {_metrics('Er The', 'cur')}",
         "mine_signature_historical": f"WITH {_mine('regexp_matches(text, ' + chr(39) + chr(92) + 'bcion' + chr(92) + 'w+ de' + chr(92) + 'b' + chr(39) + ', ' + chr(39) + 'i' + chr(39) + ')', '(cur OR old)')} {_metrics(chr(92) + 'bcion' + chr(92) + 'w+ de' + chr(92) + 'b', '(cur OR old)')}",
+        "mine_signature_sampled": "WITH " + _mine("contains(lower(text), 'er the')", "cur", FINE).replace("flagged AS (SELECT * FROM whole)", f"""flagged AS (
+  SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY is_pos ORDER BY md5(id || CASE WHEN is_pos THEN '#0' ELSE '#1' END), id)
+    <= CASE WHEN is_pos THEN {SAMPLES[0]} ELSE {SAMPLES[1]} END)""") + _metrics("er the", "cur"),
+        "spotcheck": "WITH " + _mine("contains(lower(text), 'er the')", "cur", FINE) + f""" SELECT CASE WHEN is_pos THEN 'pos_miss' ELSE 'neg_hit' END AS kind, id,
+  'Inst ' || id AS name, 'https://' || id || '.example.edu' AS website, CASE WHEN NOT is_pos THEN sample_hit_url END AS sample_hit_url
+FROM flagged WHERE hit <> is_pos QUALIFY row_number() OVER (PARTITION BY is_pos ORDER BY md5(id || '#0'), id) <= {mining.SPOTCHECK_ROWS}""",
         "institution_hits": f"WITH {_mine('contains(lower(text), ' + chr(39) + 'er the' + chr(39) + ')', 'cur')} SELECT * FROM flagged",
     }

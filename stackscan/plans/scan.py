@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier, rollup
-from stackscan.operators.evidence import PAGE_INPUTS, anchors, extract_evidence, markup, with_page_inputs
+from stackscan.operators.evidence import PAGE_INPUTS, anchors, base_url, extract_evidence, head_tokens, markup, with_page_inputs
 from stackscan.operators.match import detect
 from stackscan.sources.signatures import Library
 
@@ -28,13 +28,16 @@ def site_technologies(pages: DataFrame, library: Library, config: ScanConfig = S
 def pages_in_budget(pages: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """A site's main page - its first - and the further pages its scan has room for.
 
-    Excluded pages have used up their place before they are dropped; the main page decides
-    whether there is a scan at all.
+    Excluded pages have used up their place before they are dropped; a site whose main page is
+    excluded has no scan.
     """
     admitted = pages.filter(urls.rejection(F.col("url")).isNull())
     wider = ScanConfig(max_pages=config.max_pages + 1)
     chosen = frontier.page_budget(admitted, "site", ["page_ord"], wider)
-    return frontier.drop_excluded(chosen, config, "url")
+    excluded = frontier.excluded_path(F.col("url"), config)
+    # at most the budget's pages of a site are left here
+    no_main = F.bool_or((F.col("slot") == 1) & F.col("_out")).over(Window.partitionBy("site"))
+    return chosen.withColumn("_out", excluded).withColumn("_no_main", no_main).filter("not _out and not _no_main").drop("_out", "_no_main")
 
 
 def page_scans(pages: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def linked_scan(seeds: DataFrame, pages: DataFrame, responses: DataFrame, librar
     first = seeds.select("site", "url", F.lit(0).alias("source_ord"), F.lit(0).cast("long").alias("page_ord"))
     main = fetch(first)
     links = frontier.candidate_links(
-        main.select("site", "url", anchors(markup(F.col("html")), F.col("url")).alias("links")), ["site", "url"], config)
+        main.select("site", "url", anchors(markup(F.col("html")), base_url(head_tokens(F.col("html")), F.col("url"))).alias("links")), ["site", "url"], config)
     slots = frontier.page_budget(links, "site", ["pos"], config).filter(F.col("href") != F.col("url"))
     linked = slots.select("site", F.col("href").alias("url"), F.lit(1).alias("source_ord"), F.col("slot").cast("long").alias("page_ord"))
     roots = seeds.select("site", "url")

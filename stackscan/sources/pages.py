@@ -10,19 +10,12 @@ from stackscan.operators.evidence import with_page_inputs
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A table of crawled pages: ``page_id``, ``url``, ``html`` and any crawler columns."""
-    return with_page_inputs(spread(spark.read.format(fmt).load(path)))
+    """A table of crawled pages: ``page_id``, ``url``, ``html`` and any crawler columns.
 
-
-def spread(pages: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in few files.
-
-    Matching is bound by CPU, so two file splits would keep two cores busy. A table with at
-    least as many splits as cores, as any large one has, is left alone and not shuffled.
+    Matching is bound by CPU. For few large files lower ``spark.sql.files.maxPartitionBytes`` or
+    raise ``spark.sql.files.minPartitionNum``: the read is split finer and no page is shuffled.
     """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    few = pages.rdd.getNumPartitions() < cores
-    return pages.repartition(2 * cores, "page_id") if few else pages
+    return with_page_inputs(spark.read.format(fmt).load(path))
 
 
 def with_site(pages: DataFrame) -> DataFrame:

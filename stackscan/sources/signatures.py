@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackscan.functions.categories import category_names
 from stackscan.functions.columns import union_all, unnest
 from stackscan.functions.regex import literal_needs, strip_suffix, to_spark_regex
-from stackscan.model import (FIELDS, KINDS, MAX_SIGNATURES_PER_PASS, PATTERN_FILE_RECORD,
-                             SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA)
+from stackscan.model import FIELDS, KINDS, PATTERN_FILE_RECORD, SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA
 
 log = logging.getLogger(__name__)
 
@@ -144,9 +144,11 @@ def load_library(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
 @dataclass(frozen=True)
 class Signature:
     """One compiled signature. ``needs`` are literals one of which a match must contain; with
-    ``exact`` such a literal already is a match."""
+    ``exact`` such a literal already is a match. ``fact`` is the technology's place in the
+    library's facts, -1 if it has none."""
 
     ord: int
+    fact: int
     tech: str
     kind: str
     key: str | None
@@ -159,12 +161,13 @@ class Signature:
 
 @dataclass
 class Library:
-    """A checked signature library: bounded passes of compiled signatures, and the rejects."""
+    """A checked signature library: compiled signatures in library order, what a detection tells
+    about its technology, and the rejects."""
 
     technologies: DataFrame
-    passes: list[list[Signature]]
+    entries: list[Signature]
+    facts: list[dict]
     rejected: DataFrame
-    technology_rows: int
     kinds: set[str] = field(default_factory=set)
 
 
@@ -199,31 +202,22 @@ def rejected_signatures(prepared: DataFrame) -> DataFrame:
         "tech", "file", "kind", "key", "pattern", F.lit("invalid regular expression").alias("reason"))
 
 
-def compile_library(technologies: DataFrame, signatures: DataFrame,
-                    per_pass: int = MAX_SIGNATURES_PER_PASS) -> Library:
+def compile_library(technologies: DataFrame, signatures: DataFrame) -> Library:
     """Check every pattern and make the valid ones ready for matching.
 
-    The library is configuration, but its size is still counted first: above ``per_pass``
-    signatures it is split into passes, each of which ships at most about that many to the
-    executors.
+    The library is configuration: the driver holds it once, as the signature files' text. How it
+    is shipped to the executors is up to the matchers.
     """
     prepared = prepare_signatures(signatures)
-    n_passes = max(1, -(-signatures.count() // per_pass))
-    passes, kinds, places = [], set(), []
-    for number in range(n_passes):
-        share = prepared if n_passes == 1 else prepared.filter(
-            F.pmod(F.xxhash64("tech", "kind", "ord"), F.lit(n_passes)) == number)
-        rows = share.filter("valid").orderBy("tech_ord", "tech", "kind_ord", "ord").toLocalIterator()
-        passes.append([])
-        for r in rows:
-            places.append((r["tech_ord"], r["tech"], r["kind_ord"], r["ord"], number, len(passes[-1])))
-            passes[-1].append(Signature(0, r["tech"], r["kind"], r["key"], r["regex"], r["weight"], r["label"],
-                                        tuple(r["needs"]), r["exact"]))
-            kinds.add(r["kind"])
-    # One numbering over all passes, so their matches can be put back in library order.
-    for position, (*_, number, i) in enumerate(sorted(places)):
-        passes[number][i] = replace(passes[number][i], ord=position)
-    return Library(technologies, passes, rejected_signatures(prepared), technologies.count(), kinds)
+    facts = [r.asDict() for r in technologies.select(
+        "tech", category_names(F.col("categories")).alias("categories"),
+        F.coalesce("higher_ed", F.lit(False)).alias("is_higher_ed"),
+        F.coalesce("description", F.lit("")).alias("description")).collect()]
+    place = {fact["tech"]: i for i, fact in enumerate(facts)}
+    rows = prepared.filter("valid").orderBy("tech_ord", "tech", "kind_ord", "ord").toLocalIterator()
+    entries = [Signature(i, place.get(r["tech"], -1), r["tech"], r["kind"], r["key"], r["regex"], r["weight"], r["label"],
+                         tuple(r["needs"]), r["exact"]) for i, r in enumerate(rows)]
+    return Library(technologies, entries, facts, rejected_signatures(prepared), {e.kind for e in entries})
 
 
 def signature_rows(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,14 @@ def error_rows(scans: DataFrame) -> DataFrame:
     return scans.filter("error is not null").select("url", "timestamp", "error", F.to_date("timestamp").alias("scan_date"))
 
 
-def append_store(rows: DataFrame, store: str, table: str) -> None:
-    """Append rows to a table of the store, partitioned by scan date."""
-    rows.write.mode("append").partitionBy("scan_date").parquet(f"{store}/{table}")
+def append_store(rows: DataFrame, store: str, table: str, batch: str | None = None) -> None:
+    """Add rows to a table of the store, partitioned by scan date.
+
+    With a ``batch`` name the rows lie in a partition of their own, which the same batch replaces
+    when it is run again; so a retried job adds its rows once.
+    """
+    if batch is None:
+        rows.write.mode("append").partitionBy("scan_date").parquet(f"{store}/{table}")
+    else:
+        (rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch", "scan_date").parquet(f"{store}/{table}"))

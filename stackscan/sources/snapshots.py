@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
@@ -16,9 +16,13 @@ BODY_CHARS = 512
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """``<folder>/<technology>/*.json`` with the HTML of the companion files.
 
-    Files that do not parse are skipped; a missing companion gives empty HTML. ``ord`` is the
-    path, which orders the snapshots.
+    A record's ``html_file`` names its companion; its last two parts, technology folder and file,
+    find it below ``folder``. Files that do not parse are skipped; a missing companion gives empty
+    HTML. ``ord`` is the path, which orders the snapshots.
     """
+    def place(path: Column) -> Column:
+        return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
+
     schema = f"{SNAPSHOT_SCHEMA}, _corrupt string"
     parsed = (
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
@@ -26,11 +30,9 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("path", F.input_file_name()))
     good = parsed.filter("_corrupt is null and technology is not null").drop("_corrupt")
     html = spark.read.text(f"{folder}/*/", wholetext=True, pathGlobFilter="*.html").select(
-        F.regexp_replace(F.input_file_name(), r"\.html$", "").alias("stem"), F.col("value").alias("html"))
-    joined = good.withColumn("stem", F.regexp_replace("path", r"\.json$", "")).join(html, "stem", "left")
-    has_file = F.coalesce("html_file", F.lit("")) != ""
-    return joined.withColumn("html", F.when(has_file, F.coalesce("html", F.lit(""))).otherwise("")).withColumn(
-        "ord", F.col("path")).drop("stem")
+        place(F.input_file_name()).alias("place"), F.col("value").alias("html"))
+    joined = good.withColumn("place", place(F.col("html_file"))).join(html, "place", "left")
+    return joined.withColumns({"html": F.coalesce("html", F.lit("")), "ord": F.col("path")}).drop("place")
 
 
 def snapshot_rows(captures: DataFrame, min_confidence: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +22,10 @@ CHANGE = "url string, timestamp timestamp, type string, technology string"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder the cluster names; only where it names none, a
-    local one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="stackscan-")
-    jvm = spark._jvm
-    name = f"{base.rstrip('/')}/stackscan-{jvm.java.util.UUID.randomUUID()}"
-    folder = jvm.org.apache.hadoop.fs.Path(name)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    return name
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or under the
+    warehouse where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/stackscan-{uuid.uuid4().hex}"
 
 
 def detect_stream(pages: DataFrame, library: Library, ids: list[str], config: ScanConfig = ScanConfig()) -> DataFrame:
@@ -41,7 +35,11 @@ def detect_stream(pages: DataFrame, library: Library, ids: list[str], config: Sc
 
 
 def daily_rollup(detections: DataFrame, delay: str = "1 day", site: str = "site") -> DataFrame:
-    """Best confidence per day, site and technology (T2); a day closes when the watermark passes."""
+    """Best confidence per day, site and technology.
+
+    Written with ``append`` a day appears once the watermark has passed it; with ``run_updates``
+    every day is there at once, the open ones as far as they have come.
+    """
     return (
         detections.withWatermark("timestamp", delay)
         .groupBy(F.window("timestamp", "1 day").alias("day"), site, "tech")
@@ -49,6 +47,24 @@ def daily_rollup(detections: DataFrame, delay: str = "1 day", site: str = "site"
         .select(F.col("day.start").alias("day"), site, "tech", "confidence", "pages"))
 
 
+def run_updates(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Process everything available in ``update`` mode: every micro-batch writes the rows it has
+    changed under its batch id, and writes them again if it is retried."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return (stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def current_rows(spark: SparkSession, store: str, keys: list[str]) -> DataFrame:
+    """The last state of every key of a table written by ``run_updates``."""
+    rows = spark.read.parquet(store)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
 def _expire(state: GroupState, last_us: int, keep_seconds: int) -> None:
     """Let a URL's state go when event time has passed its last scan by ``keep_seconds``."""
     state.setTimeoutTimestamp(max(last_us // 1000 + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
@@ -126,7 +142,7 @@ def change_stream(scans: DataFrame, keep_seconds: int = 30 * 24 * 3600, delay: s
         _compare(keep_seconds), CHANGE, "technologies array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def maintain_stats(detected: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def maintain_stats(detected: DataFrame, store: str, checkpoint: str, attributes: tuple[str, ...] = ()) -> StreamingQuery:
     """Keep technology statistics current from a stream of detections (T5).
 
     Every micro-batch writes its own per-URL rows under its batch id and overwrites them when it
@@ -134,15 +150,15 @@ def maintain_stats(detected: DataFrame, store: str, checkpoint: str) -> Streamin
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        technology_urls(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        technology_urls(batch, attributes).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return (detected.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def running_urls(spark: SparkSession, store: str) -> DataFrame:
+def running_urls(spark: SparkSession, store: str, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Per-URL rows of all batches so far (T5, H2)."""
-    return sum_technology_urls(spark.read.parquet(store).drop("batch"))
+    return sum_technology_urls(spark.read.parquet(store).drop("batch"), attributes)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

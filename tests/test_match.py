@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from stackscan.model import ScanConfig
-from stackscan.operators.match import detect, signature_matches
+from stackscan.operators.match import detect, matched_signatures, signature_matches
 from stackscan.sources.signatures import compile_library, signature_rows
 
 PAGE = ("page_id long, html string, scripts array<struct<src:string,version:string>>, network_hosts array<string>, "
@@ -89,9 +89,9 @@ def test_missing_evidence_columns_give_no_matches(spark):
     assert scores(detect(bare, lib, ["page_id"])) == {(1, "U"): 40}
 
 
-def test_every_prefilter_and_several_passes_agree(spark):
+def test_prefilter_and_any_number_of_parts_agree(spark):
     rng = random.Random(7)
-    tokens = ["cdn.vendor.com", "wp-content", "K", "Kelvin", "İstanbul", "foo bar", "a+b", "ga(", "$(", "Moodle", "x{2}", "é", "\n"]
+    tokens = ["cdn.vendor.com", "wp-content", "K", "Kelvin", "İstanbul", "foo bar", "a+b", "ga(", "$(", "Moodle", "x{2}", "é", "\n"]
     patterns = [r"cdn\.vendor\.com", "wp-(?:content|includes)", "kelvin", "istanbul", r"foo\s+bar", r"a\+b", r"ga\(", r"\$\(", "moodle|sakai",
                 "colou?r", "^foo", "b$", "[a-c]+x", "é", "fo{1,2} bar", "a|b", "", "ga", r"\bbar\b"]
     rows = [{"html": " ".join(rng.choices(tokens, k=4)), "scripts": [(rng.choice(tokens), None)],
@@ -100,18 +100,27 @@ def test_every_prefilter_and_several_passes_agree(spark):
     rules += [("H", "header", "Server", p) for p in patterns] + [("J", "js", "g", "")]
     frame = pages(spark, *rows)
     lib = library(spark, rules)
-    want = sorted(map(str, signature_matches(frame, lib, ["page_id"], "none").collect()))
+    want = sorted(map(str, signature_matches(frame, lib, ["page_id"], prefilter=False).collect()))
     assert want
-    for prefilter in ("inline", "scan"):
-        assert sorted(map(str, signature_matches(frame, lib, ["page_id"], prefilter).collect())) == want
-    split = library(spark, rules, per_pass=10)
-    assert len(split.passes) > 1
-    one, many = detect(frame, lib, ["page_id"]), detect(frame, split, ["page_id"])
-    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    for part in (3, 10, 20_000):
+        assert sorted(map(str, signature_matches(frame, lib, ["page_id"], part=part).collect())) == want
+        assert sorted(map(str, detect(frame, lib, ["page_id"], part=part).collect())) == sorted(
+            map(str, detect(frame, lib, ["page_id"], prefilter=False).collect()))
+
+
+def test_parts_keep_repeated_pages_and_pages_without_a_match(spark):
+    lib = library(spark, [("T", "html", None, f"word{i}") for i in range(4)])
+    frame = spark.createDataFrame([(1, "word0"), (1, "word0"), (1, "word1 word3"), (2, "nothing")], "page_id long, html string")
+    for part in (1, 20_000):
+        rows = matched_signatures(frame, lib, ["page_id"], part=part).collect()
+        assert sorted((r.page_id, len(r.matches)) for r in rows) == [(1, 1), (1, 1), (1, 2), (2, 0)]
+        found = detect(frame, lib, ["page_id"], part=part).collect()
+        assert sorted((r.page_id, r.confidence) for r in found) == [(1, 40), (1, 40), (1, 80)]
 
 
 def test_detection_needs_no_shuffle(spark):
-    lib = library(spark, [("T", "html", None, "abc")])
+    lib = library(spark, [("T", "html", None, f"abc{i}") for i in range(50)])
     frame = spark.range(10).select(F.col("id").alias("page_id"), F.lit("abc").alias("html"))
-    plan = detect(frame, lib, ["page_id"])._jdf.queryExecution().executedPlan().toString()
+    plan = detect(frame, lib, ["page_id"], part=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1
     assert "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

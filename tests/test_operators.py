@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from stackscan.functions import urls
-from stackscan.functions.columns import lookup_join
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier, history, quality, rollup, validate
 from stackscan.operators.evidence import extract_evidence
@@ -135,11 +134,10 @@ def test_tiers(spark):
     assert got == []
 
 
-def test_duplicates_over_the_listing_limit_are_counted(spark):
-    _, sigs = signatures.signature_rows(spark, [(f"T{i}", "html", None, "same thing") for i in range(3)])
-    text = lambda n: quality.duplicate_issues(sigs, listed=n).collect()[0].message
-    assert text(3) == "Duplicate pattern found in: T0 (custom.json), T1 (custom.json), T2 (custom.json)"
-    assert text(2) == "Duplicate pattern found in: 3 places"
+def test_duplicates_are_counted_and_all_places_are_rows(spark):
+    _, sigs = signatures.signature_rows(spark, [(f"T{i}", "html", None, "same thing") for i in range(1500)])
+    assert [r.message for r in quality.duplicate_issues(sigs).collect()] == ["Duplicate pattern found in 1500 places"]
+    assert quality.duplicate_places(sigs).count() == 1500
 
 
 def test_validation_rules(spark):
@@ -163,12 +161,13 @@ def test_validation_rules(spark):
 
 def test_validation_reads_the_snapshots_once_for_counts_and_notes(spark):
     shots = spark.range(5).selectExpr(
-        "id as ord", "'T' as technology", "'u' as url", "'abc' as html", "cast(null as array<struct<src:string,version:string>>) as scripts",
+        "id as ord", "if(id % 2 = 0, 'T', 'U') as technology", "'u' as url", "'abc' as html", "cast(null as array<struct<src:string,version:string>>) as scripts",
         "cast(null as map<string,string>) as headers", "cast(null as map<string,string>) as meta",
         "cast(null as array<struct<name:string,value:string>>) as cookies", "cast(null as map<string,boolean>) as js_objects")
     ledger = spark.createDataFrame([("t", "f", "html", "abc")], "technology string, file string, field string, pattern string")
     results = validate.validation_results(ledger, shots)
-    assert results.collect()[0].own_hits == 5
+    assert results.select("own_hits", "other_hits", "fp_note").collect() == [(3, 2, "FP on: U, U")]
+    results.collect()
     final = results._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("ArrowEvalPython") == 1 and "ReusedExchange" in final
 
@@ -184,11 +183,12 @@ def test_ledger_csv_round_trip(spark, tmp_path):
 def test_snapshot_files(spark, tmp_path):
     folder = tmp_path / "evidence" / "tool"
     folder.mkdir(parents=True)
-    shot = {"technology": "Tool", "url": "https://a.org", "captured_at": "2024-01-02T03:04:05.000Z", "response_status": 200, "html_file": "x/a.html",
+    shot = {"technology": "Tool", "url": "https://a.org", "captured_at": "2024-01-02T03:04:05.000Z", "response_status": 200, "html_file": "tests/evidence/tool/page.html",
             "evidence": {"headers": {"server": "x"}, "dom": {}, "cookies": []}, "probe_results": {"/p": {"url": "u", "status": "timeout"}, "/q": {"status": 200}}}
     (folder / "a.json").write_text(json.dumps(shot))
-    (folder / "a.html").write_text("<p>\nhello</p>")
-    (folder / "b.json").write_text(json.dumps({**shot, "url": "https://b.org"}))
+    (folder / "page.html").write_text("<p>\nhello</p>")
+    (folder / "b.json").write_text(json.dumps({**shot, "url": "https://b.org", "html_file": "tests/evidence/tool/gone.html"}))
+    (folder / "b.html").write_text("not the companion")
     (folder / "broken.json").write_text("{")
     rows = {r.url: r for r in snapshots.read_snapshots(spark, str(tmp_path / "evidence")).collect()}
     assert {u: r.html for u, r in rows.items()} == {"https://a.org": "<p>\nhello</p>", "https://b.org": ""}
@@ -218,32 +218,16 @@ def test_store_and_documents(spark, tmp_path):
         sinks.append_store(sinks.detected_rows(docs), str(tmp_path), "detected")
         sinks.append_store(sinks.scan_rows(docs), str(tmp_path), "scans")
     assert spark.read.parquet(str(tmp_path / "detected")).count() == 2
+    for batch in ("b1", "b1", "b2"):
+        sinks.append_store(sinks.detected_rows(docs), str(tmp_path), "once", batch)
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 2
     sinks.write_documents(docs, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).collect()[0].site == "s"
     errors = spark.createDataFrame([("u", None, "boom"), ("v", None, None)], "url string, timestamp timestamp, error string")
     assert sinks.error_rows(errors).count() == 1
 
 
-def test_page_tables_are_spread_only_when_small(spark, tmp_path):
-    path = str(tmp_path / "p")
-    page(spark).write.parquet(path)
-    assert pages.read_pages(spark, path).rdd.getNumPartitions() == 16
-    many = str(tmp_path / "many")
-    spark.range(800).repartition(80).selectExpr("id as page_id", "'https://a.b/' as url", "'x' as html").write.parquet(many)
-    plan = pages.spread(spark.read.parquet(many))._jdf.queryExecution().optimizedPlan().toString()
-    assert "Repartition" not in plan
-
-
 def test_change_sets_need_both_scans(spark):
     rows = lambda *r: spark.createDataFrame(r, "url string, tech string")
     got = history.change_sets(rows(("u", "a"), ("u", "b"), ("v", "a")), rows(("u", "b"), ("u", "c"), ("w", "x")))
     assert {tuple(r) for r in got.collect()} == {("u", "a", "removed"), ("u", "b", "unchanged"), ("u", "c", "added")}
-
-
-def test_a_large_lookup_is_joined_by_salted_shuffle(spark):
-    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 7)) as k")
-    lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, v int")
-    small = lookup_join(rows, lookup, ["k"], ["id"], 4, "left")
-    large = lookup_join(rows, lookup, ["k"], ["id"], 10**9, "left")
-    assert "_salt" not in large.columns
-    assert sorted(map(tuple, small.select("id", "k", "v").collect()), key=str) == sorted(map(tuple, large.select("id", "k", "v").collect()), key=str)

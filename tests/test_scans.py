@@ -48,18 +48,18 @@ def test_mining_with_and_without_samples(spark):
     institutions, scans, shots = corpus(spark)
     label = mining.positives(institutions, "Search", "One")
 
-    def metrics(n_pos, n_neg, rows):
+    def metrics(n_pos, n_neg):
         members = mining.universe(institutions, scans, shots, "Search", "One", False, n_pos, n_neg)
-        hits = mining.institution_hits(members, scans, shots, "one.js", member_rows=rows)
+        hits = mining.institution_hits(members, scans, shots, "one.js")
         return mining.signature_metrics(hits, label, "One", "Search", "one.js").collect()[0], hits
 
-    whole, hits = metrics(None, None, None)
+    whole, hits = metrics(None, None)
     assert (whole.positives_total, whole.pos_with_html, whole.pos_hit, whole.neg_with_html, whole.neg_hit) == (10, 9, 5, 18, 1)
     assert (whole.recall_pct, whole.neg_hit_pct) == (55.6, 5.556)
-    assert metrics(250, 600, 850)[0] == whole
-    few = metrics(4, 5, 9)[0]
-    assert (few.pos_with_html, few.neg_with_html) == (4, 5) and metrics(4, 5, 9)[0] == few
-    assert metrics(0, 5, 9)[0].recall_pct is None
+    assert metrics(250, 600)[0] == whole
+    few = metrics(4, 5)[0]
+    assert (few.pos_with_html, few.neg_with_html) == (4, 5) and metrics(4, 5)[0] == few
+    assert metrics(0, 5)[0].recall_pct is None
     picked = mining.spotcheck(hits, institutions, limit=3).collect()
     assert sorted((r.kind, r.sample_hit_url) for r in picked if r.kind == "neg_hit") == [("neg_hit", "https://i4.edu/0")]
     misses = [r for r in picked if r.kind == "pos_miss"]
