@@ -48,6 +48,8 @@ class SequenceWriter:
         self.n_waiting = self.total = 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+            raise ValueError(f"an id does not fit into {self.dtype}")
         self.waiting.append(ids.astype(self.dtype))
         self.n_waiting += len(ids)
         self.total += len(ids)

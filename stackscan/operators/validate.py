@@ -167,7 +167,8 @@ def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str =
     fired = fired.repartition("place", "ord")
     counts = fired.groupBy("place").agg(
         F.count_if("own").alias("own_hits"), F.count_if(~F.col("own")).alias("other_hits"),
-        F.min(F.when(F.col("own"), F.struct("ord", "url"))).alias("first_own"))
+        # with all columns, as below: only then are both reads of the shuffle the same
+        F.min(F.when(F.col("own"), F.struct("ord", "url", "snapshot_tech"))).alias("first_own"))
     order = Window.partitionBy("place", "own").orderBy("ord", "url")
     firsts = fired.withColumn("rn", F.row_number().over(order)).filter("rn <= 2").groupBy("place").agg(
         F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("ord", "url", "snapshot_tech")))).alias("firsts"))
