@@ -164,7 +164,7 @@ def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str =
     shuffle, and a pattern that fires everywhere is counted before its rows meet.
     """
     fired, rows = _fired(ledger_rows, snapshots, mode, part)
-    fired = fired.repartition("place", "ord")
+    fired = fired.filter("place is not null").repartition("place", "ord")
     counts = fired.groupBy("place").agg(
         F.count_if("own").alias("own_hits"), F.count_if(~F.col("own")).alias("other_hits"),
         # with all columns, as below: only then are both reads of the shuffle the same
@@ -176,7 +176,9 @@ def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str =
         *[f"s.{c}" for c in ROW], "own_hits", "other_hits", "first_own", "firsts")
     own_techs = snapshots.select(normal_tech(F.col("technology")).alias("_tech")).distinct().withColumn("_known", F.lit(True))
     row = ledger_rows.withColumn("_tech", normal_tech(F.col("technology"))).join(own_techs, "_tech", "left").drop("_tech")
-    both = row.join(found, ROW, "left")
+    # null-safe, so that no filter on the pattern's columns is pushed into one of the two reads only
+    same = [row[c].eqNullSafe(found[c]) for c in ROW]
+    both = row.join(found, same, "left").select(row["*"], "own_hits", "other_hits", "first_own", "firsts")
     n_other = F.coalesce("other_hits", F.lit(0))
     own, other = F.coalesce("own_hits", F.lit(0)) > 0, n_other > 0
     result = (F.when(F.col("_known").isNull(), "no-evidence").when(own & other, "needs-review")
