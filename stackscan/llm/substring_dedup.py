@@ -39,7 +39,8 @@ def units_of(text: str) -> list[tuple[int, int, bytes, int]]:
     for m in _UNIT.finditer(text):
         words = m.group().lower().split()
         if words:
-            found.append((m.start(), m.end(), " ".join(words).encode(), len(words)))
+            start = m.end() - len(m.group().lstrip())
+            found.append((start, m.end(), " ".join(words).encode(), len(words)))
     return found
 
 
