@@ -124,7 +124,9 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         _mean_ratio(ratios).alias("score"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # unnested, so that a later filter by the verdict is not pushed down and does not measure each text once more
+    whole = found.select(F.explode_outer(F.array(F.struct("*"))).alias("m")).select("m.*")
+    return whole.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
