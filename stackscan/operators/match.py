@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackscan.functions.categories import category_names
 from stackscan.functions.columns import bind, none_if_empty
 from stackscan.model import EVIDENCE_TYPES, KINDS, MAX_HTML_HITS, ScanConfig
 from stackscan.operators.candidates import PART, candidate_places, key_trigger, rows_at

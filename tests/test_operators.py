@@ -9,7 +9,7 @@ from stackscan.model import ScanConfig
 from stackscan.operators import frontier, history, quality, rollup, validate
 from stackscan.operators.evidence import extract_evidence
 from stackscan.plans import scan
-from stackscan.sources import ledgers, pages, signatures, sinks, snapshots
+from stackscan.sources import ledgers, signatures, sinks, snapshots
 
 HTML = """<!DOCTYPE html><html><head><title> A &amp;
  B </title><meta charset="utf-8"><meta name="Generator" content="WordPress 6.2.1"><meta content='x' property=og:title>
