@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one holds already; n_chars follows the text."""
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    found = substring_dedup.substring_dedup(docs)
+    found = substring_dedup.substring_dedup(docs, edges=True)
     return found.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -45,7 +45,7 @@ def op6_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned text of every document and the passages removed from it."""
-    found = substring_dedup.substring_dedup(table(spark, sf, "documents"))
+    found = substring_dedup.substring_dedup(table(spark, sf, "documents"), edges=True)
     return found.select("row.doc_id", "text", "removed", "n_removed")
 
 

@@ -1,6 +1,7 @@
 """N-gram Jaccard join, components and substring de-duplication against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -152,3 +153,68 @@ def test_repeated_passages_go_and_clean_text_stays(spark):
             (span,) = found[i]["removed"]
             assert text[span["start"]:span["end"]] == passage
             assert found[i]["text"] == text.replace(" " + passage, "")
+
+
+def extended(rows, min_words=50):
+    """As ``cleaned``, each run extended by the words that agree next to the earliest occurrence of its outermost units."""
+    seen, units, out = {}, {}, {}
+    for key in sorted(set((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, substring_dedup._hash(r[1]))):
+        text = key[1]
+        own = units[key] = substring_dedup.units_of(text)
+        words = lambda us: [w for _, _, norm, _ in us for w in norm.decode().split()]
+        runs = []
+        for u, (start, end, norm, n) in enumerate(own):
+            of = seen.setdefault(norm, (key, u))
+            if of != (key, u):
+                if runs and runs[-1][-1][0] == u - 1:
+                    runs[-1].append((u, of))
+                else:
+                    runs.append([(u, of)])
+        covered = [False] * len(text)
+        for run in runs:
+            (first, (d, e)), (last, (d2, e2)) = run[0], run[-1]
+            start, end = own[first][0], own[last][1]
+            if first and (d, e) != (key, first - 1):
+                for m, w in zip(list(re.finditer(r"\S+", text[:start]))[:-own[first - 1][3] - 1:-1], words(units[d][:e])[::-1]):
+                    if m.group().lower() != w:
+                        break
+                    start = m.start()
+            if last + 1 < len(own):
+                for m, w in zip(list(re.finditer(r"\S+", text[end:]))[:own[last + 1][3]], words(units[d2][e2 + 1:])):
+                    if m.group().lower() != w:
+                        break
+                    after = own[last][1] + m.end()
+                    end = after
+            covered[start:end] = [True] * (end - start)
+        for i, c in enumerate(text):  # white space between covered words does not part them
+            if c.isspace() and i and covered[i - 1]:
+                rest = text[i:].lstrip()
+                covered[i] = bool(rest) and covered[len(text) - len(rest)]
+        spans = [m.span() for m in re.finditer("1+", "".join("01"[c] for c in covered))]
+        out[key] = [(s, e) for s, e in spans if len(text[s:e].split()) >= min_words]
+    return out
+
+
+@pytest.mark.parametrize("characters", [200, 8_000_000])
+def test_passages_extended_at_their_edges(spark, monkeypatch, characters):
+    monkeypatch.setattr(substring_dedup, "BATCH_CHARACTERS", characters)
+    repeated = spark.createDataFrame(edge_docs(spark, False).union(documents(spark)).rdd.flatMap(lambda r: [r] * (1 + (r["doc_id"] or 0) % 2)), DOCS).repartition(5)
+    for docs in (documents(spark), repeated):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        want = extended(rows)
+        for r in substring_dedup.substring_dedup(docs, slices=3, edges=True).collect():
+            assert [(s["start"], s["end"]) for s in r["removed"]] == want[r["row"]["doc_id"], r["row"]["text"] or ""], r["row"]["doc_id"]
+
+
+@pytest.mark.parametrize("size", [51, 55, 60])
+def test_passages_glued_to_their_surroundings_go(spark, monkeypatch, size):
+    monkeypatch.setattr(queries, "table", lambda *_: frame(spark, rows))
+    rng = random.Random(size)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}"
+    words = lambda n: " ".join(word() for _ in range(n))
+    passage = f"{words(size - 35)}. {words(15)}. {words(20)}"
+    rows = [(i, f"{words(20)}. {words(9)} {passage} {words(7)}. {words(12)}.") for i in range(6)]
+    for r in queries.op7_substring_dedup(spark, SF).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert [text[s["start"]:s["end"]] for s in r["removed"]] == ([passage] if r["doc_id"] else [])
+        assert r["text"] == (text.replace(" " + passage, "") if r["doc_id"] else text)
