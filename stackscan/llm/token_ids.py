@@ -53,16 +53,18 @@ class ChunkEncoder:
 
     The pre-tokeniser of byte-level BPE always cuts before a single space, so a text may be cut there and
     its chunks, which repeat often, be looked up. A new chunk is cut into pieces, and a new piece goes to
-    the library's model. A text with two spaces in a row is cut into pieces at once. Strings of special
-    tokens are ordinary text.
+    the library's model. A text with two spaces in a row is cut into pieces at once. With ``added`` a text
+    that holds an added token of the file goes to the library whole; else their strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.letters = _byte_letters()
         self.split = splitter(public_tokenizers.PATTERN)
         self.pieces, self.spaced = _Memo(self._piece), _Memo(self._chunk)
@@ -80,6 +82,9 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
+        for token in self.added:
+            if token in text:
+                return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         for memo in (self.pieces, self.spaced):
             if len(memo) > MEMO:
                 memo.clear()
@@ -93,7 +98,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a file, made once per worker."""
+    """The worker's encoder for a file, added tokens included, made once per worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, added=True)
     return _ENCODERS[path]

@@ -225,3 +225,16 @@ def test_sequences_are_views_of_the_file(tmp_path):
 
 def test_arrow_empty(spark):
     assert arrow_ids.encode_to_files(empty_docs(spark), JSON).count() == 0
+
+
+ADDED = ["<|endoftext|>", "hi <|endoftext|> you", "<|endoftext|><|endoftext|>  x\n <|endoftext|>", "<|endoftext|", "no token here"]
+
+
+def test_added_tokens_are_one_id(spark):
+    library, encode = Tokenizer.from_file(JSON), token_ids.encoder(JSON).encode
+    for text in TEXTS + ADDED:
+        assert np.frombuffer(encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    rows = list(enumerate(ADDED))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_pieces(packing.pack_documents(docs, JSON).collect(), {i: [library.encode(t, add_special_tokens=False).ids + [0]] for i, t in rows})
+    assert sorted(map(tuple, arrow_ids.encode_to_files(docs, JSON).collect())) == stream_of(rows, library)
