@@ -17,7 +17,7 @@ from stackscan.llm.common import fresh_folder, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, judged against the labelled good ones."""
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality_rules.quality_rules(docs, trusted).where("kept").select("row.*")
+    return quality_rules.quality_rules(docs, trusted, sound=True).where("kept").select("row.*")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,10 +98,16 @@ def _mean_ratio(ratios: list[float]) -> Column:
 
 
 def calibrate(docs: DataFrame, trusted: DataFrame, ratios: list[float], threshold: float = THRESHOLD,
-              passing: float = PASSING, limit: int = TRUSTED) -> float:
-    """``threshold``, or the score that the share ``passing`` of the trusted documents outside the fit reach, if lower."""
+              passing: float = PASSING, limit: int = TRUSTED, sound: bool = False) -> float:
+    """``threshold``, or the score that the share ``passing`` of the trusted documents outside the fit reach, if lower.
+
+    With ``sound`` only those count that pass the base rules: the scores of short texts scatter most, and
+    the base rules drop these texts in any case.
+    """
     held = F.broadcast(chosen_ids(trusted, limit).where(~F.col("fits")))
     texts = docs.join(held, F.col("doc_id") == F.col("chosen"), "left_semi").select("text")
+    if sound:
+        texts = score(texts.withColumn("doc_id", F.lit(None).cast("long")), ratios).where(~F.col("base_failed")).select("row.text")
     low = with_grams(texts, len(ratios)).select(_mean_ratio(ratios).alias("s")).agg(F.percentile("s", F.lit(1 - passing))).first()[0]
     return threshold if low is None else min(threshold, low)
 
@@ -130,14 +136,14 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
-                  limit: int = TRUSTED) -> DataFrame:
-    """Measures and verdict of every row of ``docs``; ``trusted`` names good documents by doc_id.
+                  limit: int = TRUSTED, sound: bool = False) -> DataFrame:
+    """Measures and verdict of every row of ``docs``; ``trusted`` names good documents by doc_id, ``sound`` as in ``calibrate``.
 
     Rows that repeat each other get the same verdict. A null doc_id is never trusted. An empty table gives
     an empty result.
     """
     ratios = fit(docs, trusted, buckets, limit)
-    return score(docs, ratios, calibrate(docs, trusted, ratios, threshold, limit=limit))
+    return score(docs, ratios, calibrate(docs, trusted, ratios, threshold, limit=limit, sound=sound))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_re
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(table(spark, sf, "labels"))
-    return quality_rules.quality_rules(table(spark, sf, "documents"), trusted).select(*MEASURES)
+    return quality_rules.quality_rules(table(spark, sf, "documents"), trusted, sound=True).select(*MEASURES)
 
 
 def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:

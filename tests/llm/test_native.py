@@ -163,3 +163,17 @@ def test_shard_edges(spark):
     check_shards(few.collect(), 3)
     again = sharding.stratified_shards(sharding.sized(edge_docs(spark).repartition(5)), shards=3)
     assert Counter(map(tuple, few.collect())) == Counter(map(tuple, again.collect()))
+
+
+def test_texts_that_fail_the_base_rules_do_not_set_the_threshold(spark):
+    """Short trusted texts of rare words score low; they must not let a bad document of the same words pass."""
+    good = [(i, " ".join(f"w{(i * 7 + k) % 60}" for k in range(60)), None, None, None) for i in range(200)]
+    short = [(1000 + i, f"odd{i} rare{i}", None, None, None) for i in range(60)]
+    bad = [(2000, " ".join(f"junk{k} junk{k + 1}" for k in range(0, 120, 2)), None, None, None)]
+    docs = spark.createDataFrame(good + short + bad, DOCS)
+    trusted = docs.where("doc_id < 2000").select("doc_id")
+    ratios = quality_rules.fit(docs, trusted)
+    assert quality_rules.calibrate(docs, trusted, ratios, sound=True) == -0.06
+    assert quality_rules.calibrate(docs, trusted, ratios) < -0.06
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(docs, trusted, sound=True).where("kept").collect()}
+    assert kept == set(range(200))
