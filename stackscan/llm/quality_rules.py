@@ -22,6 +22,8 @@ BUCKETS = 1 << 14
 #: Score per n-gram from which a document passes, and the share of trusted documents outside the fit
 #: that must pass in any case: in a small corpus clean documents score lower.
 THRESHOLD, PASSING = -0.06, 0.995
+#: Bound on the memory of the quantile over all trusted documents: its rank is exact to this part of their number.
+ACCURACY = 1_000_000
 #: Most labelled documents that the target is fitted on: those with the smallest hash of their id.
 TRUSTED = 20_000
 #: Fixed values of the base rules.
@@ -43,11 +45,11 @@ def with_grams(docs: DataFrame, buckets: int) -> DataFrame:
     return paired.withColumn("grams", F.transform(F.concat("h", "pairs"), lambda g: F.pmod(g, F.lit(buckets)).cast("int")))
 
 
-def chosen_ids(trusted: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` of the trusted ids, and whether an id is for the fit or for the calibration."""
-    return (trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-            .select(F.col("doc_id").alias("chosen"), (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0).alias("fits")))
+def chosen_ids(trusted: DataFrame, limit: int | None) -> DataFrame:
+    """At most ``limit`` of the trusted ids (None: all), and whether an id is for the fit or for the calibration."""
+    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    some = ids if limit is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return (some.select(F.col("doc_id").alias("chosen"), (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0).alias("fits")))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, limit: int = TRUSTED) -> list[float]:
@@ -102,12 +104,14 @@ def calibrate(docs: DataFrame, trusted: DataFrame, ratios: list[float], threshol
     """``threshold``, or the score that the share ``passing`` of the trusted documents outside the fit reach, if lower.
 
     With ``sound`` only those count that pass the base rules: the scores of short texts scatter most, and
-    the base rules drop these texts in any case.
+    the base rules drop these texts in any case. ``limit`` then bounds nothing here: all of them count.
     """
-    held = F.broadcast(chosen_ids(trusted, limit).where(~F.col("fits")))
-    texts = docs.join(held, F.col("doc_id") == F.col("chosen"), "left_semi").select("text")
+    held = chosen_ids(trusted, None if sound else limit).where(~F.col("fits"))
+    texts = docs.select("doc_id", "text").join(held if sound else F.broadcast(held), F.col("doc_id") == F.col("chosen"), "left_semi")
     if sound:
-        texts = score(texts.withColumn("doc_id", F.lit(None).cast("long")), ratios).where(~F.col("base_failed")).select("row.text")
+        passed = score(texts, ratios).where(~F.col("base_failed"))
+        low = passed.agg(F.percentile_approx("score", F.lit(1 - passing), F.lit(ACCURACY))).first()[0]
+        return threshold if low is None else min(threshold, low)
     low = with_grams(texts, len(ratios)).select(_mean_ratio(ratios).alias("s")).agg(F.percentile("s", F.lit(1 - passing))).first()[0]
     return threshold if low is None else min(threshold, low)
 

@@ -177,3 +177,14 @@ def test_texts_that_fail_the_base_rules_do_not_set_the_threshold(spark):
     assert quality_rules.calibrate(docs, trusted, ratios) < -0.06
     kept = {r["doc_id"] for r in quality_rules.quality_rules(docs, trusted, sound=True).where("kept").collect()}
     assert kept == set(range(200))
+
+
+def test_all_held_out_trusted_documents_set_the_threshold(spark):
+    docs = documents(spark)
+    trusted = quality_rules.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+    ratios = quality_rules.fit(docs, trusted)
+    held = {r["chosen"] for r in quality_rules.chosen_ids(trusted, 20_000).where("not fits").collect()}
+    scores = [r["score"] for r in quality_rules.score(docs, ratios).collect() if r["doc_id"] in held and not r["base_failed"]]
+    assert len(scores) < 200
+    for limit in (0, 2, 20_000):
+        assert quality_rules.calibrate(docs, trusted, ratios, threshold=1.0, limit=limit, sound=True) == pytest.approx(min(scores))
