@@ -6,14 +6,17 @@ import re
 from html import unescape
 from typing import NamedTuple
 
-#: Elements that never hold text of the page, that break text into blocks, that hold nothing,
-#: and that end an open element of the same kind.
-DROPPED = frozenset("script style head title noscript template iframe svg math object canvas audio video select button textarea map datalist".split())
+#: Elements whose raw text is not text of the page, inline elements that a block may lie in, elements
+#: that break text into blocks, that hold nothing, and that end an open element of the same kind.
+DROPPED = frozenset("script style title iframe textarea".split())
+EMBEDDED = frozenset("svg math object canvas audio video noscript template map select datalist option button".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-                "th": {"td", "th"}, "option": {"option"}}
+                "th": {"td", "th"}}
+#: Embedded elements whose text stands apart from the words around it.
+_APART = frozenset("button select option datalist".split())
 #: Elements that an open paragraph cannot contain.
 _ENDS_P = BLOCKS - {"body", "html"}
 #: An open element of SELF_CLOSING is looked for up to here.
@@ -57,24 +60,29 @@ def blocks_of(html: str | None) -> list[Block]:
 
     Unclosed, stray and wrongly nested tags are taken as browsers take them, in the main: a new paragraph,
     list item or cell ends an open one, an end tag ends everything inside, one without a start is ignored.
+    An element of ``EMBEDDED`` is in the path of a block whose whole text it holds. Only the raw text of ``DROPPED``
+    is left out; without their end tag, script and style reach to the end of the page, the others hold nothing.
     """
     html = html or ""
     found: list[Block] = []
     stack: list[Element] = []
-    parts: list[tuple[str, bool, bool]] = []
+    parts: list[tuple[str, bool, bool, tuple[Element, ...]]] = []
     at, links, strong = 0, 0, 0
 
     def flush() -> None:
         if parts:
-            text = " ".join("".join(t for t, _, _ in parts).split())
+            text = " ".join("".join(t for t, _, _, _ in parts).split())
             if text:
-                path = tuple(e for e in stack if e.tag in BLOCKS)
-                found.append(Block(text, path, sum(len(t.strip()) for t, a, _ in parts if a), sum(len(t.strip()) for t, _, b in parts if b)))
+                around = [w for t, _, _, w in parts if t.strip()]
+                whole = tuple(e for e in around[0] if all(any(e is o for o in w) for w in around))
+                held = [e for e in whole if not any(e is o for o in stack)]  # ended already
+                path = tuple(e for e in stack if e.tag in BLOCKS or any(e is o for o in whole)) + tuple(held)
+                found.append(Block(text, path, sum(len(t.strip()) for t, a, _, _ in parts if a), sum(len(t.strip()) for t, _, b, _ in parts if b)))
             parts.clear()
 
     def add(text: str) -> None:
         if text:
-            parts.append((unescape(text) if "&" in text else text, links > 0, strong > 0))
+            parts.append((unescape(text) if "&" in text else text, links > 0, strong > 0, tuple(e for e in stack if e.tag in EMBEDDED)))
 
     def close(down_to: int) -> None:
         nonlocal links, strong
@@ -92,23 +100,24 @@ def blocks_of(html: str | None) -> list[Block]:
             inside = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
             if inside >= 0:
                 if tag in BLOCKS or any(e.tag in BLOCKS for e in stack[inside:]):
-                    if tag not in BLOCKS:
+                    if tag not in BLOCKS and tag not in EMBEDDED:
                         continue  # an inline end tag does not end blocks inside
                     flush()
                 close(inside)
             elif tag in ("p", "br"):
                 flush()
+            if tag in _APART:
+                parts.append((" ", False, False, ()))
         elif opened:
             tag, attributes = opened.lower(), m.group(3) or ""
             if tag in DROPPED:
                 if not attributes.rstrip().endswith("/"):
                     end = _RAW_END[tag].search(html, at)
-                    if tag == "head":
-                        end = end or re.compile(r"<body\b", re.IGNORECASE).search(html, at)
-                        at = (html.find(">", end.start()) + 1 or len(html)) if end and end.group().startswith("</") else end.start() if end else at
-                    else:
-                        at = (html.find(">", end.start()) + 1 or len(html)) if end else len(html)
-                parts.append((" ", False, False))
+                    if end:
+                        at = html.find(">", end.start()) + 1 or len(html)
+                    elif tag in ("script", "style"):
+                        at = len(html)
+                parts.append((" ", False, False, ()))
                 continue
             if tag in BLOCKS:
                 flush()
@@ -123,9 +132,15 @@ def blocks_of(html: str | None) -> list[Block]:
                             break
             if tag in VOID:
                 if tag == "br" or tag in BLOCKS:
-                    parts.append((" ", False, False))
+                    parts.append((" ", False, False, ()))
                 continue
-            if tag in BLOCKS or tag in ("a", "b", "strong"):
+            if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
+                continue
+            if tag in _APART:
+                parts.append((" ", False, False, ()))
+                if tag == "option" and stack and stack[-1].tag == tag:
+                    close(len(stack) - 1)
+            if tag in BLOCKS or tag in EMBEDDED or tag in ("a", "b", "strong"):
                 links += tag == "a"
                 strong += tag in ("b", "strong")
                 stack.append(_element(tag, attributes))

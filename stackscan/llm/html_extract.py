@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackscan.llm.html_blocks import Block, blocks_of
-from stackscan.llm.labelled_pages import labelled_pages
+from stackscan.llm.html_blocks import EMBEDDED, Block, blocks_of
+from stackscan.llm.labelled_pages import embedding_pages, labelled_pages
 
-#: Labelled pages, passes over them, step size, and weight of the square penalty.
-PAGES, EPOCHS, RATE, PENALTY = 600, 12, 0.15, 1e-4
+#: Labelled pages, such with embedded elements, passes over them, step size, and weight of the square penalty.
+PAGES, EMBEDDING, EPOCHS, RATE, PENALTY = 600, 60, 12, 0.15, 1e-4
 #: What words in class, id, role and label attributes hint at.
 HINTS = {
     "menu": "nav navbar menu breadcrumb breadcrumbs toolbar tabs navigation pagination pager skip",
@@ -46,7 +46,7 @@ def _own(block: Block, in_article: bool) -> list[str]:
     """Features of a block by itself."""
     tags = [e.tag for e in block.path]
     out = ["one", "parent:" + (tags[-1] if tags else "none")]
-    out += ["in:" + t for t in {*tags} & _TELLING]
+    out += ["in:" + t for t in {*tags} & (_TELLING | EMBEDDED)]
     hints = [{_HINT[n] for n in e.names if n in _HINT} for e in block.path]
     out += ["hint:" + h for h in set().union(*hints)]
     nearest = next((h for h in reversed(hints) if h), ())
@@ -167,8 +167,8 @@ class Crf:
 
 
 def fit(pages: list[tuple[str, list[int]]] | None = None) -> Crf:
-    """A field trained on (html, label of each block); by default on ``PAGES`` pages of ``labelled_pages``."""
-    pages = labelled_pages(PAGES) if pages is None else pages
+    """A field trained on (html, label of each block); by default on pages of ``labelled_pages``."""
+    pages = labelled_pages(PAGES) + embedding_pages(EMBEDDING) if pages is None else pages
     known = []
     for html, labels in pages:
         blocks = blocks_of(html)

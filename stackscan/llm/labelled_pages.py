@@ -164,3 +164,34 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[int]]]:
                 _aside(w, kind)
         pages.append(("".join(w.html + ends[::-1]) + "</body></html>", w.labels))
     return pages
+
+
+def embedding_pages(n: int, seed: int = 6) -> list[tuple[str, list[int]]]:
+    """As ``labelled_pages``, with formulas, drawings and fallback text in the article, buttons and lists of choices around it."""
+    rng, pages = random.Random(seed), []
+    for _ in range(n):
+        w = _Writer(rng)
+        w.html.append("<!DOCTYPE html><html><body>")
+        for kind in ("head", "menu"):
+            if rng.random() < 0.6:
+                _aside(w, kind)
+        end = w.open(*rng.choice([("article",), ("div", MAIN), ("main",)]))
+        w.block("h1", w.words(2, 8).capitalize(), 1)
+        for _ in range(rng.randint(2, 7)):
+            tag, kind = rng.choice(["math", "svg", "object", "canvas", "audio", "video", "noscript", "map"]), rng.random()
+            if kind < 0.5:
+                w.block("p", f"{w.sentences(1, 3)} <{tag}>{w.words(1, 4)}</{tag}> {w.sentences(1, 2)}", 1)
+            elif kind < 0.7:
+                w.block(rng.choice(["p", "div", "figure"]), f"<{tag}>{w.sentences(1, 2)}</{tag}>", 1)
+            elif kind < 0.85:
+                w.block("p", w.sentences(1, 4), 1)
+            else:
+                w.block("div", f"<button>{w.words(1, 3)}</button>" * rng.randint(1, 3), 0)
+        w.html.append(end + "<form>")
+        w.block("p", f"{w.words(1, 2)}<select><option>{w.words(1, 2)}<option>{w.words(1, 2)}</select>", 0)
+        w.block("div", f"<button>{w.words(1, 2)}</button>", 0)
+        w.html.append("</form>")
+        if rng.random() < 0.7:
+            _aside(w, "foot")
+        pages.append(("".join(w.html) + "</body></html>", w.labels))
+    return pages

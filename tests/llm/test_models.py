@@ -120,3 +120,21 @@ def test_extract_edges(spark, field):
     assert len(found) == len(rows) and [r["row"]["text"] for r in found] == [1, 2, 3, 4, 4, 5]
     assert [r["text"] for r in found][:2] == ["", ""] and len({r["text"] for r in found[2:5]}) == 1
     assert html_extract.extract(frame.limit(0), field).count() == 0
+
+
+@pytest.mark.parametrize("html,texts", [
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", ["a x=2 b"]), ("<p>a<svg><title>t</title><text>b</text></svg></p>", ["a b"]),
+    ("<div><button>Send<p>one</p></div><p>two", ["Send", "one", "two"]), ("<article><select><option>a<option>b<p>c</article>d", ["a b", "c", "d"]),
+    ("<object><object>x</object> y</object> z", ["x y z"]), ("<noscript><p>a</noscript>b", ["a", "b"]), ("<head><title>t</title></head>b", ["b"]),
+    ("<video><p>No video.</p></video><textarea>v</textarea>w", ["No video.", "w"]), ("<iframe>a<p>b", ["a", "b"]), ("<p>a<svg/>b<math/>c", ["abc"]),
+    ("<button>A</button><button>B</button>c", ["A B c"]),
+])
+def test_only_raw_text_is_left_out(html, texts):
+    assert [b.text for b in blocks_of(html)] == texts
+
+
+def test_embedded_elements_of_an_article_stay(field):
+    first, formula, last = ("One sentence of some length stands here, and ends.", "Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in this short paragraph of it.",
+                            "Another one of about the same length ends the story.")
+    page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{first}</p><p>{formula}</p><object><p>{last}</p></article><footer>&copy; 2024 Us</footer>"
+    assert html_extract.main_text(page, field) == f"Title\n{first}\nEnergy is E=m in this short paragraph of it.\n{last}"
