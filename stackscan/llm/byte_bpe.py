@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackscan.llm.token_ids import MEMO, _Memo, splitter
+from stackscan.llm.token_ids import MEMO, MIXED, _Memo, splitter
 
 _MASK = (1 << 64) - 1
 
@@ -130,7 +130,8 @@ class TextCodec:
     """Encodes whole texts piece by piece; a worker remembers the pieces it has met, up to a bound.
 
     A text is cut before single spaces, where the pattern cuts in any case, into chunks, which repeat
-    often; a text with two spaces in a row is cut by the pattern alone.
+    often; a text with two spaces in a row, or with a space inside or at the end of other white space, is cut
+    by the pattern alone.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -145,7 +146,7 @@ class TextCodec:
         for memo in (self.pieces, self.spaced):
             if len(memo) > MEMO:
                 memo.clear()
-        if "  " in text:
+        if "  " in text or MIXED.search(text):
             return array("I", self._whole(text))
         first, *rest = text.split(" ")
         return array("I", self._whole(first) + b"".join(map(self.spaced.__getitem__, rest)))

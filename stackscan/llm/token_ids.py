@@ -15,6 +15,8 @@ _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-
 #: The same for texts up to U+024F: the letters, numbers and white space there, stated as ranges.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 _LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: A space before which the pattern may not cut: inside or at the end of other white space.
+MIXED = re.compile(r" (?=\s|\Z)(?<=\s )")
 _BEYOND = re.compile(r"[^\x00-ɏ]")
 
 
@@ -51,9 +53,10 @@ class _Memo(dict):
 class ChunkEncoder:
     """Encodes whole texts, asking the library's model for every distinct piece once.
 
-    The pre-tokeniser of byte-level BPE always cuts before a single space, so a text may be cut there and
-    its chunks, which repeat often, be looked up. A new chunk is cut into pieces, and a new piece goes to
-    the library's model. A text with two spaces in a row is cut into pieces at once. With ``added`` a text
+    The pre-tokeniser of byte-level BPE cuts before a single space, unless other white space stands before it and
+    white space or the end after it, so a text may be cut there and its chunks, which repeat often, be looked
+    up. A new chunk is cut into pieces, and a new piece goes to the library's model. A text with such a space,
+    or two in a row, is cut into pieces at once. With ``added`` a text
     that holds an added token of the file goes to the library whole; else their strings are ordinary text.
     """
 
@@ -88,7 +91,7 @@ class ChunkEncoder:
         for memo in (self.pieces, self.spaced):
             if len(memo) > MEMO:
                 memo.clear()
-        if "  " in text:
+        if "  " in text or MIXED.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
         return self._whole(first) + b"".join(map(self.spaced.__getitem__, rest))

@@ -1,6 +1,8 @@
 """Token ids, packing, byte-level BPE and Arrow files against the libraries and against rules."""
 
+import base64
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -238,3 +240,23 @@ def test_added_tokens_are_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check_pieces(packing.pack_documents(docs, JSON).collect(), {i: [library.encode(t, add_special_tokens=False).ids + [0]] for i, t in rows})
     assert sorted(map(tuple, arrow_ids.encode_to_files(docs, JSON).collect())) == stream_of(rows, library)
+
+
+SPACES = ["a\n \nb", "a\n ", "\n \t\n a", " \n \n b c\n d", "a\t \n", "\n b", " ", "a \n b\n "]
+
+
+def test_vocabularies_that_mix_white_space(tmp_path):
+    ranks = {bytes([b]): b for b in range(256)} | {b"\n ": 256, b" \n": 257, b"\t ": 258}
+    (tmp_path / "mixed.tiktoken").write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % r for k, r in ranks.items()))
+    codec = byte_bpe.TextCodec(str(tmp_path / "mixed.tiktoken"), public_tokenizers.PATTERN)
+    reference = tiktoken.Encoding("mixed", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(JSON, encoding="utf-8") as file:
+        spec = json.load(file)
+    for i, pair in enumerate((["\u010a", "\u0120"], ["\u0109", "\u0120"])):
+        spec["model"]["vocab"]["".join(pair)] = 50257 + i
+        spec["model"]["merges"].insert(0, pair)
+    (tmp_path / "mixed.json").write_text(json.dumps(spec), encoding="utf-8")
+    encoder, library = token_ids.ChunkEncoder(str(tmp_path / "mixed.json"), added=True), Tokenizer.from_file(str(tmp_path / "mixed.json"))
+    for text in SPACES + wild(2000, seed=9):
+        assert codec.encode(text).tolist() == reference.encode_ordinary(text), repr(text)
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
