@@ -45,11 +45,15 @@ def with_grams(docs: DataFrame, buckets: int) -> DataFrame:
     return paired.withColumn("grams", F.transform(F.concat("h", "pairs"), lambda g: F.pmod(g, F.lit(buckets)).cast("int")))
 
 
+def _fits(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), doc_id), F.lit(2)) == 0
+
+
 def chosen_ids(trusted: DataFrame, limit: int | None) -> DataFrame:
     """At most ``limit`` of the trusted ids (None: all), and whether an id is for the fit or for the calibration."""
     ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     some = ids if limit is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return (some.select(F.col("doc_id").alias("chosen"), (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0).alias("fits")))
+    return (some.select(F.col("doc_id").alias("chosen"), _fits("doc_id").alias("fits")))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, limit: int = TRUSTED) -> list[float]:
@@ -107,11 +111,13 @@ def calibrate(docs: DataFrame, trusted: DataFrame, ratios: list[float], threshol
     the base rules drop these texts in any case. ``limit`` then bounds nothing here: all of them count.
     """
     held = chosen_ids(trusted, None if sound else limit).where(~F.col("fits"))
-    texts = docs.select("doc_id", "text").join(held if sound else F.broadcast(held), F.col("doc_id") == F.col("chosen"), "left_semi")
     if sound:
-        passed = score(texts, ratios).where(~F.col("base_failed"))
+        # scores meet the ids, so that no text is shuffled
+        scores = score(docs.select("doc_id", "text").where(~_fits("doc_id")), ratios).where(~F.col("base_failed")).select("doc_id", "score")
+        passed = scores.join(held, F.col("doc_id") == F.col("chosen"), "left_semi")
         low = passed.agg(F.percentile_approx("score", F.lit(1 - passing), F.lit(ACCURACY))).first()[0]
         return threshold if low is None else min(threshold, low)
+    texts = docs.join(F.broadcast(held), F.col("doc_id") == F.col("chosen"), "left_semi").select("text")
     low = with_grams(texts, len(ratios)).select(_mean_ratio(ratios).alias("s")).agg(F.percentile("s", F.lit(1 - passing))).first()[0]
     return threshold if low is None else min(threshold, low)
 
