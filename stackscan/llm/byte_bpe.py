@@ -144,8 +144,7 @@ class TextCodec:
 
     def encode(self, text: str) -> array:
         for memo in (self.pieces, self.spaced):
-            if len(memo) > MEMO:
-                memo.clear()
+            memo.turn(MEMO)
         if "  " in text or MIXED.search(text):
             return array("I", self._whole(text))
         first, *rest = text.split(" ")

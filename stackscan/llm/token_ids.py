@@ -8,15 +8,18 @@ from array import array
 
 import regex
 
-#: Most chunks, and most pieces, that a worker remembers at a time; beyond that it starts anew.
-MEMO = 1_500_000
+#: Most chunks, and most pieces, that a worker remembers of the newest; as many older ones stay for look-ups.
+MEMO = 750_000
 #: The pre-tokenisers' pattern for ASCII text, which the standard library's engine runs faster.
 _ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: The same for texts up to U+024F: the letters, numbers and white space there, stated as ranges.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 _LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: A space before which the pattern may not cut: inside or at the end of other white space.
-MIXED = re.compile(r" (?=\s|\Z)(?<=\s )")
+#: A space before which the pattern may not cut, if no two spaces follow each other: it stands behind other
+#: white space and before white space or the end.
+MIXED = re.compile(r"[^\S ] (?=\s|\Z)")
+_SPACED_WORD = re.compile(r" ([A-Za-z]+)")
+_WORD_MARKS = re.compile(r"([A-Za-z]+)([!-/:-@\[-`{-~]*)")
 _BEYOND = re.compile(r"[^\x00-ɏ]")
 
 
@@ -39,16 +42,29 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Answers by key; asks ``make`` for a key it does not hold yet."""
+    """Answers by key; asks ``make`` for a key it does not hold yet.
+
+    ``turn`` makes the answers the older generation once they are too many; of that one, those asked for
+    again move back, and the rest go with the next turn.
+    """
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
 
 class ChunkEncoder:
     """Encodes whole texts, asking the library's model for every distinct piece once.
@@ -70,15 +86,23 @@ class ChunkEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.letters = _byte_letters()
         self.split = splitter(public_tokenizers.PATTERN)
+        self.space = self.letters[0x20]
         self.pieces, self.spaced = _Memo(self._piece), _Memo(self._chunk)
 
-    def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+    def _spelled(self, spelled: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if (word := _SPACED_WORD.fullmatch(piece)):
+            return self.spaced[word[1]]
+        return self._spelled(piece.encode().decode("latin-1").translate(self.letters))
+
     def _chunk(self, chunk: str) -> bytes:
-        # ASCII letters and the space before them are one piece
-        return self.pieces[" " + chunk] if chunk.isascii() and chunk.isalpha() else self._whole(" " + chunk)
+        # ASCII letters, spelled as themselves, and the space before them are one piece, and marks behind them another
+        if (found := _WORD_MARKS.fullmatch(chunk)):
+            word, marks = found.groups()
+            return self.spaced[word] + self.pieces[marks] if marks else self._spelled(self.space + word)
+        return self._whole(" " + chunk)
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -89,8 +113,7 @@ class ChunkEncoder:
             if token in text:
                 return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         for memo in (self.pieces, self.spaced):
-            if len(memo) > MEMO:
-                memo.clear()
+            memo.turn(MEMO)
         if "  " in text or MIXED.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
