@@ -87,7 +87,7 @@ class ChunkEncoder:
         self.letters = _byte_letters()
         self.split = splitter(public_tokenizers.PATTERN)
         self.space = self.letters[0x20]
-        self.pieces, self.spaced = _Memo(self._piece), _Memo(self._chunk)
+        self.pieces, self.spaced = _Memo(self._piece), _Memo(self.new_chunk)
 
     def _spelled(self, spelled: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
@@ -97,7 +97,8 @@ class ChunkEncoder:
             return self.spaced[word[1]]
         return self._spelled(piece.encode().decode("latin-1").translate(self.letters))
 
-    def _chunk(self, chunk: str) -> bytes:
+    def new_chunk(self, chunk: str) -> bytes:
+        """The ids of a space and a text without white space that is a space."""
         # ASCII letters, spelled as themselves, and the space before them are one piece, and marks behind them another
         if (found := _WORD_MARKS.fullmatch(chunk)):
             word, marks = found.groups()
