@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackscan.llm import arrow_ids, byte_bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup, token_anchors
+from stackscan.llm import arrow_ids, blob_ledger, byte_bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup, token_anchors
 from stackscan.llm.common import table
 
 MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
@@ -62,16 +64,51 @@ def op10_arrow_ids(spark: SparkSession, sf: str) -> DataFrame:
     return arrow_ids.encode_to_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_blob_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return blob_ledger.secret_spans(table(spark, sf, "documents"))
+
+
 def op13_token_anchors(spark: SparkSession, sf: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_anchors.token_anchors(table(spark, sf, "documents"), *paths)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_byte_cnn, op4_html_crf, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids,
-                                  op13_token_anchors)}
+                                  op11_blob_ledger, op13_token_anchors)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _spans_sql() -> str:
+    """Every rule's findings as rows (n, k, kind, start, end); letters in either case are spelled out."""
+    parts = []
+    for k, rule in enumerate(blob_ledger.RULES):
+        pattern = rule.pattern
+        if (words := re.match(r"\(\?i:([^)]*)\)", pattern)):
+            either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words[1])
+            pattern = f"(?:{either})" + pattern[words.end():]
+        pattern = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+          SELECT n, {k} AS k, '{rule.kind}' AS kind, s.start AS start, s.start + s.size AS stop FROM (
+            SELECT n, unnest(list_filter(list_transform(range(1, len(w) + 1), lambda i: {{
+                'start': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0),
+                'size': length(w[i]), 'part': length(g[i])}}), lambda m: m.part >= {rule.least})) AS s
+            FROM (SELECT n, string_split_regex(x, {pattern}) AS p, regexp_extract_all(x, {pattern}) AS w, regexp_extract_all(x, {pattern}, {rule.group}) AS g
+                  FROM t WHERE regexp_matches(x, {pattern})))""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLES = {
+    "op11_blob_ledger": f"""
+        WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x FROM documents),
+        found AS ({_spans_sql()}),
+        lists AS (
+          SELECT n, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM found GROUP BY n)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN lists ON t.n = lists.n""",
     "op2_ngram_join": f"""
         WITH RECURSIVE words AS (
           SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
