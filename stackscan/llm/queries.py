@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackscan.llm import arrow_ids, blob_ledger, byte_bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup, token_anchors
+from stackscan.llm import arrow_ids, blob_ledger, byte_bpe, exact_dedup, html_extract, language_id, ngram_join, packing, quality_rules, sharding, substring_dedup, token_anchors, turn_repair
 from stackscan.llm.common import table
 
 MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
@@ -68,13 +68,17 @@ def op11_blob_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return blob_ledger.secret_spans(table(spark, sf, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_repair.repaired_after_damage(table(spark, sf, "conversations"))
+
+
 def op13_token_anchors(spark: SparkSession, sf: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_anchors.token_anchors(table(spark, sf, "documents"), *paths)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_byte_cnn, op4_html_crf, op5_exact_dedup, op6_stratified_shards, op7_substring_dedup, op8_vector_packing, op9_byte_bpe, op10_arrow_ids,
-                                  op11_blob_ledger, op13_token_anchors)}
+                                  op11_blob_ledger, op12_turn_repair, op13_token_anchors)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
