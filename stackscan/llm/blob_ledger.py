@@ -129,7 +129,8 @@ def scan(versions: DataFrame, folder: str, path: Sequence[str], text: str = "tex
     chosen = rows.join(unseen, keys).select(unseen["blob"], "text", "todo")
     may = F.lit(False)
     for rule in rules:
-        may = may | _holds(rule, F.col("text"))
+        # told of the pair, so that no text is read before it is known to be unseen
+        may = may | F.array_contains("todo", rule.name) & _holds(rule, F.col("text"))
     # a path that repeats with the same text gives its blob more than once
     spans = spans_of(stored(chosen.where(may).dropDuplicates(["blob"]), "texts-to-scan"), rules)
     lists = spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("rule", "start", "end"))).alias("spans"))
