@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 from stackscan.llm.common import stored
+from stackscan.llm.substring_dedup import _without
 from tests.llm.tables import SF, documents, edge_docs, empty_docs
 from tests.llm.test_native import lower, measures
-from tests.llm.test_near import cleaned, near_of, shingles
+from tests.llm.test_near import extended, near_of, shingles
 
 
 def test_stages(spark):
@@ -23,8 +24,8 @@ def test_stages(spark):
     named = near_of([(r["doc_id"], r["text"]) for r in unique])
     assert sorted(r["doc_id"] for r in apart) == sorted(i for i, n, c in named if i == c)
     assert all(shingles(r["text"]) for r in apart)
-    want = cleaned([(r["doc_id"], r["text"]) for r in apart])
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean} == {i: (t, len(t)) for (i, _), (t, _) in want.items()}
+    want = {i: _without(text, removed) for (i, text), removed in extended([(r["doc_id"], r["text"]) for r in apart]).items()}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean} == {i: (t, len(t)) for i, t in want.items()}
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean}
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, packed))
 
