@@ -126,10 +126,11 @@ def scan(versions: DataFrame, folder: str, path: Sequence[str], text: str = "tex
     if not (n := unseen.count()):
         return 0
     keys = [rows["blob"] == unseen["blob"]] + [rows[c].eqNullSafe(unseen["one"][c]) for c in path]
-    chosen = rows.join(unseen, keys).select(unseen["blob"], "text", "todo")
+    # a text that depends on the other side of the join: none is read before its blob is known to be unseen
+    text_to_read = F.when(F.size("todo") > 0, rows["text"]).alias("text")
+    chosen = rows.join(unseen, keys).select(unseen["blob"], text_to_read, "todo")
     may = F.lit(False)
     for rule in rules:
-        # told of the pair, so that no text is read before it is known to be unseen
         may = may | F.array_contains("todo", rule.name) & _holds(rule, F.col("text"))
     # a path that repeats with the same text gives its blob more than once
     spans = spans_of(stored(chosen.where(may).dropDuplicates(["blob"]), "texts-to-scan"), rules)
