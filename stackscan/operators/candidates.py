@@ -1,110 +1,195 @@
 """Candidate signatures of a page: which of many patterns can possibly match it.
 
-Testing every pattern on every page costs (text size x number of patterns). Instead every
-pattern states literals one of which a match must contain (or the header, meta, ... key it looks
-up). One automaton over all literals reads a page's text once and names the few patterns whose
-literal occurs; only those are then tested by the real regular expression. The step can only
-name too many candidates, never too few.
-
-Patterns are shipped in parts of bounded size, each a broadcast of its own, and named by their
-place; a page is read once, whatever the number of parts.
+Testing every pattern on every page costs (text size x number of patterns). Instead every pattern
+states conditions: a match contains, for each of some terms, one of the term's literals (or the
+evidence has the header, meta, ... key the pattern looks up). One automaton over all literals reads a
+page's text once; a pattern whose rarest term occurs and whose other terms do, too, is a candidate, and only
+candidates are then tested by the real regular expression. The step can only name too many
+candidates, never too few.
+
+The patterns are a table in the shared folder, written in order. Neither the driver nor the plan holds
+them: a worker reads the table's files, builds one automaton per part of bounded size, and keeps the
+parts it used last. How rare a term is, it learns from the pages it has read.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Patterns in one part: it bounds a broadcast and a constant of the plan.
-PART = 20_000
+from stackscan.functions.workers import worker_keeps
+
+# Patterns in one part, and parts a worker keeps: they bound its memory.
+PART, PARTS_KEPT = 20_000, 16
+# Pages after which, and after four times which, a part orders its terms anew by how often they occurred.
+LEARN = 32
+#: What makes a pattern a candidate: one of these, each a text's name (or "key") and the terms that must all occur.
+WANTED = "array<struct<where:string,terms:array<array<string>>>>"
 
 
 def key_trigger(kind: str, key: str) -> str:
     return f"{kind}\x01{key}"
 
 
-class Triggers:
-    """What makes each of one part's patterns a candidate.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or under the
+    warehouse where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    ``triggers[i]`` lists, for pattern ``first + i``, (text name, literal) pairs, ("key", name)
-    pairs, or (text name, "") when the pattern must be tested whenever that text is present.
-    """
 
-    def __init__(self, first: int, triggers: list[list[tuple[str, str]]]):
-        self.first, self.triggers = first, triggers
-        self._ready: tuple | None = None
-
-    def _compiled(self) -> tuple[dict, dict, dict]:
-        """Made once per worker: a worker keeps a broadcast's value."""
-        if self._ready is None:
-            by_key: dict[str, list[int]] = {}
-            always: dict[str, list[int]] = {}
-            literals: dict[str, dict[str, list[int]]] = {}
-            for i, wanted in enumerate(self.triggers, self.first):
-                for where, what in wanted:
-                    if where == "key":
-                        by_key.setdefault(what, []).append(i)
-                    elif what == "":
-                        always.setdefault(where, []).append(i)
-                    else:
-                        literals.setdefault(where, {}).setdefault(what, []).append(i)
-            automata = {}
-            for name, words in literals.items():
-                automata[name] = ahocorasick.Automaton()
-                for word, hits in words.items():
-                    automata[name].add_word(word, tuple(hits))
-                automata[name].make_automaton()
-            self._ready = by_key, always, automata
-        return self._ready
-
-    def __getstate__(self):
-        return {"first": self.first, "triggers": self.triggers, "_ready": None}
-
-    def find(self, texts: dict[str, str], keys) -> set[int]:
-        """Patterns that may match, given lower-cased texts by name and the keys present."""
-        by_key, always, automata = self._compiled()
+def write_patterns(patterns: DataFrame, order: list[str], place: str) -> DataFrame:
+    """``patterns`` written in their order, with ``place``, a number that increases in that order.
+
+    The sort is by ranges and the files are cut at ``PART`` rows, so no task holds the whole. The table
+    must have a column ``wanted``.
+    """
+    spark = patterns.sparkSession
+    folder = shared_folder(spark, "patterns")
+    rows = patterns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    rows.write.option("maxRecordsPerFile", PART).parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+class Part:
+    """Some patterns: rows of their table, and what makes each of them a candidate."""
+
+    def __init__(self, rows: pa.Table, columns: list[str]):
+        wanted = rows["wanted"].to_pylist()
+        self.rows = rows.select(columns).combine_chunks()
+        self.by_key: dict[str, list[int]] = {}
+        self.always: dict[str, list[int]] = {}
+        self.numbers: dict[str, dict[str, int]] = {}  # of the literals, by text
+        self.conditions: list[tuple[int, str, list[tuple[int, ...]]]] = []
+        count = 0
+        for i, ways in enumerate(wanted):
+            for way in ways or ():
+                where, terms = way["where"], way["terms"]
+                if where == "key":
+                    self.by_key.setdefault(terms[0][0], []).append(i)
+                elif not terms:
+                    self.always.setdefault(where, []).append(i)
+                else:
+                    known = self.numbers.setdefault(where, {})
+                    for literal in (x for term in terms for x in term):
+                        if literal not in known:
+                            known[literal] = count
+                            count += 1
+                    self.conditions.append((i, where, [tuple(known[x] for x in term) for term in terms]))
+        self.length = {n: len(x) for known in self.numbers.values() for x, n in known.items()}
+        self.automata = {}
+        for where, known in self.numbers.items():
+            self.automata[where] = ahocorasick.Automaton()
+            for literal, n in known.items():
+                self.automata[where].add_word(literal, n)
+            self.automata[where].make_automaton()
+        self.seen, self.pages, self.next = Counter(), 0, LEARN
+        self._order()
+
+    def _order(self) -> None:
+        """Hang every condition on its rarest term: by pages it occurred on, then by length."""
+        rank = {n: (self.seen[n], -size) for n, size in self.length.items()}
+        self.watch: dict[int, list[tuple[int, list[tuple[int, ...]]]]] = {}
+        for i, _, terms in self.conditions:
+            rarest = min(terms, key=lambda term: (sum(rank[n][0] for n in term), max(rank[n][1] for n in term)))
+            rest = [t for t in terms if t is not rarest]
+            for n in rarest:
+                self.watch.setdefault(n, []).append((i, rest))
+
+    def find(self, texts: dict[str, str], keys) -> list[int]:
+        """Rows that may match, ascending, given lower-cased texts by name and the keys present."""
         found: set[int] = set()
+        hits: set[int] = set()
         for name, text in texts.items():
-            found.update(always.get(name, ()))
-            if name in automata:
-                for hits in {h for _, h in automata[name].iter(text)}:
-                    found.update(hits)
+            found.update(self.always.get(name, ()))
+            if name in self.automata:
+                hits.update(n for _, n in self.automata[name].iter(text))
+        for n in hits:
+            for i, rest in self.watch.get(n, ()):
+                if i not in found and all(not hits.isdisjoint(term) for term in rest):
+                    found.add(i)
         for key in keys:
-            found.update(by_key.get(key, ()))
-        return found
-
-
-def candidate_places(spark: SparkSession, triggers: list[list[tuple[str, str]]], texts: dict[str, Column],
-                     keys: Column, part: int = PART) -> Column:
-    """Array column of the places, ascending, of the patterns a page may match."""
+            found.update(self.by_key.get(key, ()))
+        self.seen.update(hits)
+        self.pages += 1
+        if self.pages == self.next:
+            self.next *= 4
+            self._order()
+        return sorted(found)
+
+
+def _read(path: str, columns: list[str]) -> pa.Table:
+    files, place = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    return pq.read_table(place, filesystem=files, columns=[*columns, "wanted"], partitioning=None)
+
+
+def _sizes(paths: tuple[str, ...]) -> list[int]:
+    sizes = []
+    for path in paths:
+        files, place = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        with files.open_input_file(place) as file:
+            sizes.append(pq.ParquetFile(file).metadata.num_rows)
+    return sizes
+
+
+def _groups(paths: tuple[str, ...], part: int) -> list[tuple[tuple[str, ...], int]]:
+    """(files, rows to leave out at the start) of every part: small files together, a large one in slices."""
+    groups: list[tuple[tuple[str, ...], int]] = []
+    waiting: list[str] = []
+    rows = 0
+    for path, n in zip(paths, worker_keeps(("sizes", paths), lambda: _sizes(paths), 4)):
+        if waiting and rows + n > part:
+            groups.append((tuple(waiting), 0))
+            waiting, rows = [], 0
+        if n > part:
+            groups += [((path,), at) for at in range(0, n, part)]
+        elif n:
+            waiting.append(path)
+            rows += n
+    return groups + ([(tuple(waiting), 0)] if waiting else [])
+
+
+def _part(paths: tuple[str, ...], at: int, part: int, columns: list[str]) -> Part:
+    rows = pa.concat_tables([_read(p, columns) for p in paths]).slice(at, part)
+    return Part(rows, columns)
+
+
+def candidate_rows(patterns: DataFrame, columns: list[str], texts: dict[str, Column], keys: Column, part: int = PART,
+                   everything: bool = False) -> Column:
+    """Array column of structs of ``columns``: the rows of ``patterns`` (see ``write_patterns``) that a page may
+    match, in their order; with ``everything`` all of them."""
     names = list(texts)
-    shared = [spark.sparkContext.broadcast(Triggers(i, triggers[i:i + part])) for i in range(0, len(triggers), part)]
+    schema = patterns.select(*columns).schema
+    paths = tuple(sorted(patterns.inputFiles()))
+
+    def parts() -> Iterator[Part]:
+        for files, at in _groups(paths, part):
+            yield worker_keeps(("part", files, at, part, tuple(columns)), lambda: _part(files, at, part, columns), PARTS_KEPT)
 
     def candidates(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for values in zip(*(batch if names else (batch,))):
-                lower = {name: text.lower() for name, text in zip(names, values) if text}
-                present = values[-1] if values[-1] is not None else ()
-                out.append(sorted(set().union(*(s.value.find(lower, present) for s in shared))))
-            yield pd.Series(out, dtype=object)
-
-    return F.pandas_udf(candidates, "array<int>")(*texts.values(), keys)
-
-
-def rows_at(places: Column, rows: list[dict], schema: str, part: int = PART) -> Column:
-    """The rows at ``places``: looked up in constants of the plan, so no row passes through Python."""
-    parts = [F.from_json(F.lit(json.dumps(rows[i:i + part])), f"array<{schema}>") for i in range(0, len(rows), part)]
-
-    def row(place: Column) -> Column:
-        found = F.get(parts[0], place) if parts else F.lit(None).cast(schema)
-        for k, constant in enumerate(parts[1:], 1):
-            found = F.when(place >= k * part, F.get(constant, place - k * part)).otherwise(found)
-        return found
-
-    return F.transform(places, row)
+            pages = [({name: text.lower() for name, text in zip(names, page) if text}, () if page[-1] is None else page[-1])
+                     for page in zip(*(batch if names else (batch,)))]
+            rows, owners, before = [], [], 0
+            for some in parts():
+                found = [range(some.rows.num_rows) if everything else some.find(*page) for page in pages]
+                rows.append(some.rows.take(pa.array([i for f in found for i in f], pa.int64())))
+                owners.append(np.repeat(np.arange(len(pages)), [len(f) for f in found]))
+            owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+            # parts come one after the other; a page's rows are brought together, in the order of the parts
+            flat = pa.concat_tables(rows).take(pa.array(np.argsort(owner, kind="stable"))).to_pylist() if rows else []
+            ends = np.cumsum(np.bincount(owner, minlength=len(pages))).tolist()
+            yield pd.Series([flat[i:j] for i, j in zip([0, *ends], ends)], dtype=object)
+
+    kind = f"array<{schema.simpleString()}>"
+    return F.pandas_udf(candidates, kind)(*texts.values(), keys)

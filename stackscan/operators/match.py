@@ -7,7 +7,6 @@ detections there is no shuffle, and a hot site is spread over as many tasks as i
 
 from __future__ import annotations
 
-from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +14,11 @@ from pyspark.sql import functions as F
 
 from stackscan.functions.columns import bind, none_if_empty
 from stackscan.model import EVIDENCE_TYPES, KINDS, MAX_HTML_HITS, ScanConfig
-from stackscan.operators.candidates import PART, candidate_places, key_trigger, rows_at
+from stackscan.operators.candidates import PART, candidate_rows, key_trigger
 from stackscan.sources.signatures import Library
 
-_FACT = "struct<categories:array<string>,is_higher_ed:boolean,description:string>"
-_CANDIDATE = ("struct<ord:int,fact:int,tech:string,kind:string,key:string,pattern:string,weight:int,"
-              "label:string,exact:boolean>")
-_TEXT_KINDS = ("html", "script", "network")
+#: What a candidate carries: its test, its score, and what a detection tells about its technology.
+_CANDIDATE = ["ord", "tech", "kind", "key", "pattern", "weight", "label", "exact", "categories", "is_higher_ed", "description"]
 # DOM fields a signature can test.
 _DOM_FIELDS = {"title": "title", "bodyClasses": "body_classes", "bodyId": "body_id",
                "headContent": "head_content"}
@@ -104,25 +101,14 @@ def matched_signatures(pages: DataFrame, library: Library, keep: list[str], pref
     holds. Without ``prefilter`` every signature is tested on every page.
     """
     pages = with_evidence_columns(pages)
-    kinds, rows, triggers = library.kinds, [], []
-    for entry in library.entries:
-        row = asdict(entry)
-        needs = row.pop("needs")
-        rows.append(row if prefilter else {**row, "exact": False})
-        triggers.append([(entry.kind, n) for n in needs] or [(entry.kind, "")]
-                        if entry.kind in _TEXT_KINDS else [("key", key_trigger(entry.kind, entry.key))])
-    if prefilter:
-        places = candidate_places(pages.sparkSession, triggers, evidence_texts(kinds), _present_keys(kinds), part)
-    else:
-        places = F.sequence(F.lit(0), F.lit(len(rows) - 1)) if rows else F.array().cast("array<int>")
-    pages = pages.select(*keep, *[c for c in EVIDENCE_TYPES if c not in keep], places.alias("_places"))
-    candidates = rows_at(F.col("_places"), rows, _CANDIDATE, part)
+    kinds = library.kinds
+    found = candidate_rows(library.patterns, _CANDIDATE, evidence_texts(kinds), _present_keys(kinds), part, everything=not prefilter)
+    pages = pages.select(*keep, *[c for c in EVIDENCE_TYPES if c not in keep], found.alias("_candidates"))
+    candidates = F.col("_candidates")
     odd = reduce(Column.__or__, map(_odd_case, evidence_texts(kinds).values()), F.lit(False))
     fires = bind(odd, lambda is_odd: F.filter(candidates, lambda s: F.when(
-        s["exact"] & ~is_odd, F.lit(True)).otherwise(_fires(s, kinds))))
-    matched = F.transform(fires, lambda s: F.struct(
-        s["ord"].alias("ord"), s["fact"].alias("fact"), s["tech"].alias("tech"), s["kind"].alias("kind"),
-        s["key"].alias("key"), s["weight"].alias("weight"), s["label"].alias("label")))
+        F.lit(prefilter) & s["exact"] & ~is_odd, F.lit(True)).otherwise(_fires(s, kinds))))
+    matched = F.transform(fires, lambda s: F.struct(*[s[c].alias(c) for c in _CANDIDATE if c not in ("pattern", "exact")]))
     return pages.select(*keep, matched.alias("matches"))
 
 
@@ -143,8 +129,9 @@ def _detections(matches: Column, config: ScanConfig) -> Column:
                           F.filter(own, lambda m: m["kind"] != "html"))
         labels = (F.transform(listed, lambda m: m["label"]) if config.include_evidence
                   else F.array().cast("array<string>"))
-        return F.struct((-score).alias("neg"), own[0]["ord"].alias("lib_ord"), own[0]["fact"].alias("fact"), tech.alias("tech"),
-                        score.alias("confidence"), labels.alias("evidence"))
+        facts = [own[0][c].alias(c) for c in ("categories", "is_higher_ed", "description")]
+        return F.struct((-score).alias("neg"), own[0]["ord"].alias("lib_ord"), tech.alias("tech"),
+                        score.alias("confidence"), labels.alias("evidence"), *facts)
 
     def per_tech(found: Column) -> Column:
         techs = F.array_distinct(F.transform(found, lambda m: m["tech"]))
@@ -177,8 +164,7 @@ def detect(pages: DataFrame, library: Library, ids: list[str], config: ScanConfi
     keep = [*ids, "_facts", "_asset_version"]
     rows = matched_signatures(pages, library, keep, prefilter, part)
     ranked = rows.select(*keep, F.posexplode_outer(_detections(F.col("matches"), config)).alias("pos", "d"))
-    facts = rows_at(F.array("d.fact"), [{k: v for k, v in f.items() if k != "tech"} for f in library.facts], _FACT, part)
     found = ranked.filter("d is not null").select(
-        *keep, (F.col("pos") + 1).alias("rank"), "d.tech", "d.confidence", "d.evidence", F.get(facts, 0).alias("f"))
-    return found.select(*ids, "rank", "tech", "confidence", "f.categories", "evidence",
-                        _version(config).alias("version"), "f.is_higher_ed", "f.description")
+        *keep, (F.col("pos") + 1).alias("rank"), "d.tech", "d.confidence", "d.categories", "d.evidence", "d.is_higher_ed", "d.description")
+    return found.select(*ids, "rank", "tech", "confidence", "categories", "evidence",
+                        _version(config).alias("version"), "is_higher_ed", "description")

@@ -10,15 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackscan.functions.regex import required_literals, strip_suffix, to_spark_regex
-from stackscan.operators.candidates import PART, candidate_places, key_trigger, rows_at
+from stackscan.functions.regex import literal_conditions, strip_suffix, to_spark_regex
+from stackscan.operators.candidates import PART, WANTED, candidate_rows, key_trigger, write_patterns
 from stackscan.sources.signatures import valid_regex
 
 # Statuses the validation may overwrite.
 AUTO_STATUSES = ("", "verified", "suspect", "false-positive", "needs-review", "no-evidence")
 ROW = ["technology", "file", "field", "pattern"]
-_TEST = "struct<place:int,own_tech:string,field:string,key:string,key_regex:string,value_regex:string>"
-_ROW = "struct<technology:string,file:string,field:string,pattern:string>"
+_TEST = ["place", "own_tech", "field", "key", "key_regex", "value_regex"]
 
 
 def snapshot_evidence(snapshots: DataFrame) -> DataFrame:
@@ -42,22 +41,34 @@ def _identifier(key: str) -> str:
     return r"(?i)\b" + "".join("\\" + c if c in ".*+?^${}()|[]\\" else c for c in key) + r"\b"
 
 
-def prepare_ledger(rows: DataFrame) -> DataFrame:
-    """Distinct ledger patterns taken apart: key, regexes for key and value, literals, validity."""
+def _wanted(field: str, plain: str, key: str | None, mode: str) -> list[dict]:
+    """What makes a ledger pattern's test worth running on a snapshot."""
+    if field in ("html", "scripts") or (field == "cookies" and mode == "validate"):
+        branches, _ = literal_conditions(plain if key is None else key)
+        return [{"where": field, "terms": [list(t) for t in terms]} for terms in branches] or [{"where": field, "terms": []}]
+    name = key_trigger(field, key if field in ("js", "cookies") else key.lower())
+    found = [{"where": "key", "terms": [[name]]}]
+    if field == "js" and mode == "validate":
+        found.append({"where": "html", "terms": [[key.lower()]] if key and key.isascii() else []})
+    return found
 
-    @F.pandas_udf("plain string, key string, key_regex string, value_regex string, needs array<string>")
+
+def prepare_ledger(rows: DataFrame, mode: str = "validate") -> DataFrame:
+    """Distinct ledger patterns taken apart: key, regexes for key and value, conditions, validity."""
+
+    @F.pandas_udf(f"plain string, key string, key_regex string, value_regex string, wanted {WANTED}")
     def take_apart(fields: pd.Series, patterns: pd.Series) -> pd.DataFrame:
         out = []
         for field, pattern in zip(fields, patterns):
             plain = strip_suffix(pattern or "").strip()
+            key = value = None
             if field in ("html", "scripts"):
-                out.append((plain, None, to_spark_regex(plain), None, required_literals(plain)))
-                continue
-            key, _, value = plain.partition("=")
-            regex = _identifier(key) if field == "js" else to_spark_regex(key)
-            out.append((plain, key, regex, to_spark_regex(value) if value else None,
-                        required_literals(key) if field == "cookies" else []))
-        return pd.DataFrame(out, columns=["plain", "key", "key_regex", "value_regex", "needs"])
+                regex = to_spark_regex(plain)
+            else:
+                key, _, value = plain.partition("=")
+                regex = _identifier(key) if field == "js" else to_spark_regex(key)
+            out.append((plain, key, regex, to_spark_regex(value) if value else None, _wanted(field, plain, key, mode)))
+        return pd.DataFrame(out, columns=["plain", "key", "key_regex", "value_regex", "wanted"])
 
     parts = rows.select(*ROW).distinct().withColumn("p", take_apart("field", "pattern")).select(*ROW, "p.*")
     by_key = F.col("field").isin("headers", "meta")
@@ -65,26 +76,6 @@ def prepare_ledger(rows: DataFrame) -> DataFrame:
         (by_key | valid_regex(F.col("key_regex"))) & (F.col("value_regex").isNull() | valid_regex(F.col("value_regex"))))
 
 
-def compile_ledger(prepared: DataFrame, mode: str) -> tuple[list[dict], list[dict], list[list[tuple[str, str]]]]:
-    """Ledger rows by place, their tests, and what triggers each test."""
-    rows, tests, triggers = [], [], []
-    for place, row in enumerate(prepared.orderBy(*ROW).toLocalIterator()):
-        field, key, needs = row["field"], row["key"], row["needs"]
-        rows.append({c: row[c] for c in ROW})
-        tests.append({"place": place, "own_tech": (row["technology"] or "").strip(" ").lower(), "field": field,
-                      **{c: row[c] for c in ("key", "key_regex", "value_regex")}})
-        if field in ("html", "scripts") or (field == "cookies" and mode == "validate"):
-            wanted = [(field, n) for n in needs] or [(field, "")]
-        elif field == "js":
-            wanted = [("key", key_trigger("js", key))]
-            if mode == "validate":
-                wanted.append(("html", key.lower() if key.isascii() else ""))
-        else:
-            wanted = [("key", key_trigger(field, key if field == "cookies" else key.lower()))]
-        triggers.append(wanted)
-    return rows, tests, triggers
-
-
 def _holds(s: Column, mode: str) -> Column:
     """Whether ledger test ``s`` fires on the snapshot (Q10).
 
@@ -121,9 +112,9 @@ def _holds(s: Column, mode: str) -> Column:
         F.lit(False))
 
 
-def _fired(ledger_rows: DataFrame, snapshots: DataFrame, mode: str, part: int) -> tuple[DataFrame, list[dict]]:
+def _fired(ledger_rows: DataFrame, snapshots: DataFrame, mode: str, part: int) -> tuple[DataFrame, DataFrame]:
     """(place, own, ord, url, snapshot_tech) of every ledger row and snapshot it fires on, and the
-    rows by place. ``own`` tells whether the snapshot is labelled with the row's technology."""
+    ledger's patterns by place. ``own`` tells whether the snapshot is labelled with the row's technology."""
     empty = F.array().cast("array<string>")
 
     def tagged(field: str, keys: Column, lower: bool) -> Column:
@@ -135,24 +126,18 @@ def _fired(ledger_rows: DataFrame, snapshots: DataFrame, mode: str, part: int) -
                     tagged("js", F.map_keys("js_objects"), False), tagged("cookies", names, False))
     texts = {"html": F.col("html"), "scripts": F.concat_ws("\n", F.transform("scripts", lambda s: s["src"])),
              "cookies": F.concat_ws("\n", names)}
-    rows, tests, triggers = compile_ledger(prepare_ledger(ledger_rows), mode)
-    places = candidate_places(ledger_rows.sparkSession, triggers, texts, keys, part)
-    tested = snapshots.select("*", places.alias("_places")).select("*", rows_at(F.col("_places"), tests, _TEST, part).alias("_tests"))
+    patterns = write_patterns(prepare_ledger(ledger_rows, mode).withColumn("own_tech", normal_tech(F.col("technology"))), ROW, "place")
+    tested = snapshots.select("*", candidate_rows(patterns, _TEST, texts, keys, part).alias("_tests"))
     hits = F.transform(F.filter("_tests", lambda s: _holds(s, mode)), lambda s: F.struct(
         s["place"].alias("place"), (s["own_tech"] == normal_tech(F.col("technology"))).alias("own")))
     return tested.select("ord", "url", F.col("technology").alias("snapshot_tech"), F.explode_outer(hits).alias("s")).filter(
-        "s is not null").select("s.place", "s.own", "ord", "url", "snapshot_tech"), rows
-
-
-def _row_at(place: Column, rows: list[dict], part: int) -> Column:
-    return F.get(rows_at(F.array(place), rows, _ROW, part), 0)
+        "s is not null").select("s.place", "s.own", "ord", "url", "snapshot_tech"), patterns.select("place", *ROW)
 
 
 def snapshot_hits(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "validate", part: int = PART) -> DataFrame:
     """One row per ledger pattern and snapshot it fires on (Q10)."""
     fired, rows = _fired(ledger_rows, snapshots, mode, part)
-    return fired.select(_row_at(F.col("place"), rows, part).alias("s"), "ord", "url", "snapshot_tech").select(
-        *[f"s.{c}" for c in ROW], "ord", "url", "snapshot_tech")
+    return fired.join(rows, "place").select(*ROW, "ord", "url", "snapshot_tech")
 
 
 def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str = "validate", part: int = PART) -> DataFrame:
@@ -172,8 +157,7 @@ def validation_results(ledger_rows: DataFrame, snapshots: DataFrame, mode: str =
     order = Window.partitionBy("place", "own").orderBy("ord", "url")
     firsts = fired.withColumn("rn", F.row_number().over(order)).filter("rn <= 2").groupBy("place").agg(
         F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("ord", "url", "snapshot_tech")))).alias("firsts"))
-    found = counts.join(firsts, "place", "left").withColumn("s", _row_at(F.col("place"), rows, part)).select(
-        *[f"s.{c}" for c in ROW], "own_hits", "other_hits", "first_own", "firsts")
+    found = counts.join(firsts, "place", "left").join(rows, "place").select(*ROW, "own_hits", "other_hits", "first_own", "firsts")
     own_techs = snapshots.select(normal_tech(F.col("technology")).alias("_tech")).distinct().withColumn("_known", F.lit(True))
     row = ledger_rows.withColumn("_tech", normal_tech(F.col("technology"))).join(own_techs, "_tech", "left").drop("_tech")
     # null-safe, so that no filter on the pattern's columns is pushed into one of the two reads only

@@ -178,14 +178,19 @@ def network_technologies(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.channel_technologies(_detections(spark, sf), "Network")
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages dealt out to all cores: a table of one small file is one task, whatever its pages cost."""
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
+
+
 def match_large_library(spark: SparkSession, sf: str) -> DataFrame:
     """Thousands of signatures of all kinds."""
-    found = match.signature_matches(_evidence(spark, sf), demo.large_library(spark, sf), IDS)
+    found = match.signature_matches(_spread(_evidence(spark, sf)), demo.large_library(spark, sf), IDS)
     return found.select("page_id", "tech", "kind", "label", "weight")
 
 
 def detect_large_library(spark: SparkSession, sf: str) -> DataFrame:
-    found = match.detect(_evidence(spark, sf), demo.large_library(spark, sf), IDS, demo.CONFIG)
+    found = match.detect(_spread(_evidence(spark, sf)), demo.large_library(spark, sf), IDS, demo.CONFIG)
     return found.select("page_id", "rank", "tech", "confidence", F.size("evidence").alias("evidence_items"))
 
 

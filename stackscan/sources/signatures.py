@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from stackscan.functions.categories import category_names
 from stackscan.functions.columns import union_all, unnest
-from stackscan.functions.regex import literal_needs, strip_suffix, to_spark_regex
+from stackscan.functions.regex import literal_conditions, strip_suffix, to_spark_regex
 from stackscan.model import FIELDS, KINDS, PATTERN_FILE_RECORD, SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA
+from stackscan.operators.candidates import WANTED, key_trigger, write_patterns
 
 log = logging.getLogger(__name__)
 
@@ -141,32 +142,17 @@ def load_library(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
     return technologies(records), signatures(records)
 
 
-@dataclass(frozen=True)
-class Signature:
-    """One compiled signature. ``needs`` are literals one of which a match must contain; with
-    ``exact`` such a literal already is a match. ``fact`` is the technology's place in the
-    library's facts, -1 if it has none."""
-
-    ord: int
-    fact: int
-    tech: str
-    kind: str
-    key: str | None
-    pattern: str
-    weight: int
-    label: str
-    needs: tuple[str, ...] = ()
-    exact: bool = False
+#: Kinds whose patterns are searched for in a text; the others look up a key.
+TEXT_KINDS = ("html", "script", "network")
 
 
 @dataclass
 class Library:
-    """A checked signature library: compiled signatures in library order, what a detection tells
-    about its technology, and the rejects."""
+    """A checked signature library: its valid signatures as a table in library order, with what a
+    detection tells about their technology and what makes them candidates; and the rejects."""
 
     technologies: DataFrame
-    entries: list[Signature]
-    facts: list[dict]
+    patterns: DataFrame
     rejected: DataFrame
     kinds: set[str] = field(default_factory=set)
 
@@ -180,19 +166,20 @@ def valid_regex(pattern: Column) -> Column:
 def prepare_signatures(signatures: DataFrame) -> DataFrame:
     """Signatures with Spark's form of the pattern, its literals, and whether it is valid."""
 
-    @F.pandas_udf("regex string, needs array<string>, exact boolean")
-    def translate(patterns: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(f"regex string, wanted {WANTED}, exact boolean")
+    def translate(kinds: pd.Series, keys: pd.Series, patterns: pd.Series) -> pd.DataFrame:
         rows = []
-        for pattern in patterns:
+        for kind, key, pattern in zip(kinds, keys, patterns):
             plain = strip_suffix(pattern or "")
-            rows.append((to_spark_regex(plain), *literal_needs(plain)))
-        return pd.DataFrame(rows, columns=["regex", "needs", "exact"])
-
-    text = F.col("kind").isin("html", "script", "network")
-    prepared = signatures.withColumn("_t", translate("pattern")).select(
-        "*", F.col("_t.regex").alias("regex"),
-        F.when(text, F.col("_t.needs")).otherwise(F.array().cast("array<string>")).alias("needs"),
-        (text & F.col("_t.exact")).alias("exact")).drop("_t")
+            if kind in TEXT_KINDS:
+                branches, exact = literal_conditions(plain)
+                wanted = [{"where": kind, "terms": [list(t) for t in terms]} for terms in branches] or [{"where": kind, "terms": []}]
+            else:
+                wanted, exact = [{"where": "key", "terms": [[key_trigger(kind, key or "")]]}], False
+            rows.append((to_spark_regex(plain), wanted, exact))
+        return pd.DataFrame(rows, columns=["regex", "wanted", "exact"])
+
+    prepared = signatures.withColumn("_t", translate("kind", "key", "pattern")).select("*", "_t.regex", "_t.wanted", "_t.exact").drop("_t")
     return prepared.withColumn("valid", (F.col("kind") == "js") | valid_regex(F.col("regex")))
 
 
@@ -203,21 +190,21 @@ def rejected_signatures(prepared: DataFrame) -> DataFrame:
 
 
 def compile_library(technologies: DataFrame, signatures: DataFrame) -> Library:
-    """Check every pattern and make the valid ones ready for matching.
+    """Check every pattern and write the valid ones in library order, ready for matching.
 
-    The library is configuration: the driver holds it once, as the signature files' text. How it
-    is shipped to the executors is up to the matchers.
+    The library stays a table: it is written by Spark and read by the workers that match, so the
+    driver holds nothing that grows with it.
     """
     prepared = prepare_signatures(signatures)
-    facts = [r.asDict() for r in technologies.select(
-        "tech", category_names(F.col("categories")).alias("categories"),
-        F.coalesce("higher_ed", F.lit(False)).alias("is_higher_ed"),
-        F.coalesce("description", F.lit("")).alias("description")).collect()]
-    place = {fact["tech"]: i for i, fact in enumerate(facts)}
-    rows = prepared.filter("valid").orderBy("tech_ord", "tech", "kind_ord", "ord").toLocalIterator()
-    entries = [Signature(i, place.get(r["tech"], -1), r["tech"], r["kind"], r["key"], r["regex"], r["weight"], r["label"],
-                         tuple(r["needs"]), r["exact"]) for i, r in enumerate(rows)]
-    return Library(technologies, entries, facts, rejected_signatures(prepared), {e.kind for e in entries})
+    known = technologies.select(
+        "tech", category_names(F.col("categories")).alias("categories"), F.coalesce("higher_ed", F.lit(False)).alias("is_higher_ed"),
+        F.coalesce("description", F.lit("")).alias("description")).dropDuplicates(["tech"])
+    rows = prepared.filter("valid").drop("pattern").withColumnRenamed("regex", "pattern").withColumn("place", F.col("ord")).join(known, "tech", "left").select(
+        "tech", "kind", "key", "pattern", "weight", "label", "exact", "wanted", "categories", "is_higher_ed", "description",
+        "tech_ord", "kind_ord", "place")
+    patterns = write_patterns(rows, ["tech_ord", "tech", "kind_ord", "place"], "ord")
+    kinds = {r["kind"] for r in patterns.select("kind").distinct().collect()}
+    return Library(technologies, patterns, rejected_signatures(prepared), kinds)
 
 
 def signature_rows(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, DataFrame]:
