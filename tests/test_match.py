@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from stackscan.model import ScanConfig
+from stackscan.operators.candidates import candidate_rows
 from stackscan.operators.match import detect, matched_signatures, signature_matches
 from stackscan.sources.signatures import compile_library, signature_rows
 
@@ -124,3 +125,15 @@ def test_detection_needs_no_shuffle(spark):
     plan = detect(frame, lib, ["page_id"], part=7)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (") == 1
     assert "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_candidates_are_few(spark):
+    rules = [("T", "html", None, rf'href="[^"]*/{i}x"') for i in range(300)] + [("U", "html", None, rf"track[(]{i}[)]") for i in range(300)]
+    lib = library(spark, rules)
+    html = [" ".join(f'<a href="/p/{j}x">track({j})</a>' for j in range(k, k + 5)) for k in range(0, 40, 5)]
+    frame = pages(spark, *({"html": h} for h in html))
+    found = frame.select(F.size(candidate_rows(lib.patterns, ["ord"], {"html": F.col("html")}, F.array().cast("array<string>"))).alias("n")).collect()
+    matches = signature_matches(frame, lib, ["page_id"]).count()
+    tested = sum(r.n for r in found)
+    print("candidates", tested, "matches", matches)
+    assert matches == 80 and tested <= 3 * matches
