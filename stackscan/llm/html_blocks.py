@@ -24,7 +24,8 @@ _SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article body ma
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.DOTALL)
+    # quotes hold a value only behind an equals sign; elsewhere they are letters of a name or of a bare value
+    r"|<([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*|[\"'])|[^>=])*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|/|$)", re.IGNORECASE) for t in DROPPED}
 _NAME = re.compile(r"[a-z]+|[0-9]+")

@@ -138,3 +138,11 @@ def test_embedded_elements_of_an_article_stay(field):
                             "Another one of about the same length ends the story.")
     page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{first}</p><p>{formula}</p><object><p>{last}</p></article><footer>&copy; 2024 Us</footer>"
     assert html_extract.main_text(page, field) == f"Title\n{first}\nEnergy is E=m in this short paragraph of it.\n{last}"
+
+
+def test_quotes_hold_values_only_behind_an_equals_sign():
+    from stackscan.llm.html_blocks import blocks_of
+
+    texts = lambda html: [b.text for b in blocks_of(html)]
+    assert texts("<p data-x=it's>Hello, <b>world</b> is here.</p><p>We don't know.</p><p>Last</p>") == ["Hello, world is here.", "We don't know.", "Last"]
+    assert texts('<p title="5" wide">Hello world.</p><p a="x>y" b=\'>\'>t</p><p c=>u</p>') == ["Hello world.", "t", "u"]
