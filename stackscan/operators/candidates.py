@@ -2,7 +2,8 @@
 
 Testing every pattern on every page costs (text size x number of patterns). Instead every pattern
 states conditions: a match contains, for each of some terms, one of the term's literals (or the
-evidence has the header, meta, ... key the pattern looks up). One automaton over all literals reads a
+evidence has the key the pattern looks up; keys and values of headers, meta tags, ... are searched
+together, so a pattern on a value states its literals, too). One automaton over all literals reads a
 page's text once; a pattern whose rarest term occurs and whose other terms do, too, is a candidate, and only
 candidates are then tested by the real regular expression. The step can only name too many
 candidates, never too few.
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
 from stackscan.functions.workers import worker_keeps
 
@@ -41,6 +43,22 @@ def key_trigger(kind: str, key: str) -> str:
     return f"{kind}\x01{key}"
 
 
+def entry_mark(key: str) -> str:
+    """How an entry of this key begins in an ``entry_text``, in lower case."""
+    return f"\x01{key}\x02".lower()
+
+
+def entry_text(entries: Column, key: str = "key", value: str = "value") -> Column:
+    """An array of (key, value) structs as one text, in which keys and values can be searched for together."""
+    return F.concat_ws("", F.transform(entries, lambda e: F.concat(
+        F.lit("\x01"), F.coalesce(e[key], F.lit("")), F.lit("\x02"), F.coalesce(e[value].cast("string"), F.lit("")))))
+
+
+def entry_conditions(where: str, key: str, branches: list[list[tuple[str, ...]]]) -> list[dict]:
+    """What a pattern wants that is tested on the value of ``key``: the key, and what every match of the value holds."""
+    return [{"where": where, "terms": [[entry_mark(key)], *map(list, terms)]} for terms in branches or [[]]]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or under the
     warehouse where that is not set."""
@@ -176,20 +194,26 @@ def candidate_rows(patterns: DataFrame, columns: list[str], texts: dict[str, Col
         for files, at in _groups(paths, part):
             yield worker_keeps(("part", files, at, part, tuple(columns)), lambda: _part(files, at, part, columns), PARTS_KEPT)
 
-    def candidates(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def candidates(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            pages = [({name: text.lower() for name, text in zip(names, page) if text}, () if page[-1] is None else page[-1])
-                     for page in zip(*(batch if names else (batch,)))]
-            rows, owners, before = [], [], 0
+            pages = [({name: text.lower() for name, text in zip(names, page) if text}, page[-1] or ())
+                     for page in zip(*(column.to_pylist() for column in batch))]
+            rows, owners = [], []
             for some in parts():
                 found = [range(some.rows.num_rows) if everything else some.find(*page) for page in pages]
                 rows.append(some.rows.take(pa.array([i for f in found for i in f], pa.int64())))
                 owners.append(np.repeat(np.arange(len(pages)), [len(f) for f in found]))
             owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pages)))]), pa.int32())
+            if not rows:
+                yield pa.array([[]] * len(pages), arrow_kind)
+                continue
             # parts come one after the other; a page's rows are brought together, in the order of the parts
-            flat = pa.concat_tables(rows).take(pa.array(np.argsort(owner, kind="stable"))).to_pylist() if rows else []
-            ends = np.cumsum(np.bincount(owner, minlength=len(pages))).tolist()
-            yield pd.Series([flat[i:j] for i, j in zip([0, *ends], ends)], dtype=object)
-
-    kind = f"array<{schema.simpleString()}>"
-    return F.pandas_udf(candidates, kind)(*texts.values(), keys)
+            flat = (rows[0] if len(rows) == 1 else pa.concat_tables(rows).take(pa.array(np.argsort(owner, kind="stable")))).combine_chunks()
+            items = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in flat.columns]
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(items, names=columns)).cast(arrow_kind)
+
+    kind = ArrayType(schema)
+    arrow_kind = to_arrow_type(kind)
+    # a second column, so that every batch is a tuple
+    return F.arrow_udf(candidates, kind)(*(texts.values() or [F.lit("")]), keys)

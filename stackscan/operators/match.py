@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stackscan.functions.columns import bind, none_if_empty
 from stackscan.model import EVIDENCE_TYPES, KINDS, MAX_HTML_HITS, ScanConfig
-from stackscan.operators.candidates import PART, candidate_rows, key_trigger
+from stackscan.operators.candidates import PART, candidate_rows, entry_text, key_trigger
 from stackscan.sources.signatures import Library
 
 #: What a candidate carries: its test, its score, and what a detection tells about its technology.
@@ -73,18 +73,17 @@ def evidence_texts(kinds: set[str]) -> dict[str, Column]:
     return {kind: text for kind, text in texts.items() if kind in kinds}
 
 
-def _present_keys(kinds: set[str]) -> Column:
-    names = {
-        "header": F.map_keys("headers"), "meta": F.map_keys("meta"),
-        "js": F.map_keys(F.map_filter("js_objects", lambda k, v: v)),
-        "cookie": F.transform("cookies", lambda c: c["name"]),
-        "dom": F.array(*map(F.lit, _DOM_FIELDS)),
-    }
-    empty = F.array().cast("array<string>")
+def _entry_texts(kinds: set[str]) -> dict[str, Column]:
+    """Keys and values looked up by the other kinds, each kind's as one text."""
+    fields = F.array(*[F.struct(F.lit(name).alias("key"), F.col("dom")[column].alias("value")) for name, column in _DOM_FIELDS.items()])
+    texts = {"header": entry_text(F.map_entries("headers")), "meta": entry_text(F.map_entries("meta")),
+             "dom": entry_text(fields), "cookie": entry_text(F.col("cookies"), "name")}
+    return {kind: text for kind, text in texts.items() if kind in kinds}
+
 
-    def tagged(kind: str, keys: Column) -> Column:
-        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(key_trigger(kind, "")), k)), empty)
-    return F.concat(empty, *(tagged(kind, keys) for kind, keys in names.items() if kind in kinds))
+def _present_globals() -> Column:
+    names = F.map_keys(F.map_filter("js_objects", lambda k, v: v))
+    return F.coalesce(F.transform(names, lambda k: F.concat(F.lit(key_trigger("js", "")), k)), F.array().cast("array<string>"))
 
 
 def _odd_case(text: Column) -> Column:
@@ -102,7 +101,8 @@ def matched_signatures(pages: DataFrame, library: Library, keep: list[str], pref
     """
     pages = with_evidence_columns(pages)
     kinds = library.kinds
-    found = candidate_rows(library.patterns, _CANDIDATE, evidence_texts(kinds), _present_keys(kinds), part, everything=not prefilter)
+    searched = evidence_texts(kinds) | _entry_texts(kinds)
+    found = candidate_rows(library.patterns, _CANDIDATE, searched, _present_globals(), part, everything=not prefilter)
     pages = pages.select(*keep, *[c for c in EVIDENCE_TYPES if c not in keep], found.alias("_candidates"))
     candidates = F.col("_candidates")
     odd = reduce(Column.__or__, map(_odd_case, evidence_texts(kinds).values()), F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackscan.functions.regex import literal_conditions, strip_suffix, to_spark_regex
-from stackscan.operators.candidates import PART, WANTED, candidate_rows, key_trigger, write_patterns
+from stackscan.operators.candidates import PART, WANTED, candidate_rows, entry_conditions, entry_text, key_trigger, write_patterns
 from stackscan.sources.signatures import valid_regex
 
 # Statuses the validation may overwrite.
@@ -41,12 +41,14 @@ def _identifier(key: str) -> str:
     return r"(?i)\b" + "".join("\\" + c if c in ".*+?^${}()|[]\\" else c for c in key) + r"\b"
 
 
-def _wanted(field: str, plain: str, key: str | None, mode: str) -> list[dict]:
+def _wanted(field: str, plain: str, key: str | None, value: str | None, mode: str) -> list[dict]:
     """What makes a ledger pattern's test worth running on a snapshot."""
     if field in ("html", "scripts") or (field == "cookies" and mode == "validate"):
         branches, _ = literal_conditions(plain if key is None else key)
         return [{"where": field, "terms": [list(t) for t in terms]} for terms in branches] or [{"where": field, "terms": []}]
-    name = key_trigger(field, key if field in ("js", "cookies") else key.lower())
+    if field in ("headers", "meta"):
+        return entry_conditions(field, key, literal_conditions(value)[0] if value else [])
+    name = key_trigger(field, key)
     found = [{"where": "key", "terms": [[name]]}]
     if field == "js" and mode == "validate":
         found.append({"where": "html", "terms": [[key.lower()]] if key and key.isascii() else []})
@@ -67,7 +69,7 @@ def prepare_ledger(rows: DataFrame, mode: str = "validate") -> DataFrame:
             else:
                 key, _, value = plain.partition("=")
                 regex = _identifier(key) if field == "js" else to_spark_regex(key)
-            out.append((plain, key, regex, to_spark_regex(value) if value else None, _wanted(field, plain, key, mode)))
+            out.append((plain, key, regex, to_spark_regex(value) if value else None, _wanted(field, plain, key, value, mode)))
         return pd.DataFrame(out, columns=["plain", "key", "key_regex", "value_regex", "wanted"])
 
     parts = rows.select(*ROW).distinct().withColumn("p", take_apart("field", "pattern")).select(*ROW, "p.*")
@@ -117,15 +119,13 @@ def _fired(ledger_rows: DataFrame, snapshots: DataFrame, mode: str, part: int) -
     ledger's patterns by place. ``own`` tells whether the snapshot is labelled with the row's technology."""
     empty = F.array().cast("array<string>")
 
-    def tagged(field: str, keys: Column, lower: bool) -> Column:
-        prefix = F.lit(key_trigger(field, ""))
-        return F.coalesce(F.transform(keys, lambda k: F.concat(prefix, F.lower(k) if lower else k)), empty)
+    def tagged(field: str, keys: Column) -> Column:
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(key_trigger(field, "")), k)), empty)
 
     names = F.transform("cookies", lambda c: c["name"])
-    keys = F.concat(tagged("headers", F.map_keys("headers"), True), tagged("meta", F.map_keys("meta"), True),
-                    tagged("js", F.map_keys("js_objects"), False), tagged("cookies", names, False))
+    keys = F.concat(tagged("js", F.map_keys("js_objects")), tagged("cookies", names))
     texts = {"html": F.col("html"), "scripts": F.concat_ws("\n", F.transform("scripts", lambda s: s["src"])),
-             "cookies": F.concat_ws("\n", names)}
+             "cookies": F.concat_ws("\n", names), "headers": entry_text(F.map_entries("headers")), "meta": entry_text(F.map_entries("meta"))}
     patterns = write_patterns(prepare_ledger(ledger_rows, mode).withColumn("own_tech", normal_tech(F.col("technology"))), ROW, "place")
     tested = snapshots.select("*", candidate_rows(patterns, _TEST, texts, keys, part).alias("_tests"))
     hits = F.transform(F.filter("_tests", lambda s: _holds(s, mode)), lambda s: F.struct(

@@ -14,7 +14,7 @@ from stackscan.functions.categories import category_names
 from stackscan.functions.columns import union_all, unnest
 from stackscan.functions.regex import literal_conditions, strip_suffix, to_spark_regex
 from stackscan.model import FIELDS, KINDS, PATTERN_FILE_RECORD, SIGNATURE_SCHEMA, TECHNOLOGY_SCHEMA
-from stackscan.operators.candidates import WANTED, key_trigger, write_patterns
+from stackscan.operators.candidates import WANTED, entry_conditions, key_trigger, write_patterns
 
 log = logging.getLogger(__name__)
 
@@ -174,8 +174,10 @@ def prepare_signatures(signatures: DataFrame) -> DataFrame:
             if kind in TEXT_KINDS:
                 branches, exact = literal_conditions(plain)
                 wanted = [{"where": kind, "terms": [list(t) for t in terms]} for terms in branches] or [{"where": kind, "terms": []}]
-            else:
+            elif kind == "js":
                 wanted, exact = [{"where": "key", "terms": [[key_trigger(kind, key or "")]]}], False
+            else:
+                wanted, exact = entry_conditions(kind, key or "", literal_conditions(plain)[0]), False
             rows.append((to_spark_regex(plain), wanted, exact))
         return pd.DataFrame(rows, columns=["regex", "wanted", "exact"])
 

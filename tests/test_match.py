@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stackscan.model import ScanConfig
 from stackscan.operators.candidates import candidate_rows
+from stackscan.operators import match
 from stackscan.operators.match import detect, matched_signatures, signature_matches
 from stackscan.sources.signatures import compile_library, signature_rows
 
@@ -137,3 +138,23 @@ def test_candidates_are_few(spark):
     tested = sum(r.n for r in found)
     print("candidates", tested, "matches", matches)
     assert matches == 80 and tested <= 3 * matches
+
+
+def test_candidates_are_few_where_many_patterns_share_a_key(spark):
+    rules = [("T", "meta", "Generator", f"CMS {i}[.]") for i in range(300)] + [("U", "cookie", "SID", f"^v{i}$") for i in range(300)]
+    rules += [("V", "header", "Server", "")]
+    lib = library(spark, rules)
+    frame = pages(spark, *({"meta": {"generator": f"cms {i}.1"}, "cookies": [("SID", f"v{i}")], "headers": {"server": "x"}} for i in range(100, 140)))
+    with_candidates = matched_signatures(frame, lib, ["page_id"])
+    tested = with_candidates.select(F.size("matches").alias("n")).collect()
+    assert [r.n for r in tested] == [3] * 40
+    searched = match.evidence_texts(lib.kinds) | match._entry_texts(lib.kinds)
+    found = match.with_evidence_columns(frame).select(F.size(candidate_rows(lib.patterns, ["ord"], searched, match._present_globals())).alias("n"))
+    assert sum(r.n for r in found.collect()) <= 3 * 120
+
+
+def test_no_patterns_and_null_evidence(spark):
+    lib = library(spark, [("T", "meta", "k", "v")])
+    frame = match.with_evidence_columns(spark.createDataFrame([(1, None)], "page_id long, html string"))
+    searched = match.evidence_texts({"html", "meta"}) | match._entry_texts({"html", "meta"})
+    assert frame.select(F.size(candidate_rows(lib.patterns, ["ord"], searched, match._present_globals())).alias("n")).collect()[0].n == 0
