@@ -37,12 +37,30 @@ class Element(NamedTuple):
     hidden: bool
 
 
+class Node:
+    """An element in its place: paths are linked, so that blocks share them whatever the depth."""
+
+    __slots__ = ("element", "open", "parent", "way")
+
+    def __init__(self, element: Element, parent: Node | None, way: int):
+        self.element, self.parent, self.way, self.open = element, parent, way, True  # way: the same number for equal paths
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[Element, ...]  # outermost first
+    at: Node | None  # the innermost element that holds the whole text
     linked: int  # characters within links
     bold: int  # characters within b or strong
 
+    @property
+    def path(self) -> tuple[Element, ...]:
+        """The elements around the block, outermost first."""
+        found, node = [], self.at
+        while node:
+            found.append(node.element)
+            node = node.parent
+        return tuple(found[::-1])
+
 
 def _element(tag: str, attributes: str) -> Element:
     names, hidden = [], False
@@ -63,34 +81,64 @@ def blocks_of(html: str | None) -> list[Block]:
     list item or cell ends an open one, an end tag ends everything inside, one without a start is ignored.
     An element of ``EMBEDDED`` is in the path of a block whose whole text it holds. Only the raw text of ``DROPPED``
     is left out; without their end tag, script and style reach to the end of the page, the others hold nothing.
+    Time and memory are linear in the page, however deep its elements lie.
     """
     html = html or ""
     found: list[Block] = []
-    stack: list[Element] = []
-    parts: list[tuple[str, bool, bool, tuple[Element, ...]]] = []
-    at, links, strong = 0, 0, 0
+    stack: list[tuple[str, Node | None]] = []  # open elements; links and bold text have no node
+    places: dict[str, list[int]] = {}  # of the open elements in the stack, by tag
+    blocks: list[int] = []  # places of the open block elements
+    ways: dict[tuple[int, Element], int] = {}
+    parts: list[tuple[str, bool, bool]] = []
+    top: Node | None = None
+    # the innermost element around all text since the last block: blocks open and close only between blocks' texts
+    common: Node | None = None
+    told = False
+    endless: set[str] = set()  # raw elements without an end tag from here on
+    at = 0
 
     def flush() -> None:
-        if parts:
-            text = " ".join("".join(t for t, _, _, _ in parts).split())
-            if text:
-                around = [w for t, _, _, w in parts if t.strip()]
-                whole = tuple(e for e in around[0] if all(any(e is o for o in w) for w in around))
-                held = [e for e in whole if not any(e is o for o in stack)]  # ended already
-                path = tuple(e for e in stack if e.tag in BLOCKS or any(e is o for o in whole)) + tuple(held)
-                found.append(Block(text, path, sum(len(t.strip()) for t, a, _, _ in parts if a), sum(len(t.strip()) for t, _, b, _ in parts if b)))
-            parts.clear()
+        nonlocal told, common
+        if told:
+            text = " ".join("".join(t for t, _, _ in parts).split())
+            found.append(Block(text, common, sum(len(t.strip()) for t, a, _ in parts if a), sum(len(t.strip()) for t, _, b in parts if b)))
+        parts.clear()
+        told, common = False, None
 
     def add(text: str) -> None:
+        nonlocal told, common
         if text:
-            parts.append((unescape(text) if "&" in text else text, links > 0, strong > 0, tuple(e for e in stack if e.tag in EMBEDDED)))
+            text = unescape(text) if "&" in text else text
+            parts.append((text, bool(places.get("a")), bool(places.get("b") or places.get("strong"))))
+            if text.strip():
+                if not told:
+                    told, common = True, top
+                while common and not common.open:
+                    common = common.parent
+
+    def push(element: Element) -> None:
+        nonlocal top
+        places.setdefault(element.tag, []).append(len(stack))
+        if element.tag in BLOCKS:
+            blocks.append(len(stack))
+        if element.tag in BLOCKS or element.tag in EMBEDDED:
+            top = Node(element, top, ways.setdefault((top.way if top else 0, element), len(ways) + 1))
+            stack.append((element.tag, top))
+        else:
+            stack.append((element.tag, None))
 
     def close(down_to: int) -> None:
-        nonlocal links, strong
-        for e in stack[down_to:]:
-            links -= e.tag == "a"
-            strong -= e.tag in ("b", "strong")
-        del stack[down_to:]
+        nonlocal top
+        while len(stack) > down_to:
+            tag, node = stack.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
+            if node:
+                node.open, top = False, node.parent
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     while m := _TOKEN.search(html, at):
         add(html[at:m.start()])
@@ -98,9 +146,9 @@ def blocks_of(html: str | None) -> list[Block]:
         ended, opened = m.group(1), m.group(2)
         if ended:
             tag = ended.lower()
-            inside = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
+            inside = last((tag,))
             if inside >= 0:
-                if tag in BLOCKS or any(e.tag in BLOCKS for e in stack[inside:]):
+                if blocks and blocks[-1] >= inside:
                     if tag not in BLOCKS and tag not in EMBEDDED:
                         continue  # an inline end tag does not end blocks inside
                     flush()
@@ -108,43 +156,38 @@ def blocks_of(html: str | None) -> list[Block]:
             elif tag in ("p", "br"):
                 flush()
             if tag in _APART:
-                parts.append((" ", False, False, ()))
+                parts.append((" ", False, False))
         elif opened:
             tag, attributes = opened.lower(), m.group(3) or ""
             if tag in DROPPED:
                 if not attributes.rstrip().endswith("/"):
-                    end = _RAW_END[tag].search(html, at)
+                    end = None if tag in endless else _RAW_END[tag].search(html, at)
                     if end:
                         at = html.find(">", end.start()) + 1 or len(html)
                     elif tag in ("script", "style"):
                         at = len(html)
-                parts.append((" ", False, False, ()))
+                    else:
+                        endless.add(tag)
+                parts.append((" ", False, False))
                 continue
             if tag in BLOCKS:
                 flush()
-                if tag in _ENDS_P and stack and any(e.tag == "p" for e in stack):
-                    close(max(i for i, e in enumerate(stack) if e.tag == "p"))
-                if tag in SELF_CLOSING and tag != "p":
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i].tag in SELF_CLOSING[tag]:
-                            close(i)
-                            break
-                        if stack[i].tag in _SCOPE:
-                            break
+                if tag in _ENDS_P and places.get("p"):
+                    close(last(("p",)))
+                if tag in SELF_CLOSING and tag != "p" and (i := last(SELF_CLOSING[tag])) > last(_SCOPE):
+                    close(i)
             if tag in VOID:
                 if tag == "br" or tag in BLOCKS:
-                    parts.append((" ", False, False, ()))
+                    parts.append((" ", False, False))
                 continue
             if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
                 continue
             if tag in _APART:
-                parts.append((" ", False, False, ()))
-                if tag == "option" and stack and stack[-1].tag == tag:
+                parts.append((" ", False, False))
+                if tag == "option" and stack and stack[-1][0] == tag:
                     close(len(stack) - 1)
             if tag in BLOCKS or tag in EMBEDDED or tag in ("a", "b", "strong"):
-                links += tag == "a"
-                strong += tag in ("b", "strong")
-                stack.append(_element(tag, attributes))
+                push(_element(tag, attributes))
     add(html[at:])
     flush()
     return found

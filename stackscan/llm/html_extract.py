@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackscan.llm.html_blocks import EMBEDDED, Block, blocks_of
+from stackscan.llm.html_blocks import EMBEDDED, Block, Node, blocks_of
 from stackscan.llm.labelled_pages import embedding_pages, labelled_pages
 
 #: Labelled pages, such with embedded elements, passes over them, step size, and weight of the square penalty.
@@ -42,27 +43,45 @@ def _bin(value: float, edges: tuple) -> int:
     return sum(value >= e for e in edges)
 
 
-def _own(block: Block, in_article: bool) -> list[str]:
+class _Around(NamedTuple):
+    """What the features ask of a path; bounded, whatever its depth."""
+
+    tags: frozenset[str] = frozenset()
+    hints: frozenset[str] = frozenset()
+    near: frozenset[str] = frozenset()
+    scope: str = "none"
+    hidden: bool = False
+
+
+def _around(node: Node | None, known: dict[int, _Around]) -> _Around:
+    """The summary of the path to ``node``, from that of its parent; ``known`` holds those of a page by path."""
+    waiting = []
+    while node and node.way not in known:
+        waiting.append(node)
+        node = node.parent
+    found = known[node.way] if node else _Around()
+    for node in reversed(waiting):
+        tag, own = node.element.tag, frozenset(_HINT[n] for n in node.element.names if n in _HINT)
+        # the innermost element that tells an article from its surroundings
+        telling = own or tag in ("article", "main", "nav", "header", "footer", "aside", "form", "menu", "dialog", "search")
+        found = known[node.way] = _Around(
+            found.tags | {tag} if tag in _TELLING or tag in EMBEDDED else found.tags, found.hints | own, own or found.near,
+            "+".join([tag if tag in _TELLING else "x", *sorted(own)]) if telling else found.scope, found.hidden or node.element.hidden)
+    return found
+
+
+def _own(block: Block, around: _Around, in_article: bool) -> list[str]:
     """Features of a block by itself."""
-    tags = [e.tag for e in block.path]
-    out = ["one", "parent:" + (tags[-1] if tags else "none")]
-    out += ["in:" + t for t in {*tags} & (_TELLING | EMBEDDED)]
-    hints = [{_HINT[n] for n in e.names if n in _HINT} for e in block.path]
-    out += ["hint:" + h for h in set().union(*hints)]
-    nearest = next((h for h in reversed(hints) if h), ())
-    out += ["near:" + h for h in nearest]
-    # the innermost element that tells an article from its surroundings
-    for e, h in zip(reversed(block.path), reversed(hints)):
-        if e.tag in ("article", "main", "nav", "header", "footer", "aside", "form", "menu", "dialog", "search") or h:
-            out.append("scope:" + "+".join([e.tag if e.tag in _TELLING else "x", *sorted(h)]))
-            break
-    else:
-        out.append("scope:none")
+    out = ["one", "parent:" + (block.at.element.tag if block.at else "none")]
+    out += ["in:" + t for t in sorted(around.tags)]
+    out += ["hint:" + h for h in sorted(around.hints)]
+    out += ["near:" + h for h in sorted(around.near)]
+    out.append("scope:" + around.scope)
     if in_article:
-        out.append("page has article, " + ("inside" if {"article", "main"} & {*tags} else "outside"))
+        out.append("page has article, " + ("inside" if {"article", "main"} & around.tags else "outside"))
     else:
-        out.append("page has none, " + ("named" if "main" in set().union(*hints) else "unnamed"))
-    if any(e.hidden for e in block.path):
+        out.append("page has none, " + ("named" if "main" in around.hints else "unnamed"))
+    if around.hidden:
         out.append("hidden")
     text, n = block.text, len(block.text)
     out.append(f"length:{_bin(n, (12, 30, 80, 200, 500))}")
@@ -78,10 +97,13 @@ def _own(block: Block, in_article: bool) -> list[str]:
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """The names of the features that hold for each block."""
-    in_article = any(e.tag in ("article", "main") for b in blocks for e in b.path)
-    out, n = [_own(b, in_article) for b in blocks], len(blocks)
+    known: dict[int, _Around] = {}
+    arounds = [_around(b.at, known) for b in blocks]
+    in_article = any({"article", "main"} & a.tags for a in arounds)
+    out, n = [_own(b, a, in_article) for b, a in zip(blocks, arounds)], len(blocks)
+    parents = [b.at.parent.way if b.at and b.at.parent else 0 for b in blocks]
     for i, block in enumerate(blocks):
-        out[i].append("first" if i == 0 else "same as before" if blocks[i - 1].path[:-1] == block.path[:-1] else "other than before")
+        out[i].append("first" if i == 0 else "same as before" if parents[i - 1] == parents[i] else "other than before")
         if i + 1 < n:
             out[i].append(f"next length:{_bin(len(blocks[i + 1].text), (30, 200))}")
         else:

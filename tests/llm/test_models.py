@@ -1,5 +1,7 @@
 """Language identification and main-text extraction: held-out accuracy, rules and edges."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -146,3 +148,18 @@ def test_quotes_hold_values_only_behind_an_equals_sign():
     texts = lambda html: [b.text for b in blocks_of(html)]
     assert texts("<p data-x=it's>Hello, <b>world</b> is here.</p><p>We don't know.</p><p>Last</p>") == ["Hello, world is here.", "We don't know.", "Last"]
     assert texts('<p title="5" wide">Hello world.</p><p a="x>y" b=\'>\'>t</p><p c=>u</p>') == ["Hello world.", "t", "u"]
+
+
+def test_paths_cost_what_the_page_holds():
+    for html, count in (("<div class=nav>a" * 50_000, 50_000), ("<div><object>a" * 20_000, 20_000), ("<b>a" * 50_000, 1), ("<div>a</span></p>" * 20_000, 20_000)):
+        start = time.perf_counter()
+        found = blocks_of(html)
+        html_extract.features(found)
+        assert len(found) == count and time.perf_counter() - start < 10
+
+
+def test_a_block_lies_in_the_embedded_elements_that_hold_all_of_it():
+    tags = lambda html: [[e.tag for e in b.path] for b in blocks_of(html)]
+    assert tags("<p><object>a<svg>b</svg></object></p>") == [["p", "object"]]
+    assert tags("<div><object><div>a</div>b</object>c</div>") == [["div", "object", "div"], ["div"]]
+    assert tags("x<object>y<div>z") == [[], ["object", "div"]]
