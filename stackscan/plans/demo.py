@@ -143,6 +143,24 @@ def decorate(pages: DataFrame) -> DataFrame:
     })
 
 
+#: Text that states versions: (condition, piece before the number, number), written so that Spark and the oracle read the same.
+VERSIONED = [
+    ("page_id % 5 = 0", '<script src="/lib/1.5/drupal.js?', "'7.' || (page_id % 9)"),
+    ("page_id % 6 = 0", '<script src="/WP-includes/js/wp-embed.min.js?ver=', "'5.' || (page_id % 8) || '.2'"),
+    ("page_id % 10 = 3", '<script src="/media/Joomla.js?', "'3.' || (page_id % 7)"),
+    ("page_id % 7 = 2", '<script src="/moodle/lib/javascript.js?', "'4.' || (page_id % 6)"),
+    ("page_id % 7 = 4", '<script src="/moodle/lib/javascript.js?', "'rev' || page_id"),
+]
+VERSIONED_HTML = "html || " + " || ".join(
+    f"CASE WHEN {when} THEN '{before}' || {number} || '\"></script>' ELSE '' END" for when, before, number in VERSIONED)
+
+
+def versioned_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages with text that states versions, and a global that only some of them set."""
+    pages = demo_pages(spark, sf).withColumn("html", F.expr(VERSIONED_HTML))
+    return pages.withColumn("js_objects", F.map_concat("js_objects", F.create_map(F.lit("webpackChunkcanvas_lms"), F.col("page_id") % 2 == 1)))
+
+
 def demo_pages(spark: SparkSession, sf: str) -> DataFrame:
     return decorate(raw_pages(spark, sf))
 
@@ -315,6 +333,22 @@ facts AS (
 version_facts AS (SELECT * FROM facts WHERE value <> '')"""
 
 
+# All version facts of ``versioned_pages``: what the page shows first, then what its text states.
+ALL_FACTS_SQL = r"""
+shown AS (
+  SELECT page_id, key, value FROM version_facts
+  UNION ALL SELECT page_id, 'drupal', regexp_extract(arg_min(src, pos), '(\d+\.\d+)', 1) FROM scripts WHERE contains(src, 'drupal.js') AND page_id % 4 = 1 GROUP BY page_id
+  UNION ALL SELECT page_id, 'canvas', arg_min(value, pos) FROM metas WHERE key = 'canvas-environment' AND page_id % 2 = 1 GROUP BY page_id
+),
+stated AS (
+  SELECT page_id, 'wordpress' AS key, regexp_extract(html, '(?i)wp-includes/js/wp-embed\.min\.js\?ver=(\d+\.\d+(?:\.\d+)?)', 1) AS value FROM dp
+  UNION ALL SELECT page_id, 'drupal', regexp_extract(html, '(?i)drupal\.js\?(\d+\.\d+)', 1) FROM dp
+  UNION ALL SELECT page_id, 'joomla', regexp_extract(html, '(?i)joomla\.js\?(\d+\.\d+)', 1) FROM dp
+  UNION ALL SELECT page_id, 'moodle', regexp_extract(html, '(?i)moodle/lib/javascript\.js\?(\d+\.\d+)', 1) FROM dp
+),
+all_facts AS (SELECT * FROM shown UNION ALL SELECT * FROM stated ANTI JOIN shown USING (page_id, key) WHERE value <> '')"""
+
+
 # A library of real size, two signatures per part: (condition, kind, key, pattern), written so that
 # Spark and the oracle read the same text. Some hit most pages, most hit none.
 LARGE = [
@@ -353,6 +387,12 @@ def large_matches_sql() -> str:
     return f"lib AS ({rows}),{evidence_sql()},{_MATCHES_SQL}"
 
 
+def versioned_sql() -> str:
+    """``PAGES_SQL`` over ``versioned_pages``."""
+    return PAGES_SQL.replace("dp AS (", "plain AS (", 1).replace(
+        "dom AS (", f"dp AS (SELECT * REPLACE ({VERSIONED_HTML} AS html) FROM plain),\ndom AS (", 1)
+
+
 def evidence_sql() -> str:
     return ",".join([PAGES_SQL, SCRIPTS_SQL, META_SQL, STRINGS_SQL, CRAWLER_SQL, EVIDENCE_SQL])
 

@@ -9,6 +9,7 @@ from stackscan.functions import urls
 from stackscan.functions.columns import unnest
 from stackscan.model import ScanConfig
 from stackscan.operators import frontier
+from stackscan.operators.candidates import shared_folder
 from stackscan.operators.evidence import long_evidence
 from stackscan.plans import demo, scan
 from stackscan.sources import snapshots
@@ -80,6 +81,13 @@ def version_facts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", F.col("e.key").alias("product"), F.col("e.value").alias("version"))
 
 
+def all_version_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Version facts of every product, shown by the page or stated in its text."""
+    evidence = demo.extract_evidence(demo.versioned_pages(spark, sf), demo.CONFIG)
+    rows = unnest(evidence, ["page_id"], F.map_entries("version_info"), "e")
+    return rows.select("page_id", F.col("e.key").alias("product"), F.col("e.value").alias("version"))
+
+
 def api_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     return _evidence(spark, sf).select("page_id", _list("api_endpoints").alias("endpoints"))
 
@@ -197,6 +205,24 @@ def linked_scan(spark: SparkSession, sf: str) -> DataFrame:
                             _list("inferred_stack.inferences").alias("inferences"))
 
 
+def snapshot_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a snapshot in two files, read back: records that do not parse or name no technology
+    are skipped, missing companions give empty HTML."""
+    n, label = F.col("page_id"), F.element_at(F.array(*map(F.lit, ("WordPress", "Drupal", "Canvas LMS", "PHP"))), (F.col("page_id") % 4 + 1).cast("int"))
+    stem = F.concat(urls.tech_slug(label), F.lit("/page-"), n.cast("string"))
+    record = F.to_json(F.struct(
+        F.when(n % 13 != 5, label).alias("technology"), "url", (F.lit(200) + n % 3).cast("int").alias("response_status"),
+        F.concat(F.lit("tests/"), stem, F.lit(".html")).alias("html_file"),
+        F.struct(F.create_map(F.lit("server"), F.concat(F.lit("s"), n % 5)).alias("headers")).alias("evidence")))
+    files = F.array(F.struct(F.concat(stem, F.lit(".json")).alias("path"), F.when(n % 11 == 3, F.substring(record, 1, 40)).otherwise(record).alias("text")),
+                    F.struct(F.concat(stem, F.lit(".html")).alias("path"), F.when(n % 6 != 5, F.col("html")).alias("text")))
+    folder = shared_folder(spark, "snapshots")
+    snapshots.write_files(demo.raw_pages(spark, sf).select(F.inline(files)), folder)
+    return snapshots.read_snapshots(spark, folder).select(
+        "technology", "url", "response_status", "html_file", F.col("evidence.headers")["server"].alias("server"),
+        F.char_length("html").cast("long").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
 def snapshot_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as labelled snapshots: cut cookie values and probe bodies, file names, own-match flag."""
     e = _evidence(spark, sf).withColumns({
@@ -219,7 +245,7 @@ QUERIES = {f.__name__: f for f in (
     page_source, script_evidence, meta_evidence, header_evidence, cookie_evidence, dom_strings, element_flags, js_globals,
     network_hosts, version_facts, api_endpoints, link_evidence, long_evidence_counts, url_parts, url_admission, rejected_urls,
     strategic_links, fallback_links, excluded_pages, page_budget, unscanned_links, derived_candidates, reachable_derived,
-    probe_targets, probe_pool, linked_scan, snapshot_rows)}
+    probe_targets, probe_pool, linked_scan, snapshot_rows, snapshot_source, all_version_facts)}
 
 # ``links``: anchors of the pages with position, address and text.
 LINKS_SQL = rf"""
@@ -318,6 +344,12 @@ def oracles() -> dict[str, str]:
   || '|jqueryPresent=' || (n % 2 = 0) || '|reactRoot=' || (n % 9 = 0) || '|slateContainer=false|vueApp=false|wpContent=false' AS flags FROM dp""",
         "js_globals": f"{base} SELECT page_id, 43 AS recorded, CASE WHEN n % 9 = 0 THEN 'D2L' ELSE '' END AS present FROM dp",
         "network_hosts": f"{base},{demo.CRAWLER_SQL} SELECT page_id, string_agg(value, '|' ORDER BY ord) AS hosts FROM crawler WHERE kind = 'network' GROUP BY page_id",
+        "all_version_facts": f"""WITH {demo.versioned_sql()},
+{demo.SCRIPTS_SQL},{demo.META_SQL},{demo.FACTS_SQL},{demo.ALL_FACTS_SQL} SELECT page_id, key AS product, value AS version FROM all_facts""",
+        "snapshot_source": """SELECT CASE page_id % 4 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'Drupal' WHEN 2 THEN 'Canvas LMS' ELSE 'PHP' END AS technology, url,
+  CAST(200 + page_id % 3 AS INTEGER) AS response_status, 'tests/' || CASE page_id % 4 WHEN 0 THEN 'wordpress' WHEN 1 THEN 'drupal' WHEN 2 THEN 'canvas-lms' ELSE 'php' END
+    || '/page-' || page_id || '.html' AS html_file, 's' || (page_id % 5) AS server, CAST(length(shown) AS BIGINT) AS n_chars, md5(shown) AS html_md5
+FROM (SELECT *, coalesce(CASE WHEN page_id % 6 <> 5 THEN html END, '') AS shown FROM pages) WHERE page_id % 11 <> 3 AND page_id % 13 <> 5""",
         "version_facts": f"{base},{demo.SCRIPTS_SQL},{demo.META_SQL},{demo.FACTS_SQL} SELECT page_id, key AS product, value AS version FROM version_facts",
         "api_endpoints": f"""{base}, found AS (
   SELECT page_id, 0 AS part, '/api/v1/items/1' AS e FROM dp WHERE n % 4 = 1 UNION ALL SELECT page_id, 1, '/wp-json/wp/v2/x' FROM dp WHERE n % 4 = 1

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,27 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return joined.withColumns({"html": F.coalesce("html", F.lit("")), "ord": F.col("path")}).drop("place")
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """The ``text`` of every row as the file ``path`` below ``folder``, which all executors share.
+
+    A file is written under a hidden name and moved into place when it is complete: a lost task leaves
+    no half file, and its next attempt replaces what is there. Rows without a text make no file.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
+                place, name = f"{root}/{path}".rsplit("/", 1)
+                hidden = f"{place}/.{name}-{uuid.uuid4().hex}"
+                store.create_dir(place, recursive=True)
+                with store.open_output_stream(hidden) as out:
+                    out.write(text.encode())
+                store.move(hidden, f"{place}/{name}")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("path", "text").filter("text is not null").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def snapshot_rows(captures: DataFrame, min_confidence: int = 30) -> DataFrame:
     """Snapshot rows from captured pages, with long values cut.
 

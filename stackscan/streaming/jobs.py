@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -107,24 +108,40 @@ def first_scans(scans: DataFrame, ttl_seconds: int = 24 * 3600, delay: str = "1
             GroupStateTimeout.EventTimeTimeout))
 
 
-def _compare(keep_seconds: int):
-    """State function: compare each scan of one URL with the names kept from the scan before."""
+def _compare(keep_seconds: int, rows_at_once: int = 10_000):
+    """State function: compare each scan of one URL with the names kept from the scan before.
+
+    Of a scan it keeps when it was, its id, and the number of its set of names, a few bytes; the sets
+    themselves are held once each, and events leave in chunks.
+    """
 
     def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        scans = pd.concat(list(batches)).sort_values(["timestamp", "scan_id"])
-        last = set(state.get[0]) if state.exists else None
+        numbers: dict[frozenset, int] = {}
+        times, ids, held = [], [], []
+        for batch in batches:
+            times.append(batch["timestamp"].to_numpy("datetime64[us]"))
+            ids.append(batch["scan_id"].to_numpy())
+            found = (frozenset(() if names is None else names) for names in batch["technologies"])
+            held.append(np.fromiter((numbers.setdefault(names, len(numbers)) for names in found), np.int32, len(batch)))
+        order = pd.DataFrame({"t": np.concatenate(times), "id": np.concatenate(ids)}).sort_values(["t", "id"]).index.to_numpy()
+        when, which = np.concatenate(times)[order], np.concatenate(held)[order]
+        sets = list(numbers)
+        # the scans whose set differs from that of the scan before
+        changed = np.flatnonzero(np.diff(which)) + 1
+        pairs = [(0, frozenset(state.get[0]))] if state.exists else []
         rows = []
-        for when, names in zip(scans["timestamp"], scans["technologies"]):
-            now = set(names)
-            if last is not None:
-                rows += [(key[0], when, "added", t) for t in sorted(now - last)]
-                rows += [(key[0], when, "removed", t) for t in sorted(last - now)]
-            last = now
-        state.update((sorted(last),))
-        _expire(state, int(scans["timestamp"].iloc[-1].value) // 1000, keep_seconds)
+        for at, before in chain(pairs, ((i, sets[which[i - 1]]) for i in changed)):
+            now = sets[which[at]]
+            rows += [(key[0], when[at], "added", t) for t in sorted(now - before)]
+            rows += [(key[0], when[at], "removed", t) for t in sorted(before - now)]
+            if len(rows) >= rows_at_once:
+                yield pd.DataFrame(rows, columns=["url", "timestamp", "type", "technology"])
+                rows = []
+        state.update((sorted(sets[which[-1]]),))
+        _expire(state, int(when[-1].astype("int64")), keep_seconds)
         if rows:
             yield pd.DataFrame(rows, columns=["url", "timestamp", "type", "technology"])
 

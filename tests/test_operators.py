@@ -231,3 +231,13 @@ def test_change_sets_need_both_scans(spark):
     rows = lambda *r: spark.createDataFrame(r, "url string, tech string")
     got = history.change_sets(rows(("u", "a"), ("u", "b"), ("v", "a")), rows(("u", "b"), ("u", "c"), ("w", "x")))
     assert {tuple(r) for r in got.collect()} == {("u", "a", "removed"), ("u", "b", "unchanged"), ("u", "c", "added")}
+
+
+def test_files_are_written_whole_and_again(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    rows = spark.createDataFrame([("a/x.json", "{}"), ("a/x.html", "é\n"), ("b/empty.html", ""), ("b/none.html", None)], "path string, text string")
+    for _ in range(2):
+        snapshots.write_files(rows, folder)
+    found = {str(p.relative_to(folder)): p.read_text() for p in (tmp_path / "files").rglob("*") if p.is_file()}
+    assert found == {"a/x.json": "{}", "a/x.html": "é\n", "b/empty.html": ""}
+    snapshots.write_files(rows.limit(0), folder)

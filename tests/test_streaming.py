@@ -50,3 +50,16 @@ def test_statistics_over_batches(spark, tmp_path):
     got = history.stats_from_urls(jobs.running_urls(spark, store)).collect()
     want = history.technology_stats(spark.read.parquet(folder)).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_changes_of_a_url_with_many_scans_in_one_batch(spark, tmp_path):
+    folder, n = str(tmp_path / "in"), 300_000
+    names = F.when(F.col("id") % 1000 < 500, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("c")))
+    spark.range(n).select(
+        (n - F.col("id")).alias("scan_id"), F.lit("u").alias("url"), F.timestamp_seconds(F.lit(START) + F.col("id")).alias("timestamp"),
+        F.when(F.col("id") == 0, F.lit(None)).otherwise(names).alias("technologies")).repartition(4, "scan_id").write.parquet(folder)
+    frame = jobs.change_stream(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder))
+    rows = run(spark, frame, str(tmp_path))
+    got = sorted((int(r.timestamp.timestamp()) - START, r.type, r.technology) for r in rows)
+    turns = [(i, kind, name) for i in range(500, n, 500) for kind, name in ((("added", "c"), ("removed", "a")) if i % 1000 else (("added", "a"), ("removed", "c")))]
+    assert got == [(1, "added", "a"), (1, "added", "b"), *turns]
