@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stackscan.llm import token_ids
 from stackscan.llm.common import kept
@@ -71,13 +72,15 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss: str, limits:
     """``examples`` with sequence_id and offset, the tokens before it in its sequence.
 
     ``tokens`` and ``loss`` name the sizes (null: 0). Examples are dealt by the hash of ``key`` (its rows stay
-    in one group) into groups of about ``group`` examples; ids of sequences are unique and gapless within
+    in one group, but those without a key are spread) into groups of about ``group`` examples; ids of sequences are unique and gapless within
     a group, whose number stands in the upper 32 bits. Rows equal in all columns may change places. Columns
     named sequence_id or offset are replaced. An empty table gives an empty result.
     """
     rows = kept(examples.drop("sequence_id", "offset"))
     groups = max(1, -(-rows.count() // group))
-    keyed = rows.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("g"), F.col(tokens).cast("long").alias("t"),
+    # rows without a key are dealt by their place in the table as it was written
+    dealt = F.when(F.col(key).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(key))
+    keyed = rows.select(F.pmod(dealt, F.lit(groups)).alias("g"), F.col(tokens).cast("long").alias("t"),
                         F.col(loss).cast("long").alias("l"), F.struct("*").alias("row"), F.xxhash64(*rows.columns).alias("h"))
 
     def packed(table: pa.Table) -> pa.Table:
@@ -92,8 +95,9 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss: str, limits:
         base = table["g"][0].as_py() << 32 if table.num_rows else 0
         return pa.table({"row": table["row"], "sequence_id": pa.array(sequence + base), "offset": pa.array(offset)})
 
-    kind = keyed.schema["row"].dataType.simpleString()
-    return (keyed.groupBy("g").applyInArrow(packed, f"row {kind}, sequence_id bigint, offset bigint")
+    # the type itself, not its name: fields that are never null must be said to be so
+    schema = StructType([keyed.schema["row"]]).add("sequence_id", "long").add("offset", "long")
+    return (keyed.groupBy("g").applyInArrow(packed, schema)
             .select("row.*", "sequence_id", "offset"))
 
 

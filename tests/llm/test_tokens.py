@@ -260,3 +260,14 @@ def test_vocabularies_that_mix_white_space(tmp_path):
     for text in SPACES + wild(2000, seed=9):
         assert codec.encode(text).tolist() == reference.encode_ordinary(text), repr(text)
         assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_examples_without_a_key_are_spread(spark):
+    rows = spark.range(900).selectExpr("IF(id % 3 = 0, NULL, id) AS k", "CAST(id % 50 + 1 AS INT) AS t", "1 AS l")
+    same = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS k", "7 AS t", "1 AS l")
+    for table in (rows, same):
+        found = packing.pack_examples(table, "k", "t", "l", (100, 10, 100), group=100)
+        placed = found.selectExpr("sequence_id >> 32 AS g", "*").toPandas()
+        assert placed[placed["k"].isna()].groupby("g").size().max() < 160
+        assert sorted(placed["t"]) == sorted(r.t for r in table.collect())
+        assert placed.groupby("sequence_id")["t"].agg(["sum", "size"]).max().tolist() <= [100, 10]
