@@ -16,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackscan.llm.common import salt_of
+
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4, 5), 8
 #: Bound of the training sample: documents of each language, and windows of each document.
 DOCUMENTS, WINDOWS = 500, 4
+#: A language's documents are ranked in this many parts.
+SALTS = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Windows that are convolved at a time, so that intermediate values stay in the processor's cache.
@@ -136,8 +140,11 @@ def training_windows(labelled: DataFrame, documents: int = DOCUMENTS, windows: i
     """(language, window) of at most ``documents`` documents per language, those with the smallest hash of id
     and language, and at most ``windows`` windows of each, spread over its whole text; in a fixed order."""
     named = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id"))
-    chosen = named.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= documents).select("doc_id", "lang")
+    chosen = named.select("doc_id", "lang").distinct().withColumn("salt", salt_of("doc_id", SALTS))
+    for within in (["lang", "salt"], ["lang"]):  # first of each salt, so that no task gets a whole language
+        rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.xxhash64("doc_id", "lang"), "doc_id"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= documents)
+    chosen = chosen.select("doc_id", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

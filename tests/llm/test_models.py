@@ -163,3 +163,10 @@ def test_a_block_lies_in_the_embedded_elements_that_hold_all_of_it():
     assert tags("<p><object>a<svg>b</svg></object></p>") == [["p", "object"]]
     assert tags("<div><object><div>a</div>b</object>c</div>") == [["div", "object", "div"], ["div"]]
     assert tags("x<object>y<div>z") == [[], ["object", "div"]]
+
+
+def test_the_sample_is_the_smallest_hashes_of_each_language(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('word number ', id) AS text", "IF(id % 3 = 0, 'a', 'b') AS lang")
+    ranked = docs.selectExpr("lang", "text", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id, lang), doc_id) AS r").where("r <= 20")
+    want = sorted((r.lang, language_id.windows_of(r.text)[0].tobytes()) for r in ranked.collect())
+    assert language_id.training_windows(docs, 20, 1) == want
