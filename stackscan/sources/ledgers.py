@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from stackscan.model import LEDGER_COLUMNS, REFERENCE_LEDGER_COLUMNS
 
 
+#: Rows in one file: a file with line breaks in its cells is read by one task.
+FILE_ROWS = 100_000
+
+
 def read_ledger(spark: SparkSession, path: str, columns: tuple[str, ...] = LEDGER_COLUMNS) -> DataFrame:
     """A quoted CSV ledger; quoted cells may hold commas, doubled quotes and line breaks."""
     schema = ", ".join(f"{c} string" for c in columns)
@@ -20,5 +24,6 @@ def read_reference_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ledger(rows: DataFrame, path: str, columns: tuple[str, ...] = LEDGER_COLUMNS) -> None:
-    (rows.select(*columns).write.mode("overwrite").option("header", True).option("quote", '"')
+    """A quoted CSV ledger in files of at most ``FILE_ROWS`` rows, so that no task reads the whole."""
+    (rows.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("quote", '"')
      .option("escape", '"').option("emptyValue", "").csv(path))
