@@ -23,7 +23,8 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
     A record's ``html_file`` names its companion; its last two parts, technology folder and file,
     find it below ``folder``. Files that do not parse are skipped; a missing companion gives empty
-    HTML. ``ord`` is the path, which orders the snapshots.
+    HTML. ``ord`` is the path, which orders the snapshots. The folders are what Spark is given, not the
+    files: those it lists folder by folder, instead of one by one as so many tables.
     """
     def place(path: Column) -> Column:
         return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1)
@@ -31,7 +32,7 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     schema = f"{SNAPSHOT_SCHEMA}, _corrupt string"
     parsed = (
         spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/*/*.json")
+        .option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/*/", pathGlobFilter="*.json")
         .withColumn("path", F.input_file_name()))
     good = parsed.filter("_corrupt is null and technology is not null").drop("_corrupt")
     html = spark.read.text(f"{folder}/*/", wholetext=True, pathGlobFilter="*.html").select(
@@ -48,11 +49,14 @@ def write_files(files: DataFrame, folder: str) -> None:
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        made: set[str] = set()
         for batch in batches:
             for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
                 place, name = f"{root}/{path}".rsplit("/", 1)
                 hidden = f"{place}/.{name}-{uuid.uuid4().hex}"
-                store.create_dir(place, recursive=True)
+                if place not in made:
+                    store.create_dir(place, recursive=True)
+                    made.add(place)
                 with store.open_output_stream(hidden) as out:
                     out.write(text.encode())
                 store.move(hidden, f"{place}/{name}")

@@ -180,6 +180,27 @@ def test_ledger_csv_round_trip(spark, tmp_path):
     assert [(r.technology, r.notes, r.status) for r in back] == [("T", 'a "b", c\nd', "")]
 
 
+def test_ledger_csv_is_cut_into_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledgers, "FILE_ROWS", 10)
+    rows = spark.range(25).coalesce(1).selectExpr("cast(id as string) as technology", "'said \"x\",\nnext' as notes")
+    full = rows.withColumns({c: F.lit("") for c in ledgers.LEDGER_COLUMNS if c not in rows.columns})
+    ledgers.write_ledger(full, str(tmp_path / "l"))
+    assert len(list((tmp_path / "l").glob("*.csv"))) == 3
+    back = ledgers.read_ledger(spark, str(tmp_path / "l")).collect()
+    assert sorted((int(r.technology), r.notes) for r in back) == [(i, 'said "x",\nnext') for i in range(25)]
+
+
+def test_snapshot_files_are_listed_by_folder(spark, tmp_path):
+    for tool in ("a", "b"):
+        (tmp_path / tool).mkdir()
+        for i in range(20):
+            (tmp_path / tool / f"p{i}.json").write_text(json.dumps({"technology": tool, "url": f"https://{tool}{i}.org"}))
+    rows = snapshots.read_snapshots(spark, str(tmp_path))
+    assert rows.count() == 40
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "(2 paths)" in plan and "(40 paths)" not in plan
+
+
 def test_snapshot_files(spark, tmp_path):
     folder = tmp_path / "evidence" / "tool"
     folder.mkdir(parents=True)
