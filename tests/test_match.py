@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stackscan.model import ScanConfig
-from stackscan.operators.candidates import candidate_rows
-from stackscan.operators import match
+from stackscan.operators.candidates import Part, candidate_rows
+from stackscan.operators import candidates, match
 from stackscan.operators.match import detect, matched_signatures, signature_matches
 from stackscan.sources.signatures import compile_library, signature_rows
 
@@ -158,3 +159,37 @@ def test_no_patterns_and_null_evidence(spark):
     frame = match.with_evidence_columns(spark.createDataFrame([(1, None)], "page_id long, html string"))
     searched = match.evidence_texts({"html", "meta"}) | match._entry_texts({"html", "meta"})
     assert frame.select(F.size(candidate_rows(lib.patterns, ["ord"], searched, match._present_globals())).alias("n")).collect()[0].n == 0
+
+
+def test_a_worker_holds_a_bounded_number_of_candidates(monkeypatch):
+    wanted = [[{"where": "html", "terms": [[f"word{i % 4}"]]}] for i in range(40)]
+    parts = [Part(wanted[:15]), Part(wanted[15:])]
+    texts = [" ".join(f"WORD{j}" for j in range(i % 5)) for i in range(30)]
+    batch = (pa.array(texts), pa.array([None] * 30, pa.list_(pa.string())))
+
+    def found(numbers, ends):
+        return [numbers[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+    def search(at, pages):
+        return candidates._numbers(iter(parts), batch, ["html"], at, pages, [15, 25], False)
+
+    whole = [found(*its) for its in search(0, 30)[1]]
+    for room in (1, 50, 90):
+        monkeypatch.setattr(candidates, "NUMBERS", room)
+        at, pieces = 0, [[], []]
+        while at < 30:
+            pages, its = search(at, 30 - at)
+            assert pages == 1 or sum(len(numbers) for numbers, _ in its) <= room
+            for piece, one in zip(pieces, its):
+                piece += found(*one)
+            at += pages
+        assert pieces == whole and at == 30
+
+
+def test_candidates_are_handed_over_a_few_pages_at_a_time(spark):
+    lib = library(spark, [("T", "html", None, f"word{i % 3}|x{i}") for i in range(300)])
+    frame = spark.range(200, numPartitions=1).selectExpr("id as page_id", "'word0 word1 word2' as html")
+    found = frame.select("page_id", candidate_rows(lib.patterns, ["ord"], {"html": F.col("html")}, F.array().cast("array<string>"), part=70).alias("c"))
+    rows = found.select("page_id", F.size("c").alias("n"), (F.array_sort("c") == F.col("c")).alias("sorted")).collect()
+    assert [(r.page_id, r.n, r.sorted) for r in rows] == [(i, 300, True) for i in range(200)]
+    assert 200 * 300 > 2 * candidates.HANDED
