@@ -35,7 +35,7 @@ LONG_CHUNK, LONG_WINDOW = 64, 256
 #: A link's number is the first id times this, plus the second id.
 STEP = 1 << 15
 #: Letters of the texts that are aligned at a time, about.
-PORTION = 1 << 22
+PORTION = 1 << 21
 
 
 def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[bytes, str]:
@@ -151,7 +151,9 @@ class Aligner:
 
     def _ids_of(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
         """The ids of each part. A part met before is looked up; new ones go to both libraries together."""
-        self.chunks.turn(CHUNKS)
+        # what the encoder remembers of new parts is bounded here: only its ``encode`` does so, which words do not reach
+        for memo in (self.chunks, self.encoder.pieces, self.encoder.spaced):
+            memo.turn(CHUNKS)
         chunks, older = self.chunks, self.chunks.older
         new = [p for p in parts if p not in chunks and p not in older]
         fresh = dict(zip(new, self.both(new)))

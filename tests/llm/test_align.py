@@ -133,3 +133,12 @@ def test_links_are_bounded_by_the_vocabularies(spark):
     ends_a = Counter(own.bytes_a)
     most = sum(ends_b[a[i:]] for a in own.bytes_a for i in range(len(a))) + sum(ends_a[b[i:]] for b in own.bytes_b for i in range(1, len(b)))
     assert most < 1_000_000
+
+
+def test_what_an_aligner_remembers_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_anchors, "CHUNKS", 100)
+    own = token_anchors.Aligner(JSON, MODEL)
+    for i in range(40):
+        own.align([" ".join(f"word{chr(97 + j)}{chr(97 + i % 26) * (1 + i // 26)}, x{i}-{j}" for j in range(26))])
+    for memo in (own.chunks, own.encoder.pieces, own.encoder.spaced):
+        assert len(memo) + len(memo.older) <= 400
