@@ -2,9 +2,10 @@
 
 Both tokenizers cut the same bytes, a space and the text. After full tokenisation the places where tokens
 of both end are the shared ends. A shared end before a token that both sides mark with a space is an
-anchor; anchors split a document into windows, about one word each. What a window's ids align to
-depends on the ids alone, so a worker remembers it by the two id tuples; words repeat, so most windows
-are looked up. The shared ends inside a window cut it into groups, and the last tokens of a group are linked.
+anchor. Where neither side joins what a single space divides, every such space follows an anchor, and
+these anchors split a document into parts, one word each. What a part's ids are and align to depends on the part
+alone, so a portion of texts looks at each different part once, at all of them together, and a worker
+remembers the ids of parts. The shared ends inside a part cut it into groups, and the last tokens of a group are linked.
 
 Counts over the corpus need a second step: links are written once, as one array of numbers per document,
 and counted by Spark. How many different links there are is bounded by the two vocabularies, whatever the
@@ -15,8 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackscan.llm.common import stored
-from stackscan.llm.token_ids import MIXED, ChunkEncoder, _Memo
-
-#: Most chunks of text and most windows that a worker remembers of the newest; as many older ones stay.
-CHUNKS, WINDOWS = 250_000, 250_000
-#: Chunks of more letters and windows of more bytes of ids than these are not remembered.
-LONG_CHUNK, LONG_WINDOW = 64, 256
+from stackscan.llm.token_ids import MIXED, ChunkEncoder
+
+#: Most parts of texts whose ids a worker remembers. A memo of its encoder begins anew behind an eighth as many.
+CHUNKS = 250_000
+#: Parts of more letters than this are not remembered.
+LONG_CHUNK = 64
+#: New parts go to the two libraries in windows of at most this many, which end behind so many letters.
+WINDOWS, LONG_WINDOW = 20_000, 1 << 18
 #: A link's number is the first id times this, plus the second id.
 STEP = 1 << 15
 #: Letters of the texts that are aligned at a time, about.
 PORTION = 1 << 21
 
 
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[bytes, str]:
-    """A window's groups: (ids of a before its end, ids of b before its end, link) of each, packed, and as text."""
-    packed, groups, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    ahead, n, m = 0, len(a), len(b)  # bytes of a minus bytes of b so far
-    while i < n or j < m:
-        if j == m or i < n and ahead <= 0:
-            ahead += size_a[a[i]]
-            i += 1
-        else:
-            ahead -= size_b[b[j]]
-            j += 1
-        if not ahead:
-            packed += i, j, a[i - 1] * STEP + b[j - 1]
-            left = str(a[from_a]) if i - from_a == 1 else str(a[from_a:i])[1:-1]
-            groups.append(f"{left}|{b[from_b]}" if j - from_b == 1 else f"{left}|{str(b[from_b:j])[1:-1]}")
-            from_a, from_b = i, j
-    return array("i", packed).tobytes(), ";".join(groups).replace(" ", "")
-
-
 def _ends(sizes) -> np.ndarray:
     return np.r_[0, np.cumsum(np.asarray(sizes, np.int64))]
 
@@ -72,33 +56,73 @@ def _lists(ends: np.ndarray, values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
+class PartIds:
+    """Parts of texts, each once, and their ids on both sides; no ids where the bytes of either side are not the part's.
+
+    ``older`` says how many portions ago each part was last asked for. Arrow and numpy hold all, some 50 bytes a part.
+    """
+
+    def __init__(self, parts: pa.StringArray, sides: list[tuple[np.ndarray, np.ndarray]]):
+        self.parts, self.sides = parts, sides
+        self.older = np.zeros(len(parts), np.int32)
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def take(self, which: np.ndarray) -> PartIds:
+        sides = []
+        for ids, ends in self.sides:
+            at, after = _gather(ends, which)
+            sides.append((ids[at], after))
+        taken = PartIds(self.parts.take(pa.array(which)), sides)
+        taken.older = self.older[which]
+        return taken
+
+    def followed_by(self, *more: PartIds) -> PartIds:
+        some, sides = [self, *more], []
+        for side in zip(*[x.sides for x in some]):
+            sides.append((np.concatenate([ids for ids, _ in side]), _ends(np.concatenate([np.diff(ends) for _, ends in side]))))
+        both = PartIds(pa.concat_arrays([x.parts for x in some]), sides)
+        both.older = np.concatenate([x.older for x in some])
+        return both
+
+    def newest(self, most: int) -> PartIds:
+        """These parts, or three quarters of ``most``, those asked for last, where they are more than ``most``."""
+        if len(self) <= most:
+            return self
+        return self.take(np.sort(np.argsort(self.older, kind="stable")[:most * 3 // 4]))
+
+
 class Aligned:
-    """Some documents' ids on both sides, one document after the other, and the windows between their anchors.
+    """Some documents' ids on both sides, one document after the other, and the alignment of their parts.
 
     ``docs_a`` and ``docs_b`` hold the numbers of ids before each document, and of all at the end; ``docs``
-    likewise of windows, ``starts`` of ids before each window. ``which`` names each window's alignment in ``found``.
+    likewise of parts. ``which`` names each part's place among the different ones; of these, ``triples`` holds
+    the groups, ``after`` the groups before each, ``written`` the groups as text.
     """
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, docs_a: np.ndarray, docs_b: np.ndarray):
-        self.a, self.b, self.docs_a, self.docs_b = a, b, docs_a, docs_b
-        self.docs, self.which, self.found = np.zeros_like(docs_a), np.zeros(0, np.int64), []
-        self.starts = np.zeros((0, 2), np.int64)
+    def __init__(self, known: PartIds, which: np.ndarray, docs: np.ndarray):
+        self.which, self.docs = which, docs
+        self.starts, sides = [], []
+        for ids, ends in known.sides:
+            at, after = _gather(ends, which)
+            self.starts.append(after)
+            sides.append((ids[at], after[docs]))
+        (self.a, self.docs_a), (self.b, self.docs_b) = sides
+        self.triples, self.after, self.written = np.zeros((0, 3), np.int32), np.zeros(len(known) + 1, np.int64), pa.array([], pa.string())
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of a before its end, ids of b before its end, link) of every group, and the groups before each document."""
-        triples = np.frombuffer(b"".join([packed for packed, _ in self.found]), np.int32).reshape(-1, 3)
-        at, after = _gather(_ends([len(packed) // 12 for packed, _ in self.found]), self.which)
-        triples = triples[at]
-        triples[:, :2] += np.repeat(self.starts, np.diff(after), axis=0).astype(np.int32)
-        docs = after[self.docs]
-        for column, before in ((0, self.docs_a), (1, self.docs_b)):
-            triples[:, column] -= np.repeat(before[:-1], np.diff(docs)).astype(np.int32)
-        return triples, docs
+        at, after = _gather(self.after, self.which)
+        triples = self.triples[at]
+        parts = np.diff(self.docs)
+        for column, (starts, before) in enumerate(zip(self.starts, (self.docs_a, self.docs_b))):
+            triples[:, column] += np.repeat((starts[:-1] - np.repeat(before[:-1], parts)).astype(np.int32), np.diff(after))
+        return triples, after[self.docs]
 
     def texts(self) -> pa.Array:
         """The groups of every document as text."""
-        taken = pa.array([text for _, text in self.found], pa.string()).take(pa.array(self.which))
-        return pc.binary_join(_lists(self.docs, taken), ";")
+        return pc.binary_join(_lists(self.docs, self.written.take(pa.array(self.which))), ";")
 
 
 class Aligner:
@@ -116,31 +140,35 @@ class Aligner:
         self.bytes_b = [self._piece_bytes(i) for i in range(self.pieces.get_piece_size())]
         if len(self.bytes_a) * STEP >= 1 << 31 or len(self.bytes_b) > STEP:
             raise ValueError("a vocabulary is too large for the numbers of links")
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.sizes = np.array(self.size_a, np.int64), np.array(self.size_b, np.int64)
-        self.spaced = np.array([x[:1] == b" " for x in self.bytes_a]), np.array([x[:1] == b" " for x in self.bytes_b])
+        self.tables = [pa.array(x, pa.binary()) for x in (self.bytes_a, self.bytes_b)]
+        self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
+        # every id as text, before another id of its side in its group, the other side, another group, and the end
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        plain = pa.array(np.arange(self.most)).cast(pa.string())
+        self.numbers = pa.concat_arrays([pc.binary_join_element_wise(plain, mark, "") for mark in (",", "|", ";", "")])
         # no piece goes on behind a word's end, so the pieces of two words do not depend on each other
         self.by_word = not any("▁" in self.pieces.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
-        self.chunks: _Memo = _Memo(None)
-        self.windows = _Memo(self._window)
+        self.chunks = self._both([])
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _window(self, key: bytes) -> tuple[bytes, str]:
-        n, *ids = array("I", key).tolist()
-        return align_window(ids[:n], ids[n:], self.size_a, self.size_b)
-
-    def both(self, texts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
-        """Each text's ids on both sides, 32 bits each; () where the bytes of either differ from space and text."""
-        found = []
-        for text, ids in zip(texts, self.pieces.encode(texts, num_threads=1)):
-            a = self.encoder.new_chunk(text) if " " not in text else self.encoder.encode(" " + text)
-            same = b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + text.encode()
-            same = same and b"".join(map(self.bytes_a.__getitem__, array("I", a))) == b" " + text.encode()
-            found.append((a, array("I", ids).tobytes()) if same else ())
-        return found
+    def _both(self, parts: list[str]) -> PartIds:
+        """The parts' ids on both sides, none where the bytes of either differ from a space and the part."""
+        a = [self.encoder.new_chunk(p) if " " not in p else self.encoder.encode(" " + p) for p in parts]
+        b = self.pieces.encode(parts, num_threads=1)
+        known = PartIds(pa.array(parts, pa.string()), [
+            (np.frombuffer(b"".join(a), np.uint32).astype(np.uint16), _ends([len(x) // 4 for x in a])),
+            (np.fromiter(chain.from_iterable(b), np.uint16), _ends([len(x) for x in b]))])
+        want = pa.array([b" " + p.encode() for p in parts], pa.binary())
+        same = np.ones(len(parts), bool)
+        for table, (ids, ends) in zip(self.tables, known.sides):
+            spelled = pc.binary_join(_lists(ends, table.take(pa.array(ids))), b"")
+            same &= pc.equal(spelled, want).to_numpy(zero_copy_only=False)
+        if not same.all():
+            known.sides = [(ids[np.repeat(same, np.diff(ends))], _ends(np.diff(ends) * same)) for ids, ends in known.sides]
+        return known
 
     def _parts(self, text: str) -> list[str]:
         """The text cut at its single spaces, where neither side joins what these divide; else the whole."""
@@ -149,66 +177,74 @@ class Aligner:
             return [text]
         return text.split(" ")
 
-    def _ids_of(self, parts: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
-        """The ids of each part. A part met before is looked up; new ones go to both libraries together."""
+    def _new(self, parts: list[str]) -> Iterator[PartIds]:
+        """The ids of parts that are not remembered, for a bounded number of them, or one, at a time."""
+        begin = letters = 0
+        for n, part in enumerate(parts, 1):
+            letters += len(part)
+            if n - begin >= WINDOWS or letters >= LONG_WINDOW or n == len(parts):
+                yield self._both(parts[begin:n])
+                begin, letters = n, 0
+
+    def _ids_of(self, parts: pa.StringArray) -> PartIds:
+        """The ids of different parts. A part met before is looked up; new ones go to both libraries."""
         # what the encoder remembers of new parts is bounded here: only its ``encode`` does so, which words do not reach
-        for memo in (self.chunks, self.encoder.pieces, self.encoder.spaced):
-            memo.turn(CHUNKS)
-        chunks, older = self.chunks, self.chunks.older
-        new = [p for p in parts if p not in chunks and p not in older]
-        fresh = dict(zip(new, self.both(new)))
-        chunks.update((p, ids) for p, ids in fresh.items() if len(p) <= LONG_CHUNK)
-        return [fresh[p] if p in fresh else chunks[p] for p in parts]
-
-    def encode(self, texts: list[str]) -> Aligned:
-        """All ids of the texts on both sides, none of a text that is empty or not the same bytes on both sides."""
+        for memo in (self.encoder.pieces, self.encoder.spaced):
+            memo.turn(CHUNKS // 8)
+        place = pc.index_in(parts, self.chunks.parts)
+        fresh = np.flatnonzero(pc.is_null(place).to_numpy(zero_copy_only=False))
+        at = place.fill_null(-1).to_numpy().astype(np.int64)
+        self.chunks.older += 1
+        self.chunks.older[at[at >= 0]] = 0
+        held = self.chunks.followed_by(*self._new(parts.take(pa.array(fresh)).to_pylist()))
+        at[fresh] = np.arange(len(self.chunks), len(held))
+        found = held.take(at)
+        if len(fresh):
+            short = pc.utf8_length(held.parts).to_numpy() <= LONG_CHUNK
+            self.chunks = (held if short.all() else held.take(np.flatnonzero(short))).newest(CHUNKS)
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[PartIds, np.ndarray, np.ndarray]:
+        """The different parts of the texts, the place of each part of the texts among them, and the parts before
+        each text. No parts of a text that is empty or not the same bytes on both sides."""
         parts = [self._parts(t) if t else [] for t in texts]
         while True:
             numbered = pa.array([p for some in parts for p in some], pa.string()).dictionary_encode()
-            found, which = self._ids_of(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
+            known, which = self._ids_of(numbered.dictionary), numbered.indices.to_numpy()
             before = _ends([len(p) for p in parts])
-            if all(found):
-                break
+            lost = np.diff(known.sides[0][1]) == 0
+            if not lost.any():
+                return known, which, before
             # a part differs: its text is encoded whole, and left out if that differs, too
-            failed = _ends(np.array([not f for f in found])[which])[before]
+            failed = _ends(lost[which])[before]
             for i in np.flatnonzero(np.diff(failed)):
                 parts[i] = [texts[i]] if len(parts[i]) > 1 else []
-        sides = []
-        for side in (0, 1):
-            at, after = _gather(_ends([len(f[side]) // 4 for f in found]), which)
-            sides.append((np.frombuffer(b"".join([f[side] for f in found]), np.uint32)[at], after[before]))
-        return Aligned(sides[0][0], sides[1][0], sides[0][1], sides[1][1])
 
     def align(self, texts: list[str]) -> Aligned:
-        """The ids of the texts and the alignment of the windows between their anchors.
-
-        A window's key is its ids, behind the number of the first side's. Every different key is looked up once.
-        """
-        found = self.encode(texts)
-        a, b = found.a, found.b
-        if not len(a):
+        """The ids of the texts and the alignment of their parts, every different part's taken once."""
+        known, which, docs = self.encode(texts)
+        found = Aligned(known, which, docs)
+        if not len(known):
             return found
-        # both sides hold the same bytes, document for document, so their running sums can be compared
+        (a, parts_a), (b, parts_b) = known.sides
+        # both sides hold the same bytes, part for part, so their running sums can be compared
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         at = np.searchsorted(ends_b, ends_a)
-        anchor = ends_b[at] == ends_a
-        anchor[:-1] &= self.spaced[0][a[1:]] & self.spaced[1][b[np.minimum(at[:-1] + 1, len(b) - 1)]]
-        cut = np.flatnonzero(anchor)
-        n = len(cut)
-        to = np.column_stack([cut + 1, at[cut] + 1])
-        found.starts = np.r_[np.zeros((1, 2), np.int64), to[:-1]]
-        sizes, number = to - found.starts, np.arange(n)
-        keys = np.empty(len(a) + len(b) + n, np.uint32)
-        keys[found.starts.sum(axis=1) + number] = sizes[:, 0]
-        keys[np.arange(len(a)) + np.repeat(found.starts[:, 1] + number + 1, sizes[:, 0])] = a
-        keys[np.arange(len(b)) + np.repeat(to[:, 0] + number + 1, sizes[:, 1])] = b
-        offsets = np.r_[0, (to.sum(axis=1) + number + 1) * 4].astype(np.int32)
-        numbered = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(keys)]).dictionary_encode()
-        self.windows.turn(WINDOWS)
-        found.which = numbered.indices.to_numpy()
-        found.found = [self.windows[k] if len(k) <= LONG_WINDOW else self._window(k) for k in numbered.dictionary.to_pylist()]
-        # a document begins with a space on both sides, so it begins a window
-        found.docs = np.r_[np.searchsorted(to[:, 0], found.docs_a[:-1], "right"), n]
+        to_a = np.flatnonzero(ends_b[at] == ends_a)
+        to_b = at[to_a]
+        found.after = np.searchsorted(to_a, parts_a)  # a part's end is shared
+        groups = np.diff(found.after)
+        found.triples = np.column_stack([
+            to_a + 1 - np.repeat(parts_a[:-1], groups), to_b + 1 - np.repeat(parts_b[:-1], groups), a[to_a] * np.int64(STEP) + b[to_b]]).astype(np.int32)
+        # the ids as they are written: group by group, those of a before those of b
+        numbers = np.empty(len(a) + len(b), np.int32)
+        place_a = np.arange(len(a)) + np.repeat(np.r_[0, to_b[:-1] + 1], np.diff(to_a, prepend=-1))
+        place_b = np.arange(len(b)) + np.repeat(to_a + 1, np.diff(to_b, prepend=-1))
+        numbers[place_a], numbers[place_b] = a, b
+        numbers[place_a[to_a]] += self.most
+        numbers[place_b[to_b]] += 2 * self.most
+        numbers[place_b[parts_b[1:] - 1]] += self.most
+        found.written = pc.binary_join(_lists(parts_a + parts_b, self.numbers.take(pa.array(numbers))), "")
         return found
 
 

@@ -1,10 +1,13 @@
 """The alignment of two tokenizers against the libraries and a plain count."""
 
+import gc
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -142,3 +145,31 @@ def test_what_an_aligner_remembers_of_words_is_bounded(monkeypatch):
         own.align([" ".join(f"word{chr(97 + j)}{chr(97 + i % 26) * (1 + i // 26)}, x{i}-{j}" for j in range(26))])
     for memo in (own.chunks, own.encoder.pieces, own.encoder.spaced):
         assert len(memo) + len(memo.older) <= 400
+
+
+def test_a_remembered_word_takes_little_memory():
+    own = token_anchors.Aligner(JSON, MODEL)
+    letters = [chr(97 + i) for i in range(26)]
+    own.align(["a word"])
+    gc.collect()
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    own.align([" ".join(f"{x}{y}{z}u" for x in letters for y in letters for z in letters)])
+    gc.collect()
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(own.chunks) >= 26 ** 3
+    assert taken < 200 * 26 ** 3
+
+
+def test_the_parts_asked_for_last_are_remembered(libraries, monkeypatch):
+    monkeypatch.setattr(token_anchors, "CHUNKS", 8)
+    monkeypatch.setattr(token_anchors, "WINDOWS", 2)
+    own = token_anchors.Aligner(JSON, MODEL)
+    for i in range(30):
+        text = f"always here and new{i} words{i} {'long' * 20}{i}"
+        found = own.align([text, "bad \u2581 part"])
+        want = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in slow(libraries, text)[2])
+        assert found.texts().to_pylist()[0] == want
+        assert len(own.chunks) <= 8 and {"always", "here", "and"} <= set(own.chunks.parts.to_pylist())
+    assert max(map(len, own.chunks.parts.to_pylist())) <= token_anchors.LONG_CHUNK
