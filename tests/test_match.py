@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from stackscan.model import ScanConfig
 from stackscan.operators.candidates import Part, candidate_rows
 from stackscan.operators import candidates, match
 from stackscan.operators.match import detect, matched_signatures, signature_matches
-from stackscan.sources.signatures import compile_library, signature_rows
+from stackscan.sources.signatures import compile_library, signature_rows, with_weights
 
 PAGE = ("page_id long, html string, scripts array<struct<src:string,version:string>>, network_hosts array<string>, "
         "headers map<string,string>, meta map<string,string>, js_objects map<string,boolean>, "
@@ -193,3 +194,81 @@ def test_candidates_are_handed_over_a_few_pages_at_a_time(spark):
     rows = found.select("page_id", F.size("c").alias("n"), (F.array_sort("c") == F.col("c")).alias("sorted")).collect()
     assert [(r.page_id, r.n, r.sorted) for r in rows] == [(i, 300, True) for i in range(200)]
     assert 200 * 300 > 2 * candidates.HANDED
+
+
+def test_literals_are_found_wherever_they_occur(monkeypatch):
+    monkeypatch.setattr(candidates, "SEGMENT", 16)
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcé\x01", k=rng.randint(1, 20))) for _ in range(400)})
+    texts = ["".join(rng.choices([*words, "xyz"], k=rng.randint(0, 6))) for _ in range(50)]
+    literals = candidates.Literals(pa.array(words))
+    for text in texts:
+        data = text.encode()
+        at, sizes, numbers = literals.find(np.frombuffer(data, np.uint8))
+        found = sorted(zip(at.tolist(), sizes.tolist(), numbers.tolist()))
+        assert found == sorted((i, len(w), n) for n, w in enumerate(map(str.encode, words)) for i in range(len(data)) if data.startswith(w, i))
+
+
+def test_a_part_finds_the_rows_whose_conditions_hold(monkeypatch):
+    monkeypatch.setattr(candidates, "PAIRS", 40)
+    rng = random.Random(5)
+    words = [f"{rng.choice('abc')}{i % 9}{'z' * (i % 11)}" for i in range(40)]
+
+    def way():
+        if rng.random() < 0.1:
+            return {"where": "key", "terms": [[f"k{rng.randint(0, 5)}"]]}
+        terms = [sorted(set(rng.choices(words, k=rng.randint(1, 3)))) for _ in range(rng.randint(0, 3))]
+        return {"where": rng.choice(["html", "meta"]), "terms": terms if terms or rng.random() < 0.2 else [[words[0]]]}
+
+    wanted = [None, [], *([way() for _ in range(rng.randint(1, 3))] for _ in range(200))]
+    part = Part(wanted)
+    for _ in range(40):
+        pages = [{name: text for name in ("html", "meta") if (text := "-".join(rng.choices(words, k=rng.randint(0, 8))))} for _ in range(7)]
+        keys = [rng.choice([None, [], ["k1", "none"], ["k2", "k3"]]) for _ in pages]
+        rows, counts = part.search(pages, keys)
+        for texts, its, found in zip(pages, keys, np.split(rows, np.cumsum(counts)[:-1])):
+            assert found.tolist() == [i for i, ways in enumerate(wanted) if any(
+                w["terms"][0][0] in (its or ()) if w["where"] == "key" else
+                w["where"] in texts and all(any(x in texts[w["where"]] for x in t) for t in w["terms"]) for w in ways or ())]
+
+
+def test_equal_tests_are_made_once_a_page(spark):
+    rules = [(f"T{i % 7}", "html", None, "colou?r") for i in range(300)] + [(f"T{i % 7}", "meta", "Generator", "^CMS") for i in range(200)]
+    lib = library(spark, rules)
+    frame = match.with_evidence_columns(pages(spark, *({"html": f"a color {i}", "meta": {"generator": "cms"}} for i in range(20))))
+    searched = match.evidence_texts(lib.kinds) | match._entry_texts(lib.kinds)
+    found = candidate_rows(lib.patterns, match._CANDIDATE, searched, match._present_globals(), alike=match.ALIKE)
+    assert [r.n for r in frame.select(F.size(found).alias("n")).collect()] == [2] * 20
+    assert signature_matches(frame, lib, ["page_id"]).groupBy("page_id").count().filter("count = 500").count() == 20
+    assert {(r.tech, r.confidence) for r in detect(frame, lib, ["page_id"]).collect()} == {(f"T{i}", 100) for i in range(7)}
+
+
+def test_detections_sum_and_list_all_signatures_of_a_technology(spark):
+    """Also where the library names a technology in several places, or with no name at all."""
+    rng = random.Random(11)
+    kinds = [("html", None), ("script", None), ("header", "server")]
+    places = [(None, 2)] + [(f"T{i % 9}", rng.randint(0, 4)) for i in range(60)]
+    rules = [(tech, place, *rng.choice(kinds), rng.choice(["abc", "b+c", "x", "a.c", "q"]), i) for i, (tech, place) in enumerate(places * 3)]
+    schema = "tech string, tech_ord long, file string, field string, kind string, ord int, key string, pattern string, label string"
+    rows = spark.createDataFrame([(t, o, "f", k, k, i, key, p, f"{k}: {i}") for t, o, k, key, p, i in rules], schema)
+    techs = spark.createDataFrame([(f"T{i}", ["cms"], i % 2 == 0, f"text {i}") for i in range(9)],
+                                  "tech string, categories array<string>, higher_ed boolean, description string")
+    lib = compile_library(techs, with_weights(rows))
+    texts = ["abc", "xbbc", "q x", "", "a-c q"]
+    frame = pages(spark, *({"html": rng.choice(texts), "scripts": [(rng.choice(texts), None)], "headers": {"server": rng.choice(texts)}} for _ in range(30)))
+    for part in (7, 1 << 20):
+        matched = {r.page_id: r.matches for r in matched_signatures(frame, lib, ["page_id"], part=part).collect()}
+        want = []
+        for page, its in matched.items():
+            own = {}
+            for m in its:
+                own.setdefault(m.tech, []).append(m)
+            scored = [(-min(100, sum(m.weight for m in ms)), ms[0].ord, tech, ms) for tech, ms in own.items() if tech]
+            for rank, (score, _, tech, ms) in enumerate(sorted(s for s in scored if s[0] <= -70)):
+                labels = [m.label for m in ms if m.kind == "html"][:11] + [m.label for m in ms if m.kind != "html"]
+                want.append((page, rank + 1, tech, -score, labels, ms[0].categories, ms[0].is_higher_ed, ms[0].description))
+        found = detect(frame, lib, ["page_id"], ScanConfig(min_confidence=70), part=part)
+        assert want and sorted(map(tuple, found.select(
+            "page_id", "rank", "tech", "confidence", "evidence", "categories", "is_higher_ed", "description").collect())) == sorted(want)
+        none = detect(frame, lib, ["page_id"], ScanConfig(min_confidence=70, include_evidence=False), part=part)
+        assert {(r.page_id, r.tech, len(r.evidence)) for r in none.collect()} == {(w[0], w[2], 0) for w in want}
