@@ -272,3 +272,13 @@ def test_detections_sum_and_list_all_signatures_of_a_technology(spark):
             "page_id", "rank", "tech", "confidence", "evidence", "categories", "is_higher_ed", "description").collect())) == sorted(want)
         none = detect(frame, lib, ["page_id"], ScanConfig(min_confidence=70, include_evidence=False), part=part)
         assert {(r.page_id, r.tech, len(r.evidence)) for r in none.collect()} == {(w[0], w[2], 0) for w in want}
+
+
+def test_matches_of_a_page_are_handed_over_in_pieces(spark):
+    lib = library(spark, [("T", "html", None, "word")] * 40_000)
+    frame = spark.createDataFrame([(1, None, "word"), (2, ["x"], "none"), (3, ["y", None], "words")], "page_id long, tags array<string>, html string")
+    found = signature_matches(frame, lib, ["page_id", "tags"])
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "Generate" not in found._jdf.queryExecution().toString()
+    rows = found.groupBy("page_id", "tags").agg(F.count("*").alias("n"), F.countDistinct("ord").alias("ords"), F.max("weight").alias("w")).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, None, 40_000, 40_000, 40), (3, ["y", None], 40_000, 40_000, 40)]
+    assert 40_000 > 2 * candidates.HANDED
